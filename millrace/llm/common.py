@@ -76,3 +76,8 @@ def bounded_rows(df: DataFrame, group: str, key: str, per_group: int) -> DataFra
     for value, n in counts.items():
         rate = F.when(F.col(group) == value, F.lit(min(span, int(span * per_group / n)))).otherwise(rate)
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(span)) < rate).limit(2 * per_group * len(counts) + 100)
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, for joins and cogroups of tables with a common past."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])

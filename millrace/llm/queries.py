@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality_cnn
+from . import ann, bpe, langid, near_dedup, packing, quality_cnn, quality_rules, suffix_dedup
 from .common import held_out, table
 
 
@@ -33,9 +34,30 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.classify(docs, net).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_shifted_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 20, against all others."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.assess(table(spark, sf_dir, "documents"))
+
+
+def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_best_fit_packing, op4_quality_classifier, op10_bpe_codec)}
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op3_best_fit_packing, op4_quality_classifier, op6_shifted_curves, op7_suffix_dedup,
+    op8_quality_rules, op9_minhash_forest, op10_bpe_codec,
+)
+}
 ORACLE_SQL: dict[str, str] = {}
