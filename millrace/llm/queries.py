@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, near_dedup, packing, quality_cnn, quality_rules, suffix_dedup
+from . import ann, bpe, langid, near_dedup, packing, quality_cnn, quality_rules, sharding, suffix_dedup, warc
 from .common import held_out, table
 
 
@@ -24,6 +24,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", fold, "lang_pred", "score", "rejected")
 
 
+def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -34,6 +38,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.classify(docs, net).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisits_of_pages(spark, sf_dir)
+
+
 def op6_shifted_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 20, against all others."""
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
@@ -56,8 +64,8 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op3_best_fit_packing, op4_quality_classifier, op6_shifted_curves, op7_suffix_dedup,
-    op8_quality_rules, op9_minhash_forest, op10_bpe_codec,
+    op1_language_id, op2_extendible_sharding, op3_best_fit_packing, op4_quality_classifier, op5_warc_revisits,
+    op6_shifted_curves, op7_suffix_dedup, op8_quality_rules, op9_minhash_forest, op10_bpe_codec,
 )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_extendible_sharding": sharding.oracle_sql(), "op5_warc_revisits": warc.oracle_sql()}
