@@ -81,3 +81,9 @@ def bounded_rows(df: DataFrame, group: str, key: str, per_group: int) -> DataFra
 def fresh(df: DataFrame) -> DataFrame:
     """The same columns under new identities, for joins and cogroups of tables with a common past."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def without(df: DataFrame, gone: DataFrame, id_col: str, text_col: str, how: str = "left_anti") -> DataFrame:
+    """The rows of df whose id and text are not those of a row of `gone` (id_col, text_hash); null ids count as equal."""
+    names = gone.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return df.join(names, df[id_col].eqNullSafe(names["_id"]) & (F.xxhash64(df[text_col]) == names["_hash"]), how)

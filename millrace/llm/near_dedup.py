@@ -2,11 +2,14 @@
 
 Documents with equal shingle sets are one class; only a class's first document goes on. Its signature is read as
 several sequences, one per tree, each starting elsewhere in it. A tree sorts the classes by its sequence; those with a
-common prefix of DEPTH values form a region, and a class's next NEAR neighbours in sorted order are its candidates.
-Regions of up to NEAR + 1 classes are thereby complete. Where a region is large, the prefix is taken deeper to cut the
-sort into tasks, and what sorted neighbours may miss there is handled exactly, after the links so far are contracted to
-components: only classes outside the region's largest component are still open, and these are held, in blocks, against
-the whole region by their signatures. Whatever may be a link is confirmed on the texts.
+common prefix of DEPTH values form a region. In a region of up to NEAR + 1 classes each meets all later ones, in a larger
+one its neighbour in sorted order, that with the longest common prefix; where a region is very large, the prefix is taken
+deeper to cut the sort into tasks. Candidates are confirmed on the texts, and links contract classes to components.
+
+What sorted neighbours may miss in large regions is then handled exactly. Large regions that share a class form a
+cluster. Only classes outside a cluster's largest component are still open; these are held, in blocks, against the whole
+cluster: by signature, then by all shingle hashes, at last by the texts. An open class needs one link to a component, so at
+most one is made of it in a block, however many members the component has.
 
 A pair of similarity s shares a tree's prefix with probability s**DEPTH; at 0.75 all trees miss it twice in a million.
 """
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, fresh, map_batches
+from .common import by_bytes, cut, fresh, map_batches, without
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -28,8 +31,8 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 TREES, DEPTH, VALUES = 24, 3, 96
 NEAR = 6
-#: Classes of a region from which on its sort is cut by a deeper prefix; classes of a block; open classes of a block.
-DEEP, BLOCK, OPEN = 20_000, 1024, 2048
+#: Classes of a region from which on its sort is cut by a deeper prefix; classes and shingles of a block of a cluster.
+DEEP, BLOCK, BLOCK_SHINGLES = 20_000, 1024, 1_000_000
 #: Equal values of two signatures that call for a look at the texts: 0.75 * 96 less more than four deviations.
 CLOSE = 52
 
@@ -109,7 +112,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a.append(int(h.sum(dtype=np.uint64).view(np.int64)))
                 c.append(int(np.bitwise_xor.reduce(_mix(h)).view(np.int64)) if len(h) else 0)
                 sig.append(signature(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(sig, pa.binary())], names=["id", "n", "s1", "s2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(sig, pa.binary()), b.column(2).slice(lo, hi - lo)], names=["id", "n", "s1", "s2", "sig", "text_hash"])
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,27 +153,45 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough."""
-    needed = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    own = cut(texts.join(needed, "rep").withColumn("x", F.xxhash64("t")).dropDuplicates(["rep", "x"]))
+def _links(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough. own: rep, t of these classes."""
     both = pairs.join(own.select(F.col("rep").alias("a"), F.col("t").alias("ta")), "a").join(own.select(F.col("rep").alias("b"), F.col("t").alias("tb")), "b")
     return cut(map_batches(both.select("a", "b", "ta", "tb"), _confirm, "a bigint, b bigint"))
 
 
+def _hashed(texts: list) -> list[np.ndarray]:
+    return [h for lo, hi in by_bytes(texts, 1 << 20) for h in shingle_hashes([(t or "").encode() for t in texts[lo:hi]])]
+
+
 def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Open classes against a block of their region: pairs in different components whose signatures are close."""
+    """Open classes against a block of their cluster: for each, one confirmed link to every component that it has one to."""
     a, b = [], []
     if left.num_rows and right.num_rows:
-        q, qc = left["rep"].to_numpy(), left["comp"].to_numpy()
-        r, rc = right["rep"].to_numpy(), right["comp"].to_numpy()
+        q, qc, qt = left["rep"].to_numpy(), left["comp"].to_numpy(), left["t"].to_pylist()
+        r, rc, rt = right["rep"].to_numpy(), right["comp"].to_numpy(), right["t"].to_pylist()
         x = np.frombuffer(b"".join(left["sig"].to_pylist()), "<u4").reshape(-1, VALUES)
         y = np.frombuffer(b"".join(right["sig"].to_pylist()), "<u4").reshape(-1, VALUES).T.copy()
+        qs, rs = _hashed(qt), _hashed(rt)
         for k in range(len(q)):
             same = (x[k][:, None] == y).sum(0, dtype=np.int16)
             hit = np.nonzero((same >= CLOSE) & (rc != qc[k]))[0]
-            a += [q[k]] * len(hit)
-            b += r[hit].tolist()
+            done: set[int] = set()
+            exact = None
+            for j in hit[np.argsort(-same[hit], kind="stable")].tolist():
+                if rc[j] in done:
+                    continue
+                s, o = qs[k], rs[j]
+                at = np.searchsorted(s, o)
+                both = int((s[np.minimum(at, len(s) - 1)] == o).sum())
+                if 100 * both < PERCENT * (len(s) + len(o) - both):
+                    continue
+                exact = shingles(qt[k]) if exact is None else exact
+                other = shingles(rt[j])
+                both = len(exact & other)
+                if 100 * both >= PERCENT * (len(exact) + len(other) - both):
+                    done.add(rc[j])
+                    a.append(q[k])
+                    b.append(r[j])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -178,50 +199,74 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", named: bool = False) -> DataFrame:
     """One row per input row: `id_col`, n_shingles, component_id (smallest id reachable over links, itself included) and
-    kept (id = component_id).
+    kept (id = component_id); with `named` also text_hash, which together with the id names a row and its copies.
 
     A null or blank text has no shingles and no links, also not to another such text. Texts shorter than a shingle have
     one, all their words. Equal rows are one node. A row without an id takes no part: its component is null and it is
     kept. An id that comes with several texts gets a result for each. Other columns are left out, whatever their names. An empty input gives no rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    sets = cut(map_batches(docs, _sets, "id bigint, n bigint, s1 bigint, s2 bigint, sig binary"))
+    sets = cut(map_batches(docs.withColumn("x", F.xxhash64("t")), _sets, "id bigint, n bigint, s1 bigint, s2 bigint, sig binary, text_hash bigint"))
     name = ["n", "s1", "s2"]
-    classes = cut(sets.where("id is not null and n > 0").groupBy(*name).agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("rep")))
+    classes = sets.where("id is not null and n > 0").groupBy(*name).agg(F.min_by(F.struct("sig", "text_hash"), F.struct("id", "text_hash")).alias("r"), F.min("id").alias("rep"))
+    classes = cut(classes.select(*name, "rep", "r.sig", "r.text_hash"))
 
     forest = map_batches(classes.select("rep", "sig"), _forest, "p bigint, o bigint, rep bigint")
     regions = forest.groupBy("p").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("m > 1")
     regions = cut(regions)
     # regions of two are pairs already; of the others, each class meets its next neighbours in the tree's order
-    members = cut(forest.join(regions.where("m > 2").select("p", "m"), "p").withColumn("deep", F.when(F.col("m") > DEEP, F.col("o")).otherwise(F.lit(0).cast("long"))))
+    members = forest.join(regions.where("m > 2").select("p", "m", F.col("a").alias("first")), "p")
+    members = cut(members.withColumn("deep", F.when(F.col("m") > DEEP, F.col("o")).otherwise(F.lit(0).cast("long"))))
     order = Window.partitionBy("p", "deep").orderBy("o", "rep")
-    ahead = members.select(F.col("rep").alias("a"), F.array(*[F.lead("rep", k).over(order) for k in range(1, NEAR + 1)]).alias("next"))
+    small = F.col("m") <= NEAR + 1
+    ahead = members.select(F.col("rep").alias("a"), F.array(F.lead("rep", 1).over(order), *[F.when(small, F.lead("rep", k).over(order)) for k in range(2, NEAR + 1)]).alias("next"))
     ahead = ahead.select("a", F.explode(F.filter("next", lambda x: x.isNotNull())).alias("b"))
     pairs = cut(_ordered(regions.where("m = 2").select("a", "b").unionByName(ahead)))
-    texts = docs.where("id is not null").withColumnRenamed("id", "rep")
-    links = _links(pairs, texts)
+    named_text = docs.where("id is not null").select(F.col("id").alias("rep"), F.xxhash64("t").alias("text_hash"), "t")
+
+    def texts_of(reps: DataFrame) -> DataFrame:
+        """rep, t of these classes: of a class's equal sets the text that the class was named by."""
+        wanted = classes.select("rep", "text_hash").join(reps, "rep")
+        return named_text.join(wanted, ["rep", "text_hash"]).dropDuplicates(["rep", "text_hash"]).select("rep", "t")
+
+    needed = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    links = _links(pairs, cut(texts_of(needed)))
     comps = cut(components(links))
 
-    large = members.where(F.col("m") > NEAR + 1).select("p", "m", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("p", "m", "rep", F.coalesce("component", "rep").alias("comp"))
-    large = cut(large)
-    parts = large.groupBy("p", "m", "comp").agg(F.count(F.lit(1)).alias("size"))
-    main = parts.groupBy("p", "m").agg(F.max(F.struct("size", (-F.col("comp")).alias("c"))).alias("top")).where(F.col("top.size") < F.col("m"))
-    main = main.select("p", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("m") - F.col("top.size")) / OPEN).cast("int").alias("shares"), (-F.col("top.c")).alias("main"))
-    large = large.join(main, "p").join(classes.select("rep", "sig"), "rep")
-    share = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    opened = large.where(F.col("comp") != F.col("main")).select("p", "rep", "comp", "sig", share("shares").alias("share"), spread("blocks").alias("block"))
-    whole = large.select("p", "rep", "comp", "sig", share("blocks").alias("block"), spread("shares").alias("share"))
-    more = fresh(opened).groupBy("p", "block", "share").cogroup(fresh(whole).groupBy("p", "block", "share")).applyInArrow(_meet, "a bigint, b bigint")
-    more = cut(_ordered(more).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        comps = cut(components(links.unionByName(_links(more, texts))))
+    large = members.where(F.col("m") > NEAR + 1)
+    clusters = cut(components(large.select(F.col("rep").alias("a"), F.col("first").alias("b"))))
+    inside = clusters.select(F.col("node").alias("rep"), F.col("component").alias("g")).join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    inside = cut(inside.join(classes.select("rep", "n", "sig"), "rep").select("rep", "g", F.coalesce("component", "rep").alias("comp"), "n", "sig"))
+    parts = inside.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    whole = parts.groupBy("g").agg(F.sum("size").alias("m"), F.sum("n").alias("n"), F.max(F.struct("size", (-F.col("comp")).alias("c"), "n")).alias("top")).where(F.col("top.size") < F.col("m"))
+    cuts = lambda m, n: F.greatest(F.ceil(m / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    whole = whole.select("g", cuts(F.col("m"), F.col("n")).alias("blocks"), cuts(F.col("m") - F.col("top.size"), F.col("n") - F.col("top.n")).alias("shares"), (-F.col("top.c")).alias("main"))
+    inside = inside.join(whole, "g")
+    if not inside.isEmpty():
+        inside = cut(inside.join(texts_of(inside.select("rep").distinct()), "rep"))
+        share = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        opened = inside.where(F.col("comp") != F.col("main")).select("g", "rep", "comp", "sig", "t", share("shares").alias("share"), spread("blocks").alias("block"))
+        block = inside.select("g", "rep", "comp", "sig", "t", share("blocks").alias("block"), spread("shares").alias("share"))
+        more = fresh(opened).groupBy("g", "block", "share").cogroup(fresh(block).groupBy("g", "block", "share")).applyInArrow(_meet, "a bigint, b bigint")
+        comps = cut(components(links.unionByName(more)))
 
     at = classes.select(*name, "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*name, F.coalesce("component", "rep").alias("component"))
     out = sets.drop("sig").join(at, name, "left").select(
         F.col("id").cast(df.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), *(["text_hash"] if named else []))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
+
+
+def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, with all its columns; of equal rows one."""
+    found = cut(near_duplicates(df, id_col, text_col, named=True))
+    twice = cut(found.where("kept").groupBy(id_col, "text_hash").count().where("count > 1"))
+    gone = found.where("not kept").select(id_col, "text_hash")
+    if twice.isEmpty():
+        return without(df, gone, id_col, text_col)
+    single = without(df, gone.unionByName(twice.select(id_col, "text_hash")), id_col, text_col)
+    return single.unionByName(without(df, twice, id_col, text_col, "left_semi").dropDuplicates([id_col, text_col]))
