@@ -10,10 +10,12 @@ Only suffixes that can still share a bucket are refined:
 1. Each window of LENGTH bytes points to the smallest 64-byte bucket in it (leftmost of equals), its anchor. Equal windows
    have equal anchors at equal offsets, and neighbouring windows mostly share theirs: about one suffix in 70 remains.
    Anchors alone in their bucket end here.
-2. Anchors whose bucket has one context only (all the bytes of the windows that point to them) need no more: all
-   those windows are repeated.
-3. In the other buckets, every window gets its own bucket: the anchor's, its offset, and the 128-byte buckets at its
-   begin and 72 bytes later, which cover it. Windows that share that bucket are repeated.
+2. Anchors of a bucket that share their whole context (all bytes of the windows that point to them) need no more:
+   those windows are repeated. One of them stands for all in the next step.
+3. In buckets with several contexts, the contexts come together, sorted by bucket, and every window gets its own bucket: the
+   anchor's, its offset, and the 128-byte buckets at its begin and 72 bytes later, which cover it. Windows that
+   share that bucket are repeated. A bucket of more than HOT contexts is refined by single windows instead, whose
+   buckets are counted with partial sums, so that no task needs all of it.
 
 Counts are combined before each shuffle, and joins on buckets are equi-joins that Spark splits where a bucket is hot.
 """
@@ -34,6 +36,8 @@ GRAM = 64
 #: Bytes that one pass takes; a longer text is taken in pieces that overlap by what a window needs.
 PASS = 1 << 18
 _POSITION_BITS = 20
+#: Contexts of a bucket that one task may refine together; bytes of contexts in one step.
+HOT, STEP = 8192, 4 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -76,9 +80,9 @@ class Pass:
     def __init__(self, texts: list[bytes]):
         self.size = np.array([len(t) for t in texts], np.int64)
         self.first = np.cumsum(self.size) - self.size
-        data = np.frombuffer(b"".join(texts) + bytes(LENGTH), np.uint8)
+        self.data = b"".join(texts) + bytes(LENGTH)
         n = int(self.size.sum())
-        self.gram, self.deep = buckets(data)
+        self.gram, self.deep = buckets(np.frombuffer(self.data, np.uint8))
         doc = np.repeat(np.arange(len(texts)), self.size)
         begin = np.arange(n)
         valid = begin + LENGTH <= (self.first + self.size)[doc]
@@ -143,36 +147,100 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ], names=["h", "c", "k1", "k2", "lo", "hi"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bucket of every window whose anchor is still open."""
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Pass, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Passes over documents (k1, k2, text, begins of the first windows of open anchors): with the open anchors' indexes,
+    and for every text of the pass its keys and its offset."""
     for b in batches:
         k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
         texts = [(t or "").encode() for t in b.column(2).to_pylist()]
-        opened = b.column(3)
-        flat, off = opened.flatten().to_numpy(), opened.offsets.to_numpy()
+        flat, off = b.column(3).flatten().to_numpy(), b.column(3).offsets.to_numpy()
+        off = off - off[0]
         for lo, hi in by_bytes(texts, PASS):
             for part, rows, offsets in _split_long(texts, lo, hi):
                 p = Pass(part)
-                if not len(p.begin):
-                    continue
-                # windows are open whose absolute begin is that of an open anchor's first window, or follows it
                 doc = p.doc[p.begin]
-                first = p.at[p.begin] - p.first[doc] + np.array(offsets)[doc]
+                shift = np.array(offsets) - p.first
+                first = p.at[p.begin] + shift[doc]
                 on = np.zeros(len(p.begin), bool)
+                edge = np.searchsorted(doc, np.arange(len(rows) + 1))
                 for j, r in enumerate(rows):
-                    mine = doc == j if len(rows) == 1 else slice(*np.searchsorted(doc, [j, j + 1]))
+                    mine = slice(edge[j], edge[j + 1])
                     on[mine] = np.isin(first[mine], flat[off[r] : off[r + 1]])
-                if not on.any():
-                    continue
-                size = p.end - p.begin + 1
-                pick = np.nonzero(np.repeat(on, size))[0]
-                at, anchor, d = p.at[pick], p.anchor[pick], p.doc[pick]
-                name = _pair(p.gram[anchor], (anchor - at).astype(np.uint64), 1)
-                row = np.array(rows)[d]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(name.view(np.int64)), pa.array(_window_ids(p.deep, at).view(np.int64)), pa.array(k1[row]), pa.array(k2[row]),
-                    pa.array((at - p.first[d] + np.array(offsets)[d]).astype(np.int32)),
-                ], names=["w1", "w2", "k1", "k2", "lo"])
+                if on.any():
+                    yield p, np.nonzero(on)[0], k1[rows], k2[rows], shift
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open anchors with the bytes of their windows."""
+    for p, on, k1, k2, shift in _open(batches):
+        lo, hi = p.at[p.begin[on]], p.at[p.end[on]]
+        doc, anchor = p.doc[p.begin[on]], p.anchor[p.begin[on]]
+        data = [p.data[a : b + LENGTH] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(p.gram[anchor].view(np.int64)), pa.array(k1[doc]), pa.array(k2[doc]), pa.array((lo + shift[doc]).astype(np.int32)),
+            pa.array((anchor - lo).astype(np.int32)), pa.array(data, pa.binary()),
+        ], names=["h", "k1", "k2", "lo", "at", "bytes"])
+
+
+def _refined(h: np.ndarray, lo: np.ndarray, at: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end of the repeated runs in the contexts of whole buckets."""
+    size = np.array([len(d) for d in data])
+    base = np.cumsum(size) - size
+    _, deep = buckets(np.frombuffer(b"".join(data) + bytes(LENGTH), np.uint8))
+    windows = size - LENGTH + 1
+    row = np.repeat(np.arange(len(data)), windows)
+    j = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    name = _pair(_pair(h.view(np.uint64)[row], (at[row] - j).astype(np.uint64), 1), _window_ids(deep, base[row] + j), 2)
+    order = np.argsort(name, kind="stable")
+    twice = np.zeros(len(name), bool)
+    same = name[order][1:] == name[order][:-1]
+    twice[order[1:]] = same
+    twice[order[:-1]] |= same
+    hit = np.nonzero(twice)[0]
+    if not len(hit):
+        return hit, hit, hit
+    new = np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)])
+    begin = hit[new]
+    end = hit[np.append(np.nonzero(new)[0][1:], len(hit)) - 1]
+    return row[begin], lo[row[begin]] + j[begin], lo[row[begin]] + j[end] + LENGTH
+
+
+def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _contexts, sorted by bucket, each bucket whole within the task; a step ends where a bucket ends."""
+
+    def out(t: pa.Table) -> pa.RecordBatch:
+        row, lo, hi = _refined(t["h"].to_numpy(), t["lo"].to_numpy(), t["at"].to_numpy(), t["bytes"].to_pylist())
+        return pa.RecordBatch.from_arrays([pa.array(t["k1"].to_numpy()[row]), pa.array(t["k2"].to_numpy()[row]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["k1", "k2", "lo", "hi"])
+
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2048):
+            b = whole.slice(at, 2048)
+            held.append(b)
+            size += b.column(5).nbytes
+            if size > STEP:
+                t = pa.Table.from_batches(held)
+                h = t["h"].to_numpy()
+                cut_at = int(np.searchsorted(h, h[-1]))
+                if cut_at:
+                    yield out(t.slice(0, cut_at))
+                held, size = t.slice(cut_at).to_batches(), 0
+    if held:
+        yield out(pa.Table.from_batches(held))
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bucket of every window of the open anchors."""
+    for p, on, k1, k2, shift in _open(batches):
+        mark = np.zeros(len(p.begin), bool)
+        mark[on] = True
+        pick = np.nonzero(np.repeat(mark, p.end - p.begin + 1))[0]
+        at, anchor, d = p.at[pick], p.anchor[pick], p.doc[pick]
+        name = _pair(p.gram[anchor], (anchor - at).astype(np.uint64), 1)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(name.view(np.int64)), pa.array(_window_ids(p.deep, at).view(np.int64)), pa.array(k1[d]), pa.array(k2[d]), pa.array((at + shift[d]).astype(np.int32)),
+        ], names=["w1", "w2", "k1", "k2", "lo"])
 
 
 def _removed(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -183,42 +251,55 @@ def _removed(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: `id_col`, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of the bytes
-    that stay, with `with_text` also kept_text (a character of which only some bytes stay is left out of it).
+    that stay, with `with_text` also kept_text (a character of which only some bytes stay is left out of it); the
+    columns of `carry` come along.
 
     A null text counts as empty. A text shorter than LENGTH bytes has no window and stays whole. Equal rows, with
     equal ids or not, are copies of each other and lose all their windows. Other columns are left out,
     whatever their names. An empty input gives no rows.
     """
-    docs = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("t"))
-    named = docs.select(*_keys("id", "t"), "id", "t")
-    long = named.select("k1", "k2", "t").where(F.octet_length("t") >= LENGTH)
-    anchors = map_batches(long, _anchors, "h bigint, c bigint, k1 bigint, k2 int, lo int, hi int")
+    extra = [f"x{k}" for k in range(len(carry))]
+    docs = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("t"), *[df[c].alias(x) for c, x in zip(carry, extra, strict=True)])
+    named = docs.select(*_keys("id", "t"), "id", "t", *extra)
+    anchors = map_batches(named.select("k1", "k2", "t").where(F.octet_length("t") >= LENGTH), _anchors, "h bigint, c bigint, k1 bigint, k2 int, lo int, hi int")
     shared = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("h", (F.col("c0") == F.col("c1")).alias("alike"))
-    held = anchors.join(shared, "h").groupBy("k1", "k2").agg(
-        F.collect_list(F.when(F.col("alike"), F.struct("lo", (F.col("hi") + LENGTH).alias("hi")))).alias("spans"),
-        F.collect_list(F.when(~F.col("alike"), F.col("lo"))).alias("opened"))
-    held = cut(held)
-    opened = named.select("k1", "k2", "t").join(held.where(F.size("opened") > 0).select("k1", "k2", "opened"), ["k1", "k2"]).select("k1", "k2", "t", "opened")
-    windows = map_batches(opened, _windows, "w1 bigint, w2 bigint, k1 bigint, k2 int, lo int")
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    found = windows.join(twice, ["w1", "w2"]).groupBy("k1", "k2").agg(F.collect_list("lo").alias("starts"))
-    spans = held.where(F.size("spans") > 0).select("k1", "k2", "spans").join(found, ["k1", "k2"], "full_outer")
+    met = cut(anchors.join(shared, "h"))
+    mixed = met.where("not alike").select("h", "c", "k1", "k2", "lo", "hi")
+    one = F.struct("k1", "k2", "lo")
+    kinds = mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one"))
+    kinds = cut(kinds.join(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")), "h"))
+    mixed = mixed.join(kinds.where("n > 1").select("h", "c", "one"), ["h", "c"])
+    covered = met.where("alike").select("k1", "k2", "lo", "hi").unionByName(mixed.select("k1", "k2", "lo", "hi")).select("k1", "k2", "lo", (F.col("hi") + LENGTH).alias("hi"))
+    # from here on a context that occurs more than once is open once
+    opened = kinds.groupBy("one.k1", "one.k2").agg(
+        F.collect_list(F.when(F.col("contexts") <= HOT, F.col("one.lo"))).alias("few"), F.collect_list(F.when(F.col("contexts") > HOT, F.col("one.lo"))).alias("many"))
+    opened = cut(opened)
+    texts = named.select("k1", "k2", "t").where(F.octet_length("t") >= LENGTH)
+    of = lambda which: texts.join(opened.where(F.size(which) > 0).select("k1", "k2", which), ["k1", "k2"]).select("k1", "k2", "t", which)
+    contexts = map_batches(of("few"), _contexts, "h bigint, k1 bigint, k2 int, lo int, at int, bytes binary")
+    refined = map_batches(contexts.repartition("h").sortWithinPartitions("h"), _refine, "k1 bigint, k2 int, lo int, hi int")
+    covered = covered.unionByName(refined)
+    if not opened.where(F.size("many") > 0).isEmpty():
+        windows = map_batches(of("many"), _windows, "w1 bigint, w2 bigint, k1 bigint, k2 int, lo int")
+        twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
+        covered = covered.unionByName(windows.join(twice, ["w1", "w2"]).select("k1", "k2", "lo", (F.col("lo") + LENGTH).alias("hi")))
+    spans = covered.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     # a key may stand for several equal rows; the spans have one row per key
-    full = named.join(spans, ["k1", "k2"], "left").select("id", "t", F.col("spans.lo").alias("a"), F.col("spans.hi").alias("b"), "starts")
+    full = named.join(spans, ["k1", "k2"], "left").select("id", "t", F.col("spans.lo").alias("a"), F.col("spans.hi").alias("b"), *extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
-            cols = [b.column(k) for k in (2, 3, 4)]
+            cols = [b.column(k) for k in (2, 3)]
             flat = [c.flatten().to_numpy() for c in cols]
             # flatten() leaves out what null lists hold, so sizes and not offsets tell where a row's values are
             ends = [np.cumsum(np.array([0 if n is None else n for n in c.value_lengths().to_pylist()], np.int64)) for c in cols]
             for r, text in enumerate(b.column(1).to_pylist()):
                 data = text.encode()
                 own = [f[(e[r - 1] if r else 0) : e[r]] for f, e in zip(flat, ends, strict=True)]
-                lo, hi = np.concatenate([own[0], own[2]]), np.concatenate([own[1], own[2] + LENGTH])
+                lo, hi = own
                 kept, gone, runs = data, 0, 0
                 if len(lo):
                     mask = _removed(len(data), lo, hi)
@@ -231,8 +312,20 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_te
             arrays = [b.column(0), *[pa.array(c, _I8) for c in out[:3]], pa.array(out[3], pa.string())]
             if with_text:
                 arrays.append(pa.array(out[4], pa.string()))
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: len(arrays)])
+            names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: len(arrays)]
+            yield pa.RecordBatch.from_arrays([*arrays, *b.columns[4:]], names=[*names, *extra])
 
     kind = df.schema[id_col].dataType.simpleString()
     more = ", kept_text string" if with_text else ""
-    return map_batches(full, run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{more}").withColumnRenamed("id", id_col)
+    more += "".join(f", {x} {docs.schema[x].dataType.simpleString()}" for x in extra)
+    out = map_batches(full, run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{more}")
+    return out.withColumnsRenamed({"id": id_col} | dict(zip(extra, carry, strict=True)))
+
+
+def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
+    """The same rows and columns, each text without its repeated bytes; `size_col`, if there, counts its characters anew.
+    A text of which nothing stays becomes empty, a null text too."""
+    rest = tuple(c for c in df.columns if c not in (id_col, text_col, size_col))
+    out = dedup(df, id_col, text_col, with_text=True, carry=rest)
+    new = {text_col: F.col("kept_text"), size_col: F.char_length("kept_text")}
+    return out.select(*[(new[c].cast(df.schema[c].dataType) if c in new else F.col(c)).alias(c) for c in df.columns])
