@@ -1,6 +1,384 @@
-"""All queries of the library by name, and their SQL twins."""
+"""All queries of the library over the TPC-H-like tables by name, and the same queries in SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace.functions import text
+from millrace.functions.similarity import similarity
+from millrace.operators import checks, curation, gapfill, matching, quality, reports, seed
+from millrace.plans import questions, standin
+from millrace.plans.standin import AS_OF, table, with_base
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, base: bool = True, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql is not None:
+            ORACLE_SQL[key] = with_base(sql) if base else sql
+        return f
+
+    return add
+
+
+def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in names})
+
+
+# ---- dimensions and facts -------------------------------------------------------------------------------------------
+
+for _name, _digits in {"dim_date": {"usd_to_aud": 6}, "dim_cost_centre": {}, "dim_vendor": {}, "dim_product": {}}.items():
+
+    def _dim(spark: SparkSession, d: str, n: str = _name, digits: dict = _digits) -> DataFrame:
+        df = standin.tables(spark, d)[n]
+        return df.withColumns({c: F.round(c, k) for c, k in digits.items()}) if digits else df
+
+    query(f"SELECT * REPLACE (round(usd_to_aud, 6) AS usd_to_aud) FROM {_name}" if _digits else f"SELECT * FROM {_name}", name=_name)(_dim)
+
+
+@query("SELECT * REPLACE (round(unit_price, 8) AS unit_price, round(line_total_amount, 3) AS line_total_amount, round(line_total_aud, 7) AS line_total_aud, round(line_total_usd, 7) AS line_total_usd) FROM fct_order_line")
+def fct_order_line(spark: SparkSession, d: str) -> DataFrame:
+    df = standin.tables(spark, d)["fct_order_line"].drop("line_uid")
+    return _rounded(_rounded(_rounded(df, 8, "unit_price"), 3, "line_total_amount"), 7, "line_total_aud", "line_total_usd")
+
+
+@query("SELECT * FROM fct_data_quality")
+def fct_data_quality(spark: SparkSession, d: str) -> DataFrame:
+    return standin.tables(spark, d)["fct_data_quality"].drop("line_uid")
+
+
+_PRICES = ("avg_unit_price", "min_unit_price", "max_unit_price", "price_stddev", "price_range_ratio", "coefficient_of_variation")
+
+
+@query(f"SELECT * REPLACE ({', '.join(f'round({c}, 7) AS {c}' for c in _PRICES)}, round(price_variance, 0) AS price_variance) FROM fct_price_variance")
+def fct_price_variance(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_rounded(standin.tables(spark, d)["fct_price_variance"], 7, *_PRICES), 0, "price_variance")
+
+
+# ---- rates ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT date, 'USD' AS from_currency, 'AUD' AS to_currency, round(exchange_rate, 8) AS exchange_rate, rate_source FROM rates")
+def fx_gapfill_linear(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(standin.rates(spark, d), 8, "exchange_rate")
+
+
+@query("SELECT date, round(exchange_rate, 8) AS exchange_rate, rate_source FROM best_rates")
+def fx_dedup_priority(spark: SparkSession, d: str) -> DataFrame:
+    first = F.when(F.col("rate_source") == "SOURCE", 1).otherwise(2)
+    return _rounded(gapfill.prefer(gapfill.pair_rates(standin.raw_rates(spark, d)), ["date"], [first]), 8, "exchange_rate")
+
+
+@query("SELECT date, round(exchange_rate, 8) AS exchange_rate, rate_source FROM both_rates")
+def fx_inverse_union(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(gapfill.pair_rates(standin.raw_rates(spark, d)), 8, "exchange_rate")
+
+
+@query("SELECT date FROM grid")
+def date_spine(spark: SparkSession, d: str) -> DataFrame:
+    return gapfill.spine_of(gapfill.pair_rates(standin.raw_rates(spark, d)))
+
+
+@query(
+    """WITH d AS (SELECT event_type, CAST(ts AS DATE) AS date, round(avg(value), 9) AS value FROM events WHERE (event_id // 7) % 3 <> 0 GROUP BY ALL),
+    k AS (SELECT event_type, min(date) AS lo, max(date) AS hi FROM d GROUP BY 1), g AS (SELECT event_type, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date FROM k)
+    SELECT event_type, date, round(value, 9) AS value, CASE WHEN value IS NULL THEN 'INTERPOLATED' ELSE 'SOURCE' END AS rate_source FROM g LEFT JOIN d USING (event_type, date)""",
+    base=False,
+)
+def gapfill_by_series(spark: SparkSession, d: str) -> DataFrame:
+    """Daily means per event type on one calendar each."""
+    days = table(spark, d, "events").where(F.floor(F.col("event_id") / 7) % 3 != 0).groupBy("event_type", F.col("ts").cast("date").alias("date")).agg(F.round(F.avg("value"), 9).alias("value"))
+    full = gapfill.fill_gaps(days.withColumn("rate_source", F.lit("SOURCE")), value="value", keys=("event_type",))
+    return full.select("event_type", "date", F.when(F.col("rate_source") == "SOURCE", F.round("value", 9)).alias("value"), "rate_source")
+
+
+# ---- quality --------------------------------------------------------------------------------------------------------
+
+_LINE = ["order_id", "line_number", "sku_id", "vendor_brand", "matched_vendor_id", "fuzz_score", "non_product_hint", *quality.FLAGS, "has_quality_issues"]
+_COLS = ", ".join(_LINE)
+
+
+@query(f"SELECT {_COLS} FROM flagged")
+def quality_flags(spark: SparkSession, d: str) -> DataFrame:
+    return standin.flagged(spark, d).select(*_LINE)
+
+
+for _kind, _more in {"valid": [], "nonproduct": [], "exceptions": ["exception_type"]}.items():
+
+    def _routed(spark: SparkSession, d: str, k: str = _kind, more: list = _more) -> DataFrame:
+        return quality.route(standin.flagged(spark, d))[k].select(*_LINE, *more)
+
+    query(f"SELECT {', '.join([_COLS, *_more])} FROM {_kind}", name=f"route_{_kind}")(_routed)
+
+
+@query("SELECT exception_type, count(*) AS n FROM exceptions GROUP BY 1")
+def exception_counts(spark: SparkSession, d: str) -> DataFrame:
+    return quality.route(standin.flagged(spark, d))["exceptions"].groupBy("exception_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0)", base=False)
+def missing_in_seed_anti(spark: SparkSession, d: str) -> DataFrame:
+    known = table(spark, d, "part").where(F.col("p_partkey") % 10 != 0).select(F.col("p_partkey").alias("l_partkey"))
+    return table(spark, d, "lineitem").join(known, "l_partkey", "left_anti").select("l_orderkey", "l_linenumber").distinct()
+
+
+@query("SELECT sku_id, order_id, line_number FROM lines1 WHERE sku_id NOT IN (SELECT sku_id FROM seed)")
+def not_in_seed(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_in(standin.order_lines(spark, d), standin.seed(spark, d), "sku_id").select("sku_id", "order_id", "line_number")
+
+
+# ---- text -----------------------------------------------------------------------------------------------------------
+
+
+def _replaced(c: str, pairs: tuple) -> str:
+    for a, b in pairs:
+        c = f"replace({c}, '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')"
+    return c
+
+
+_DECODED = _replaced("html", text.ENTITIES)
+_STRIPPED = f"regexp_replace(regexp_replace({_DECODED}, '<[^>]+>', ''), '</[^>]+>', '')"
+_CLEANED = rf"lower(trim(regexp_replace({_replaced(_replaced(_STRIPPED, text.DASH_ENTITIES), text.MOJIBAKE)}, '[ \t\n\r\f\x0b]+', ' ')))"
+
+
+@query(f"SELECT page_id, md5({_CLEANED}) AS cleaned_md5, length({_CLEANED}) AS n FROM pages", base=False)
+def clean_text_html(spark: SparkSession, d: str) -> DataFrame:
+    clean = text.clean_text(F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.md5(clean).alias("cleaned_md5"), F.length(clean).cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id, {' OR '.join(f"contains(lower(text), '{w}')" for w in text.CHARGE_WORDS)} AS hint FROM documents", base=False)
+def nonproduct_hint(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.charge_hint(F.col("text")).alias("hint"))
+
+
+@query("SELECT p_partkey, lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))) AS name, md5(concat(p_partkey, '|', p_brand, '|', p_type)) AS product_key FROM part", base=False)
+def normalized_keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", text.normalize_text(F.col("p_name")).alias("name"), text.surrogate_key("p_partkey", "p_brand", "p_type").alias("product_key"))
+
+
+@query("SELECT o_orderkey, TRY_CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS level, TRY_CAST(o_orderpriority AS DOUBLE) AS bad, TRY_CAST('2024-02-3' || (o_orderkey % 10) AS DATE) AS day FROM orders", base=False)
+def try_casts(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", F.substring("o_orderpriority", 1, 1).try_cast("double").alias("level"), F.col("o_orderpriority").try_cast("double").alias("bad"), F.concat(F.lit("2024-02-3"), (F.col("o_orderkey") % 10).cast("string")).try_cast("date").alias("day"))
+
+
+# ---- questions ------------------------------------------------------------------------------------------------------
+
+_SINCE = "date_actual >= CAST(DATE '" + AS_OF + "' - INTERVAL {} MONTH AS DATE)"
+_SALES = "fct_order_line f JOIN dim_date USING (date_key) JOIN dim_cost_centre c USING (cost_centre_key) JOIN dim_vendor v USING (vendor_key) JOIN dim_product p USING (product_key)"
+_QUESTION_SQL = {
+    "q1_spend_top20": f"""SELECT cost_centre_name, vendor_name, product_category, total_spend_aud, total_quantity, order_line_count, avg_cost_per_unit FROM (
+        SELECT cost_centre_name, vendor_name, vendor_category, product_category, quarter, year, round(sum(line_total_aud), 2) AS total_spend_aud, sum(quantity) AS total_quantity, count(*) AS order_line_count,
+        round(sum(line_total_aud) / nullif(sum(quantity), 0), 2) AS avg_cost_per_unit FROM {_SALES} WHERE {_SINCE.format(3)} GROUP BY ALL)
+        ORDER BY total_spend_aud DESC NULLS LAST, cost_centre_name, vendor_name, product_category, quarter, year LIMIT 20""",
+    "q2_data_quality": f"""SELECT e.cost_centre_name, exception_type, exception_count, avg_fuzz_score, missing_in_seed_count, name_mismatch_count, vendor_mismatch_count, round(exception_count * 100.0::DOUBLE / nullif(n, 0), 2) AS exception_rate_percent FROM (
+        SELECT cost_centre_name, exception_type, month_name, year, count(*) AS exception_count, round(avg(fuzz_score), 2) AS avg_fuzz_score, CAST(sum(flag_missing_in_seed::INT) AS BIGINT) AS missing_in_seed_count,
+        CAST(sum(flag_name_mismatch::INT) AS BIGINT) AS name_mismatch_count, CAST(sum(flag_vendor_mismatch::INT) AS BIGINT) AS vendor_mismatch_count FROM fct_data_quality JOIN dim_date USING (date_key) JOIN dim_cost_centre USING (cost_centre_key) WHERE {_SINCE.format(6)} GROUP BY ALL) e
+        LEFT JOIN (SELECT cost_centre_name, count(*) AS n FROM fct_order_line JOIN dim_date USING (date_key) JOIN dim_cost_centre USING (cost_centre_key) WHERE {_SINCE.format(6)} GROUP BY 1) t ON e.cost_centre_name = t.cost_centre_name""",
+    "q3_price_variance": f"""SELECT sku_id, canonical_name, product_category, vendor_name, cost_centre_name, month_name, year, round(avg_unit_price, 4) AS avg_unit_price, round(min_unit_price, 4) AS min_unit_price, round(max_unit_price, 4) AS max_unit_price,
+        round(price_stddev, 4) AS price_stddev, order_count, total_quantity, round((max_unit_price - min_unit_price) / nullif(avg_unit_price, 0) * 100, 2) AS price_volatility_percent, round((avg_unit_price - min_unit_price) * total_quantity, 2) AS potential_savings_aud
+        FROM fct_price_variance JOIN dim_date USING (date_key) JOIN dim_product USING (product_key) JOIN dim_vendor USING (vendor_key) JOIN dim_cost_centre USING (cost_centre_key)
+        WHERE order_count >= 2 AND price_stddev > 0.5 * avg_unit_price AND {_SINCE.format(12)} ORDER BY potential_savings_aud DESC NULLS LAST, price_volatility_percent DESC NULLS LAST, sku_id, vendor_name, cost_centre_name LIMIT 25""",
+    "q4_regions": f"""SELECT country_code, region, vendor_category, round(sum(aud), 2) AS region_total_spend_aud, round(avg(line_aud), 2) AS avg_line_value_aud, CAST(sum(orders) AS BIGINT) AS total_orders, CAST(sum(lines) AS BIGINT) AS total_line_items,
+        round(sum(aud) / nullif(sum(orders), 0), 2) AS avg_order_value, round(sum(lines) / nullif(sum(orders), 0), 2) AS avg_lines_per_order, round(avg(vendors_n), 4) AS avg_vendors_per_cc, round(avg(products_n), 4) AS avg_products_per_cc FROM (
+        SELECT c.country_code, region, cost_centre_name, quarter, year, vendor_category, count(DISTINCT order_id) AS orders, count(*) AS lines, sum(line_total_aud) AS aud, avg(line_total_aud) AS line_aud, count(DISTINCT vendor_id) AS vendors_n, count(DISTINCT sku_id) AS products_n
+        FROM {_SALES} WHERE {_SINCE.format(12)} GROUP BY ALL) GROUP BY ALL""",
+    "q5_seasons": f"""WITH m AS (SELECT month, quarter, product_category, product_brand, sum(line_total_aud) AS x, sum(quantity) AS monthly_quantity, count(DISTINCT order_id) AS monthly_orders FROM fct_order_line JOIN dim_date USING (date_key) JOIN dim_product USING (product_key)
+        WHERE year >= year(DATE '{AS_OF}') - 2 GROUP BY ALL), a AS (SELECT product_category, avg(x) AS mean, stddev_samp(x) AS dev FROM m GROUP BY 1)
+        SELECT month, quarter, product_category, product_brand, round(x, 2) AS monthly_spend_aud, monthly_quantity, monthly_orders, round((x - mean) / nullif(dev, 0), 2) AS spend_seasonality_zscore, round((x / nullif(mean, 0) - 1) * 100, 2) AS spend_variance_from_avg_percent FROM m JOIN a USING (product_category)""",
+    "q6_vendors": f"""WITH w AS (SELECT vendor_key, vendor_name, vendor_category, vendor_tier, v.country_code AS vendor_country, count(DISTINCT order_id) AS total_orders, round(sum(line_total_aud), 2) AS total_spend_aud, avg(line_total_aud) AS line,
+        count(DISTINCT sku_id) AS unique_products_supplied, count(DISTINCT cost_centre_id) AS cost_centres_served FROM {_SALES} WHERE {_SINCE.format(12)} GROUP BY ALL),
+        x AS (SELECT vendor_key, count(*) AS n FROM fct_data_quality JOIN dim_date USING (date_key) WHERE {_SINCE.format(12)} GROUP BY 1),
+        r AS (SELECT w.*, coalesce(n, 0) AS data_quality_issues, row_number() OVER (ORDER BY total_spend_aud DESC, w.vendor_key) AS spend_rank, row_number() OVER (ORDER BY total_orders DESC, w.vendor_key) AS volume_rank,
+        row_number() OVER (ORDER BY unique_products_supplied DESC, w.vendor_key) AS diversity_rank, row_number() OVER (ORDER BY coalesce(n, 0), total_spend_aud DESC, w.vendor_key) AS quality_rank,
+        round(total_spend_aud / sum(total_spend_aud) OVER () * 100, 2) AS spend_concentration_percent FROM w LEFT JOIN x ON w.vendor_key = x.vendor_key)
+        SELECT vendor_name, vendor_category, vendor_tier, vendor_country, total_spend_aud, total_orders, unique_products_supplied, cost_centres_served, data_quality_issues, spend_rank, volume_rank, diversity_rank, quality_rank, spend_concentration_percent,
+        round(line, 2) AS avg_line_value_aud, round(total_spend_aud / nullif(total_orders, 0), 2) AS avg_order_value_aud, CASE WHEN spend_rank <= 2 AND quality_rank <= 3 THEN 'Strategic Partner' WHEN spend_rank <= 3 AND diversity_rank <= 2 THEN 'Key Supplier'
+        WHEN total_orders >= 50 AND data_quality_issues <= 5 THEN 'Reliable Supplier' WHEN spend_concentration_percent < 1 AND total_orders < 10 THEN 'Consolidation Candidate' ELSE 'Standard Supplier' END AS vendor_classification FROM r""",
+    "q7_executive": f"""WITH t AS (SELECT date_trunc('month', DATE '{AS_OF}')::DATE AS m), s AS (SELECT f.*, date_actual, vendor_id, sku_id FROM {_SALES.replace(' JOIN dim_cost_centre c USING (cost_centre_key)', '')}),
+        k AS (SELECT 'Current Month' AS period_name, s.* FROM s, t WHERE date_trunc('month', date_actual) = m UNION ALL SELECT 'Previous Month', s.* FROM s, t WHERE date_actual >= m - INTERVAL 1 MONTH AND date_actual < m
+        UNION ALL SELECT 'Year to Date', s.* FROM s, t WHERE year(date_actual) = year(m)),
+        a AS (SELECT period_name, sum(line_total_aud) AS aud, count(DISTINCT order_id) AS total_orders, count(*) AS total_line_items, count(DISTINCT vendor_id) AS active_vendors, count(DISTINCT sku_id) AS unique_products, avg(line_total_aud) AS line FROM k GROUP BY 1),
+        n AS (SELECT unnest(['Current Month', 'Previous Month', 'Year to Date']) AS period_name),
+        q AS (SELECT count(*) AS total_exceptions, round(avg(fuzz_score), 2) AS avg_data_quality_score FROM fct_data_quality JOIN dim_date USING (date_key), t WHERE date_trunc('month', date_actual) = m)
+        SELECT period_name, round(aud, 2) AS total_spend_aud, coalesce(total_orders, 0) AS total_orders, coalesce(total_line_items, 0) AS total_line_items, coalesce(active_vendors, 0) AS active_vendors, coalesce(unique_products, 0) AS unique_products, round(line, 2) AS avg_line_value,
+        total_exceptions, avg_data_quality_score, CASE WHEN period_name = 'Current Month' THEN round((aud - lag(aud) OVER (ORDER BY period_name DESC)) / nullif(lag(aud) OVER (ORDER BY period_name DESC), 0) * 100, 2) END AS mom_spend_growth_percent FROM n LEFT JOIN a USING (period_name), q""",
+}
+for (_key, _sql), _f in zip(_QUESTION_SQL.items(), questions.QUESTIONS.values(), strict=True):
+
+    def _question(spark: SparkSession, d: str, f: Callable = _f) -> DataFrame:
+        return f(standin.tables(spark, d), AS_OF)
+
+    _head, _, _tail = _sql.partition("SELECT") if _sql.startswith("WITH") else ("", "", "")
+    if _head:
+        ORACLE_SQL[_key] = with_base(_sql[4:].strip()).rstrip()
+        # the question's own expressions follow the base's
+        _whole = with_base("#" + _sql[4:].strip())
+        ORACLE_SQL[_key] = _whole.replace("\n#", ",\n")
+    else:
+        ORACLE_SQL[_key] = with_base(_sql)
+    QUERIES[_key] = _question
+
+
+# ---- checks ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'not_null' AS \"check\", column_name, failures FROM (SELECT unnest(['order_id', 'sku_id', 'vendor_brand', 'unit_price']) AS column_name, unnest([count(*) FILTER (order_id IS NULL), count(*) FILTER (sku_id IS NULL), count(*) FILTER (vendor_brand IS NULL), count(*) FILTER (unit_price IS NULL)]) AS failures FROM lines1)")
+def check_not_null(spark: SparkSession, d: str) -> DataFrame:
+    return checks.not_null(standin.order_lines(spark, d), ["order_id", "sku_id", "vendor_brand", "unit_price"])
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1", base=False)
+def check_unique(spark: SparkSession, d: str) -> DataFrame:
+    return checks.unique(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY 1", base=False)
+def check_accepted_values(spark: SparkSession, d: str) -> DataFrame:
+    return checks.accepted_values(table(spark, d, "events"), "event_type", ["click", "view"])
+
+
+@query("SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40) GROUP BY 1", base=False)
+def check_relationships(spark: SparkSession, d: str) -> DataFrame:
+    return checks.relationships(table(spark, d, "lineitem"), "l_partkey", table(spark, d, "part").where("p_size < 40"), "p_partkey")
+
+
+@query("SELECT count(*) AS n FROM region HAVING count(*) < 100", base=False)
+def check_rowcount(spark: SparkSession, d: str) -> DataFrame:
+    return checks.row_count(table(spark, d, "region"), 100)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_linenumber < 2 AND l_quantity > 40 THEN 'line_number,quantity' WHEN l_linenumber < 2 THEN 'line_number' ELSE 'quantity' END AS broken FROM lineitem WHERE l_linenumber < 2 OR l_quantity > 40", base=False)
+def check_ranges(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return checks.violations(rows, {"line_number": F.col("l_linenumber") >= 2, "quantity": F.col("l_quantity") <= 40}).withColumn("broken", F.array_join("broken", ","))
+
+
+@query("SELECT * FROM (SELECT count(*) AS row_count, count(*) FILTER (sku_id IS NULL) AS null_sku_id, count(*) FILTER (order_date IS NULL) AS null_order_date, count(*) FILTER (quantity < 0) + count(*) FILTER (unit_price < 0) AS negative_values FROM lines1), (SELECT count(*) AS distinct_keys FROM (SELECT DISTINCT order_id, line_number FROM lines1))")
+def contract_report(spark: SparkSession, d: str) -> DataFrame:
+    return checks.contract_report(standin.order_lines(spark, d), ["sku_id", "order_date"], ["order_id", "line_number"], ["quantity", "unit_price"])
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in ("orders", "lineitem", "part", "supplier")), base=False)
+def table_counts(spark: SparkSession, d: str) -> DataFrame:
+    return checks.table_counts({t: table(spark, d, t) for t in ("orders", "lineitem", "part", "supplier")})
+
+
+# ---- seeds and curation ---------------------------------------------------------------------------------------------
+
+
+def _seeds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    part, k = table(spark, d, "part"), F.col("p_partkey")
+    name = lambda other: F.when(k % 3 == other, "approved_seed").otherwise("auto_ref").alias("source")
+    old = part.where(k % 2 == 0).select(k.cast("string").alias("sku_id"), F.col("p_name").alias("canonical_name"), name(0), F.lit("2025-01-01").alias("effective_from"), F.lit("v0.1").alias("version"))
+    new = part.where(k % 5 != 0).select(k.cast("string").alias("sku_id"), F.col("p_type").alias("canonical_name"), name(1), F.lit("2025-02-01").alias("effective_from"), F.lit("v0.2").alias("version"))
+    return old, new
+
+
+_SEEDS = """o AS (SELECT CAST(p_partkey AS VARCHAR) AS sku_id, p_name AS canonical_name, CASE WHEN p_partkey % 3 = 0 THEN 'approved_seed' ELSE 'auto_ref' END AS source, '2025-01-01' AS effective_from, 'v0.1' AS version FROM part WHERE p_partkey % 2 = 0),
+n AS (SELECT CAST(p_partkey AS VARCHAR) AS sku_id, p_type AS canonical_name, CASE WHEN p_partkey % 3 = 1 THEN 'approved_seed' ELSE 'auto_ref' END AS source, '2025-02-01' AS effective_from, 'v0.2' AS version FROM part WHERE p_partkey % 5 <> 0)"""
+
+
+@query(f"WITH {_SEEDS} SELECT * EXCLUDE (p, fresh) FROM (SELECT *, CASE source WHEN 'approved_seed' THEN 2 ELSE 1 END AS p, 0 AS fresh FROM o UNION ALL SELECT *, CASE source WHEN 'approved_seed' THEN 2 ELSE 1 END, 1 FROM n) QUALIFY row_number() OVER (PARTITION BY sku_id ORDER BY p DESC, fresh DESC) = 1", base=False)
+def seed_upsert(spark: SparkSession, d: str) -> DataFrame:
+    return seed.upsert(*_seeds(spark, d))
+
+
+@query("SELECT 'v0.' || (max(p_size) + 1) AS version FROM part", base=False)
+def version_bump(spark: SparkSession, d: str) -> DataFrame:
+    return seed.next_version(table(spark, d, "part").select(F.concat(F.lit("v0."), F.col("p_size")).alias("version")))
+
+
+@query("SELECT sku_id, item_description_cleaned AS description, count(*) AS line_order_count FROM lines1 WHERE sku_id IS NOT NULL AND item_description_cleaned IS NOT NULL GROUP BY ALL")
+def sku_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return curation.candidates(standin.order_lines(spark, d), "sku_id", "item_description_cleaned")
+
+
+@query("SELECT token, CAST(count(*) AS BIGINT) AS total, CAST(count(DISTINCT p_partkey) AS BIGINT) AS presence FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS token FROM part) WHERE token <> '' GROUP BY 1", base=False)
+def token_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return curation.token_counts(table(spark, d, "part"), "p_partkey", "p_name")
+
+
+_TOKENS = "t AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS token FROM part)"
+
+
+@query(f"WITH {_TOKENS} SELECT a.token AS a, b.token AS b, levenshtein(a.token, b.token) AS distance FROM t a, t b WHERE a.token < b.token AND levenshtein(a.token, b.token) <= 3", base=False)
+def levenshtein_pairs(spark: SparkSession, d: str) -> DataFrame:
+    tokens = curation.token_counts(table(spark, d, "part"), "p_partkey", "p_name").select("token")
+    return matching.close_pairs(tokens, "token", 3)
+
+
+@query(
+    """WITH t AS (SELECT p_brand, unnest(string_split(lower(p_name), ' ')) AS token FROM part), c AS (SELECT p_brand, token, count(*) AS n FROM t GROUP BY ALL)
+    SELECT x.p_brand, x.token, coalesce(arg_max(y.token, (y.n, length(y.token), y.token)) FILTER (y.token IS NOT NULL), x.token) AS representative FROM c x LEFT JOIN c y
+    ON x.p_brand = y.p_brand AND length(y.token) >= 4 AND levenshtein(x.token, y.token) <= 2 AND (y.n, length(y.token), y.token) >= (x.n, length(x.token), x.token) GROUP BY x.p_brand, x.token""",
+    base=False,
+)
+def typo_collapse(spark: SparkSession, d: str) -> DataFrame:
+    return curation.typo_map(table(spark, d, "part"), "p_brand", "p_name", max_distance=2, min_length=4)
+
+
+@query()
+def curation_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Names of each brand's parts, ranked and decided; per brand one group of distinct names."""
+    return curation.decide(curation.candidates(table(spark, d, "part"), "p_brand", "p_name"), "p_brand", "description")
+
+
+@query()
+def vendor_best_match(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaned-up company names against all vendors."""
+    names = table(spark, d, "customer").select(F.concat_ws(" ", F.col("c_mktsegment"), F.when(F.col("c_custkey") % 3 == 0, "supply").otherwise("data")).alias("brand"))
+    vendors = standin.vendors(spark, d).withColumn("vendor_name", F.regexp_replace("vendor_name", r"^\S+ ", "")).groupBy("vendor_name").agg(F.min("vendor_id").alias("vendor_id"))
+    return matching.best_match(names, "brand", vendors, "vendor_id", "vendor_name")
+
+
+@query()
+def fuzzy_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Part names against their types by four scores; distinct pairs only are scored."""
+    pairs = table(spark, d, "part").select(F.lower("p_name").alias("a"), F.lower("p_type").alias("b")).distinct()
+    return pairs.select("a", "b", *[F.round(similarity(n, F.col("a"), F.col("b")), 6).alias(n) for n in ("ratio", "token_sort_ratio", "partial_token_set_ratio", "partial_token_ratio")])
+
+
+# ---- reports --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT r_name, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 0), 2) AS F, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 0), 2) AS O, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'P'), 0), 2) AS P FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1", base=False)
+def region_pivot(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return reports.pivot_sum(df, ["r_name"], "o_orderstatus", ["F", "O", "P"], "o_totalprice")
+
+
+@query("SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total, round(avg(c_acctbal), 2) AS mean, round(stddev_samp(c_acctbal), 4) AS deviation FROM customer GROUP BY 1", base=False)
+def segment_summary(spark: SparkSession, d: str) -> DataFrame:
+    return reports.summary(table(spark, d, "customer"), ["c_mktsegment"], "c_acctbal")
+
+
+@query("SELECT p_brand, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1 ORDER BY total DESC, p_brand LIMIT 5", base=False)
+def top_brands(spark: SparkSession, d: str) -> DataFrame:
+    return reports.top(table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")), ["p_brand"], "l_extendedprice", 5)
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS sku_id, 'UPDATE seeds SET canonical_name = ''' || replace(s_name, '''', '''''') || ''' WHERE sku_id = ''' || s_suppkey || ''';' AS statement FROM supplier WHERE s_suppkey % 3 = 0", base=False)
+def approval_statements(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("sku_id"), F.col("s_name").alias("final_sku_name"), F.when(F.col("s_suppkey") % 3 == 0, "APPROVED").otherwise("AUTO").alias("decision"))
+    return reports.update_statements(rows, "seeds")
+
+
+@query("SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal, c_nationkey, round(sum(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_custkey), 2) AS running, lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS previous FROM customer", base=False)
+def running_balance(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    return table(spark, d, "customer").select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"), "c_nationkey", F.round(F.sum("c_acctbal").over(w), 2).alias("running"), F.lag("c_custkey").over(w).alias("previous"))
+
+
+@query("SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%brass%' THEN 'Brass' WHEN lower(p_type) LIKE '%steel%' OR lower(p_type) LIKE '%tin%' THEN 'Steel' ELSE 'Other' END AS label FROM part", base=False)
+def rule_labels(spark: SparkSession, d: str) -> DataFrame:
+    label: Column = text.first_rule(F.col("p_type"), (("Brass", ("brass",)), ("Steel", ("steel", "tin"))), "Other")
+    return table(spark, d, "part").select("p_partkey", label.alias("label"))
