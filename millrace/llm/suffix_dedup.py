@@ -276,8 +276,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_te
     opened = kinds.groupBy("one.k1", "one.k2").agg(
         F.collect_list(F.when(F.col("contexts") <= HOT, F.col("one.lo"))).alias("few"), F.collect_list(F.when(F.col("contexts") > HOT, F.col("one.lo"))).alias("many"))
     opened = cut(opened)
-    texts = named.select("k1", "k2", "t").where(F.octet_length("t") >= LENGTH)
-    of = lambda which: texts.join(opened.where(F.size(which) > 0).select("k1", "k2", which), ["k1", "k2"]).select("k1", "k2", "t", which)
+    # all columns go along, so that this exchange of the texts and the last one are the same and are made once
+    of = lambda which: named.join(opened.where(F.size(which) > 0).select("k1", "k2", which), ["k1", "k2"]).select("k1", "k2", "t", which, "id", *extra)
     contexts = map_batches(of("few"), _contexts, "h bigint, k1 bigint, k2 int, lo int, at int, bytes binary")
     refined = map_batches(contexts.repartition("h").sortWithinPartitions("h"), _refine, "k1 bigint, k2 int, lo int, hi int")
     covered = covered.unionByName(refined)
