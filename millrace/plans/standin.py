@@ -37,15 +37,20 @@ def cost_centres(spark: SparkSession, d: str) -> DataFrame:
 
 
 def products(spark: SparkSession, d: str) -> DataFrame:
+    """Products with their texts cleaned and scored: once per product, not once per line."""
     k = F.col("p_partkey")
-    return table(spark, d, "part").select(k.alias("p_partkey"), F.concat("p_name", F.lit(" "), _pick(PRODUCT_WORDS, k)).alias("product_name"), "p_type")
+    df = table(spark, d, "part").select(k, F.concat("p_name", F.lit(" "), _pick(PRODUCT_WORDS, k)).alias("product_name"), "p_type")
+    text = F.concat("product_name", F.when(k % 80 == 0, " Delivery Fee").otherwise(""))
+    df = df.select("*", text.alias("item_description_original"), clean_text(text).alias("item_description_cleaned"), charge_hint(text).alias("non_product_hint"), F.lower(F.when(k % 17 == 0, F.col("p_type")).otherwise(F.col("product_name"))).alias("known"))
+    clean, known = F.col("item_description_cleaned"), F.col("known")
+    return df.withColumn("similarity", F.round(1 - F.levenshtein(clean, known) / F.greatest(F.length(clean), F.length(known)), 6))
 
 
 def seed(spark: SparkSession, d: str) -> DataFrame:
     """Nine in ten products; some with a name that does not match."""
     k = F.col("p_partkey")
     return products(spark, d).where(k % 10 != 0).select(
-        k.cast("string").alias("sku_id"), F.lower(F.when(k % 17 == 0, F.col("p_type")).otherwise(F.col("product_name"))).alias("canonical_name"),
+        k.cast("string").alias("sku_id"), F.col("known").alias("canonical_name"),
         F.when(k % 3 == 0, "auto_ref").otherwise("approved_seed").alias("source"), F.lit("2025-01-01").alias("effective_from"), F.lit("v0.1").alias("version"))
 
 
@@ -62,21 +67,17 @@ def order_lines(spark: SparkSession, d: str) -> DataFrame:
     line, part, s = table(spark, d, "lineitem"), F.col("l_partkey"), F.col("l_suppkey")
     df = line.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     df = df.join(products(spark, d), part == F.col("p_partkey")).join(table(spark, d, "supplier"), s == F.col("s_suppkey"))
-    text = F.concat("product_name", F.when(part % 80 == 0, " Delivery Fee").otherwise(""))
     sku = F.when(part % 40 != 0, part.cast("string"))
     brand = F.when(s % 33 != 0, F.col("s_name"))
     seeded = (part % 10 != 0) & sku.isNotNull()
-    known = F.lower(F.when(part % 17 == 0, F.col("p_type")).otherwise(F.col("product_name")))
-    clean = clean_text(text)
-    size = F.greatest(F.length(clean), F.length(known))
-    score = F.when(seeded, F.round(1 - F.levenshtein(clean, known) / size, 6))
+    score = F.when(seeded, F.col("similarity"))
     matched = seeded & brand.isNotNull() & (F.col("s_acctbal") > 0)
     return df.select(
-        F.col("l_orderkey").cast("string").alias("order_id"), F.col("l_linenumber").cast("long").alias("line_number"), sku.alias("sku_id"), text.alias("item_description_original"), clean.alias("item_description_cleaned"),
+        F.col("l_orderkey").cast("string").alias("order_id"), F.col("l_linenumber").cast("long").alias("line_number"), sku.alias("sku_id"), "item_description_original", "item_description_cleaned",
         F.col("l_quantity").alias("quantity"), F.try_divide("l_extendedprice", "l_quantity").alias("unit_price"), F.when(F.col("c_nationkey") % 2 == 0, "AUD").otherwise("USD").alias("currency"), brand.alias("vendor_brand"),
         F.concat(F.lit("CC_"), "c_nationkey").alias("cost_centre_id"), F.concat(F.lit("user"), "o_custkey").alias("requisitioner"), F.col("o_orderstatus").alias("approval_status"),
         F.col("l_shipdate").cast("date").alias("delivery_date"), F.col("o_orderdate").cast("date").alias("order_date"), F.concat(F.lit("orders_"), "c_nationkey", F.lit(".json")).alias("source_filename"),
-        charge_hint(text).alias("non_product_hint"), F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "c_nationkey").alias("line_uid"), score.alias("fuzz_score"), brand.alias("vendor_brand_original"),
+        "non_product_hint", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "c_nationkey").alias("line_uid"), score.alias("fuzz_score"), brand.alias("vendor_brand_original"),
         F.when(matched, s.cast("string")).alias("matched_vendor_id"), F.when(matched, F.col("s_name")).alias("matched_vendor_name"), F.when(seeded, F.when(matched, 1.0).otherwise(0.0)).alias("vendor_fuzz_score"))
 
 
