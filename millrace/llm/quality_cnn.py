@@ -178,3 +178,21 @@ def classify(df: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: s
     kind = df.schema[id_col].dataType.simpleString()
     out = map_batches(df.select(df[id_col].alias("id"), df[text_col].alias("t")), run, f"id {kind}, score double, predicted int")
     return out.withColumnRenamed("id", id_col)
+
+
+def keep(df: DataFrame, net: Net | None, text_col: str = "text", good_from: float = GOOD_FROM) -> DataFrame:
+    """The rows that `classify` predicts to be good, with all their columns; all rows without a network."""
+    if net is None:
+        return df
+    sent = df.sparkSession.sparkContext.broadcast(net)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            on: list[bool] = []
+            for lo, hi in by_bytes(texts, 1 << 18):
+                on += (score(sent.value, [(t or "").encode() for t in texts[lo:hi]]) >= good_from).tolist()
+            yield b.filter(pa.array(on, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
