@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, cut
+from .common import WORD_GAP, cut, without
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -126,6 +126,15 @@ def _sums(d: DataFrame, keys: list[str]) -> DataFrame:
     return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{i}") for i, c in enumerate(v)], *[F.sum(F.col(v[i]) * F.col(v[j])).alias(f"s_{i}_{j}") for i in range(len(v)) for j in range(i + 1)])
 
 
+def _quantiles(d: DataFrame, keys: list[str], columns: list[tuple[str, str]], q: float) -> DataFrame:
+    """Exact quantiles of rounded columns. Equal values are counted in the tasks first, so that a group of any size
+    reaches the task of its quantile as a bounded list of values and counts."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("v")) for k, (c, _) in enumerate(columns)]))
+    counts = d.select(*keys, pairs.alias("x")).groupBy(*keys, "x.k", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    by = [F.expr(f"percentile(v, {q}, n) filter (where k = {k})").alias(name) for k, (_, name) in enumerate(columns)]
+    return counts.groupBy(*keys).agg(*by)
+
+
 def mcd(rows: DataFrame) -> DataFrame:
     """rows: GROUP and STATISTICS. One estimate per group: means, precision matrix, log determinant."""
     k = len(STATISTICS)
@@ -133,25 +142,26 @@ def mcd(rows: DataFrame) -> DataFrame:
     classical = _estimate(_sums(rows, list(GROUP)), list(GROUP), 1.0).withColumn("start", F.lit(0))
     # the other start: medians and median absolute deviations, of values rounded to fiftieths
     coarse = [(F.round(F.col(v) / 20) * 20).alias(v) for v in STATISTICS]
-    mid = rows.select(*GROUP, *coarse).groupBy(*GROUP).agg(*[F.expr(f"percentile({v}, 0.5)").alias(f"m_{i}") for i, v in enumerate(STATISTICS)])
+    mid = _quantiles(rows.select(*GROUP, *coarse), list(GROUP), [(v, f"m_{i}") for i, v in enumerate(STATISTICS)], 0.5)
     off = rows.join(mid, list(GROUP)).select(*GROUP, *[f"m_{i}" for i in range(k)], *[(F.round(F.abs(F.col(v) - F.col(f"m_{i}")) / 20) * 20).alias(v) for i, v in enumerate(STATISTICS)])
-    mad = off.groupBy(*GROUP, *[f"m_{i}" for i in range(k)]).agg(*[F.expr(f"percentile({v}, 0.5)").alias(f"a_{i}") for i, v in enumerate(STATISTICS)])
+    mad = _quantiles(off, list(GROUP), [(v, f"a_{i}") for i, v in enumerate(STATISTICS)], 0.5).join(mid, list(GROUP))
     robust = mad.select(*GROUP, *[f"m_{i}" for i in range(k)],
                         *[(1 / (F.pow(1.4826 * F.col(f"a_{i}"), 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"p_{i}_{j}") for i in range(k) for j in range(i + 1)],
                         F.lit(0.0).alias("log_det"), F.lit(1).alias("start"))
     now = cut(classical.unionByName(robust))
     for _ in range(STEPS):
         near = rows.join(now, list(GROUP)).withColumn("d2", F.least(F.round(_distance(now), 2), F.lit(1000.0)))
-        bound = near.groupBy(*keys).agg(F.expr(f"percentile(d2, {CORE_SHARE})").alias("core"))
+        bound = _quantiles(near, keys, [("d2", "core")], CORE_SHARE)
         core = near.join(bound, keys).where(F.col("d2") <= F.col("core"))
         now = cut(_estimate(_sums(core, keys), keys, CONSISTENCY))
     names = [c for c in now.columns if c not in keys]
     return now.groupBy(*GROUP).agg(F.min(F.struct("log_det", "start", *[n for n in names if n != "log_det"])).alias("e")).select(*GROUP, "e.*").drop("start")
 
 
-def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", named: bool = False) -> DataFrame:
     """One row per input row: `id_col`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    distance (squared, from the estimate of the row's language and source; null if the base rules reject it) and kept.
+    distance (squared, from the estimate of the row's language and source; null if the base rules reject it) and kept;
+    with `named` also text_hash, which together with the id names a row and its copies.
 
     Words are maximal runs of anything but ASCII blanks; a null text has none, so it fails. Null languages and
     sources are groups like any other, a null id is a row like any other, equal rows get equal verdicts. Documents that
@@ -159,7 +169,7 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     language; what is still that small is kept. Other columns are left out, whatever their names. An empty input gives
     no rows.
     """
-    d = base_statistics(df, id_col, text_col, {"lang": F.col(lang_col), "source": F.col(source_col)})
+    d = base_statistics(df, id_col, text_col, {"lang": F.col(lang_col), "source": F.col(source_col), "text_hash": F.xxhash64(F.col(text_col))})
     d = cut(_vector(d))
     passed = d.where(~F.col("base_failed"))
     lang, source = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("-")), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
@@ -173,5 +183,10 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     far = F.when(~F.col("base_failed"), _distance(out))
     out = out.withColumn("distance", far)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= EXTREME)
-    return out.select(F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
+    return out.select(F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"), *(["text_hash"] if named else []))
+
+
+def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that `assess` keeps, with all their columns."""
+    return without(df, assess(df, id_col, text_col, named=True).where(~F.col("kept")), id_col, text_col)
 
