@@ -27,7 +27,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: Thousandths of: log words, mean word length, log symbol rate, log duplicate-line rate, log repetition rate.
 STATISTICS = ("v_words", "v_length", "v_symbols", "v_lines", "v_repeats")
 #: Spread, in thousandths, below which no group's statistic is taken to be; keeps covariances regular.
-FLOORS = (700, 350, 250, 250, 250)
+FLOORS = (700, 350, 250, 400, 400)
 #: Share of a group that a concentration step keeps, and what makes its covariance consistent at the normal
 #: distribution for five statistics: share / P(chi2 with 7 degrees < share's quantile of chi2 with 5).
 CORE_SHARE, CONSISTENCY = 0.75, 1.41
@@ -35,7 +35,7 @@ STEPS = 3
 #: Groups with fewer rows join the other small groups of their language.
 MIN_GROUP = 60
 #: Squared distance that counts as extreme; far beyond chi-squared with 5 degrees, whose tail statistics of text exceed.
-EXTREME = 50.0
+EXTREME = 32.0
 #: Positions share a long with their window's hash up to this many words; beyond, they are sorted as pairs.
 PACKED_BITS = 21
 
