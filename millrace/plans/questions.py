@@ -61,8 +61,8 @@ def price_variance(t: Tables, as_of: str, k: int = 25) -> DataFrame:
 
 def regions(t: Tables, as_of: str) -> DataFrame:
     """Spend and order structure of the last twelve months by country, region and vendor category."""
-    named = {**t, "dim_cost_centre": t["dim_cost_centre"].withColumnRenamed("country_code", "cc_country")}
-    df = _joined(named, "fct_order_line", "dim_date", "dim_cost_centre", "dim_vendor", "dim_product", when=_since(as_of, 12))
+    centres = t["dim_cost_centre"].withColumnRenamed("country_code", "cc_country")
+    df = _joined(t, "fct_order_line", "dim_date", "dim_vendor", "dim_product", when=_since(as_of, 12)).join(centres, "cost_centre_key")
     fine = df.groupBy("cc_country", "region", "cost_centre_name", "quarter", "year", "vendor_category").agg(
         F.countDistinct("order_id").alias("orders"), F.count(F.lit(1)).alias("lines"), F.sum("line_total_aud").alias("aud"), F.avg("line_total_aud").alias("line_aud"),
         F.countDistinct("vendor_id").alias("vendors"), F.countDistinct("sku_id").alias("products"))
