@@ -40,25 +40,25 @@ class Net:
         return [self.embed, self.filters, self.offset, self.hidden, self.hidden_offset, self.out, self.out_offset]
 
 
-def _lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes in rows of one segment, each text padded to whole segments (one at least); and segments of each text."""
+def _lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, each text padded to whole segments (one at least) and kept apart by one more, so that no filter sees two
+    texts; segments of each text; where these are among all."""
     n = np.array([max(1, -(-len(t) // SEGMENT)) for t in texts])
-    flat = np.full(n.sum() * SEGMENT + WIDTH, 256, np.int32)
-    at = 0
-    for t, k in zip(texts, n.tolist(), strict=True):
+    first = np.cumsum(n + 1) - n - 1
+    flat = np.full((n + 1).sum() * SEGMENT + WIDTH, 256, np.int32)
+    for t, at in zip(texts, (first * SEGMENT).tolist(), strict=True):
         flat[at : at + len(t)] = np.frombuffer(t, np.uint8)
-        at += k * SEGMENT
-    return flat, n
+    return flat, n, np.arange(n.sum()) + np.repeat(np.arange(len(n)), n)
 
 
 def _forward(net: Net, texts: list[bytes]):
-    flat, n = _lay_out(texts)
+    flat, n, own = _lay_out(texts)
     x = net.embed[flat]
-    m = n.sum() * SEGMENT // STRIDE
     s = x.strides
-    view = np.lib.stride_tricks.as_strided(x, (m, WIDTH * EMBED), (STRIDE * s[0], s[1]))
-    seen = (np.ascontiguousarray(view) @ net.filters).reshape(n.sum(), SEGMENT // STRIDE, FILTERS)
-    return flat, n, view, seen
+    whole = np.lib.stride_tricks.as_strided(x, ((n + 1).sum(), SEGMENT // STRIDE, WIDTH * EMBED), (SEGMENT * s[0], STRIDE * s[0], s[1]))
+    patches = whole[own].reshape(-1, WIDTH * EMBED)
+    seen = (patches @ net.filters).reshape(n.sum(), SEGMENT // STRIDE, FILTERS)
+    return flat, n, own, patches, seen
 
 
 def _combine(net: Net, pooled: np.ndarray, n: np.ndarray):
@@ -78,7 +78,7 @@ def _combine(net: Net, pooled: np.ndarray, n: np.ndarray):
 
 
 def score(net: Net, texts: list[bytes]) -> np.ndarray:
-    flat, n, _, seen = _forward(net, texts)
+    _, n, _, _, seen = _forward(net, texts)
     pooled = np.maximum(seen.max(1) + net.offset, 0)
     logit = _combine(net, pooled, n)[-1]
     return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -30, 30)))
@@ -99,7 +99,7 @@ def train(rows: list[tuple[str, int]], prior: float, epochs: int = 8, batch: int
         order = rng.permutation(len(rows))
         for lo in range(0, len(rows), batch):
             own = order[lo : lo + batch]
-            flat, n, view, seen = _forward(net, [texts[k] for k in own])
+            flat, n, place, patches, seen = _forward(net, [texts[k] for k in own])
             win = seen.argmax(1)
             raw = np.take_along_axis(seen, win[:, None, :], 1)[:, 0] + net.offset
             pooled = np.maximum(raw, 0)
@@ -118,15 +118,15 @@ def train(rows: list[tuple[str, int]], prior: float, epochs: int = 8, batch: int
             d_seen = (d_pool * (raw > 0)).astype(f4)
             seg, fil = np.nonzero(d_seen)
             g = d_seen[seg, fil]
-            pos = seg * (SEGMENT // STRIDE) + win[seg, fil]
-            patch = view[pos]
+            won = win[seg, fil]
+            patch = patches[seg * (SEGMENT // STRIDE) + won]
             d_filters = np.zeros_like(net.filters)
             d_embed = np.zeros_like(net.embed)
             spread = net.filters.T[fil] * g[:, None]
             for k in range(FILTERS):
                 on = fil == k
                 d_filters[:, k] = g[on] @ patch[on]
-            at = flat[(pos * STRIDE)[:, None] + np.arange(WIDTH)]
+            at = flat[(place[seg] * SEGMENT + won * STRIDE)[:, None] + np.arange(WIDTH)]
             for e in range(EMBED):
                 d_embed[:, e] = np.bincount(at.ravel(), spread.reshape(-1, WIDTH, EMBED)[:, :, e].ravel(), 257)
             grads = [d_embed, d_filters, d_seen.sum(0), chunk.T @ d_raw, d_raw.sum(0), both.T @ d_logit, np.array([d_logit.sum()])]
