@@ -31,6 +31,8 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 TREES, DEPTH, VALUES = 24, 3, 96
 NEAR = 6
+#: Of the large regions one in so many sorts its neighbours; the clusters handle all of them exactly.
+SORTED = 4
 #: Classes of a region from which on its sort is cut by a deeper prefix; classes and shingles of a block of a cluster.
 DEEP, BLOCK, BLOCK_SHINGLES = 20_000, 1024, 1_000_000
 #: Equal values of two signatures that call for a look at the texts: 0.75 * 96 less more than four deviations.
@@ -221,7 +223,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = cut(members.withColumn("deep", F.when(F.col("m") > DEEP, F.col("o")).otherwise(F.lit(0).cast("long"))))
     order = Window.partitionBy("p", "deep").orderBy("o", "rep")
     small = F.col("m") <= NEAR + 1
-    ahead = members.select(F.col("rep").alias("a"), F.array(F.lead("rep", 1).over(order), *[F.when(small, F.lead("rep", k).over(order)) for k in range(2, NEAR + 1)]).alias("next"))
+    sorted_ = members.where(small | (F.pmod("p", F.lit(SORTED)) == 0))
+    ahead = sorted_.select(F.col("rep").alias("a"), F.array(F.lead("rep", 1).over(order), *[F.when(small, F.lead("rep", k).over(order)) for k in range(2, NEAR + 1)]).alias("next"))
     ahead = ahead.select("a", F.explode(F.filter("next", lambda x: x.isNotNull())).alias("b"))
     pairs = cut(_ordered(regions.where("m = 2").select("a", "b").unionByName(ahead)))
     named_text = docs.where("id is not null").select(F.col("id").alias("rep"), F.xxhash64("t").alias("text_hash"), "t")
@@ -251,7 +254,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         opened = inside.where(F.col("comp") != F.col("main")).select("g", "rep", "comp", "sig", "t", share("shares").alias("share"), spread("blocks").alias("block"))
         block = inside.select("g", "rep", "comp", "sig", "t", share("blocks").alias("block"), spread("shares").alias("share"))
         more = fresh(opened).groupBy("g", "block", "share").cogroup(fresh(block).groupBy("g", "block", "share")).applyInArrow(_meet, "a bigint, b bigint")
-        comps = cut(components(links.unionByName(more)))
+        # links between classes become links between components; these are few
+        to = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        joined = more.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        merged = cut(components(joined)).withColumnRenamed("node", "old").withColumnRenamed("component", "new")
+        comps = comps.unionByName(merged.select(F.col("old").alias("node"), F.col("old").alias("component")).join(comps.select("node"), "node", "left_anti"))
+        comps = cut(comps.join(merged, comps["component"] == merged["old"], "left").select("node", F.coalesce("new", "component").alias("component")))
 
     at = classes.select(*name, "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(*name, F.coalesce("component", "rep").alias("component"))
     out = sets.drop("sig").join(at, name, "left").select(
