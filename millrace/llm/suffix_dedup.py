@@ -265,6 +265,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_te
     named = docs.select(*_keys("id", "t"), "id", "t", *extra)
     anchors = map_batches(named.select("k1", "k2", "t").where(F.octet_length("t") >= LENGTH), _anchors, "h bigint, c bigint, k1 bigint, k2 int, lo int, hi int")
     shared = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("h", (F.col("c0") == F.col("c1")).alias("alike"))
+    # cut here, so that the join below deals out both sides itself and can split a hot bucket
+    shared = cut(shared)
     met = cut(anchors.join(shared, "h"))
     mixed = met.where("not alike").select("h", "c", "k1", "k2", "lo", "hi")
     one = F.struct("k1", "k2", "lo")
