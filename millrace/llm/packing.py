@@ -24,7 +24,9 @@ from .bpe import byte_of_char
 from .common import map_batches
 
 SEQUENCE_TOKENS = 2048
-OPEN_SEQUENCES = 1024
+OPEN_SEQUENCES = 4096
+#: Documents of a window, and bytes of their ids after which it ends early.
+WINDOW, WINDOW_BYTES = 2000, 32 << 20
 #: What a worker remembers of chunks (between spaces) and of pieces, before it starts afresh.
 REMEMBER = 600_000
 #: Fixed value: the word-level tokenizer's own split pattern.
@@ -148,20 +150,31 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
         words, bins = word_tokens(path), Bins(size, open_sequences)
         first = TaskContext.get().partitionId() << 40
         names = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"][: 7 + with_ids]
-        for b in batches:
+        kinds = [None, pa.int32(), *[pa.int64()] * 5, pa.list_(pa.int32())][: len(names)]
+
+        def place(window: list[tuple]) -> pa.RecordBatch:
             rows: list[list] = [[] for _ in names]
+            for doc, piece, own in sorted(window, key=lambda w: -len(w[2])):
+                k, offset = bins.place(len(own) // 4)
+                values = [doc, piece, piece * size, len(own) // 4, zlib.crc32(own), first + k, offset]
+                if with_ids:
+                    values.append(np.frombuffer(own, "<i4"))
+                for col, v in zip(rows, values, strict=True):
+                    col.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=names)
+
+        for b in batches:
+            kinds[0] = b.schema.field(0).type
+            window, docs, held = [], 0, 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = words.encode(text or "") + end
-                for piece, at in enumerate(range(0, len(ids), step)):
-                    own = ids[at : at + step]
-                    k, offset = bins.place(len(own) // 4)
-                    values = [doc, piece, at // 4, len(own) // 4, zlib.crc32(own), first + k, offset]
-                    if with_ids:
-                        values.append(np.frombuffer(own, "<i4"))
-                    for col, v in zip(rows, values, strict=True):
-                        col.append(v)
-            kinds = [b.schema.field(0).type, pa.int32(), *[pa.int64()] * 5, pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=False)], names=names)
+                window += [(doc, piece, ids[at : at + step]) for piece, at in enumerate(range(0, len(ids), step))]
+                docs, held = docs + 1, held + len(ids)
+                if docs >= WINDOW or held >= WINDOW_BYTES:
+                    yield place(window)
+                    window, docs, held = [], 0, 0
+            if window:
+                yield place(window)
 
     kind = df.schema[id_col].dataType.simpleString()
     more = ", ids array<int>" if with_ids else ""
