@@ -97,12 +97,17 @@ class WordTokens:
         ids = self.words.get(w)
         if ids is None:
             shown = w if w.isascii() and w.isprintable() else "".join(map(self.table.__getitem__, w.encode()))
-            ids = self.words[w] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            ids = self.words[w] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
         return ids
 
     def _chunk(self, c: str) -> bytes:
-        if self.latin(c) and not any(s in c for s in self.specials):
-            return b"".join(map(self._word, self.split.findall(c.lower())))
+        if self.latin(c) and not ("<" in c and any(s in c for s in self.specials)):
+            low = c.lower()
+            if low.isalpha():
+                return self._word(low)
+            if low[-1] in ".,!" and low[:-1].isalpha():
+                return self._word(low[:-1]) + self._word(low[-1])
+            return b"".join(map(self._word, self.split.findall(low)))
         return np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
