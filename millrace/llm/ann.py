@@ -119,6 +119,14 @@ def _classes(df: DataFrame, id_col: str, vector_col: str, k: int) -> tuple[DataF
     return cut(out.select("cid", "v", "members")), width[0]
 
 
+def _sampled(df: DataFrame, purpose: str, total: int, rows: int) -> DataFrame:
+    """About `rows` of `total` rows, chosen by a hash of cid, at most twice as many. No task sends more than its share.
+    Small samples are widened, so that none comes out empty."""
+    span = 1 << 30
+    rate = span if total <= 2 * rows else int(span * 1.2 * rows / total)
+    return df.where(F.pmod(F.xxhash64(F.lit(purpose), F.col("cid")), F.lit(span)) < rate).limit(2 * rows)
+
+
 def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS, recall: float = SAMPLE_RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of `is_query`, its k nearest found among all other rows,
     by inner product, ties to the smaller id; all of them, if fewer.
@@ -142,8 +150,7 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     of_class = cut(vectors.join(classes.select(F.xxhash64("v").alias("k1"), F.hash("v").alias("k2"), "cid"), ["k1", "k2"]).select("q", "cid"))
     query_ids = of_class.select("cid").distinct()
 
-    hashed = F.xxhash64(F.lit("fit"), F.col("cid"))
-    sample = classes.select("cid", "v").orderBy(hashed, "cid").limit(SAMPLE_ROWS).collect()
+    sample = _sampled(classes.select("cid", "v"), "fit", total, SAMPLE_ROWS).collect()
     curves = Curves(np.array([r[1] for r in sample], np.float64))
     sent = spark.sparkContext.broadcast(curves)
 
@@ -201,7 +208,7 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
 def _calibrate(classes: DataFrame, query_ids: DataFrame, ranks: DataFrame, width: int, total: int, k: int, recall: float) -> int:
     """The smallest reach, in ranks, that finds `recall` of a query sample's true neighbours on some curve."""
     spark = classes.sparkSession
-    picked = query_ids.orderBy(F.xxhash64(F.lit("calibrate"), F.col("cid")), "cid").limit(SAMPLE_QUERIES)
+    picked = _sampled(query_ids, "calibrate", query_ids.count(), SAMPLE_QUERIES)
     rows = classes.join(F.broadcast(picked), "cid").select("cid", "v").collect()
     if not rows:
         return 1
