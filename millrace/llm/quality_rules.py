@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, cut, without
+from .common import WORD_GAP, cut, fresh, without
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -32,7 +32,8 @@ FLOORS = (700, 350, 250, 400, 400)
 #: distribution for five statistics: share / P(chi2 with 7 degrees < share's quantile of chi2 with 5).
 CORE_SHARE, CONSISTENCY = 0.75, 1.41
 STEPS = 3
-#: Groups with fewer rows join the other small groups of their language.
+#: Groups with fewer rows join the other small groups of their language; where these are fewer together, the whole language
+#: is the measure, and where that has fewer, all rows are.
 MIN_GROUP = 60
 #: Squared distance that counts as extreme; far beyond chi-squared with 5 degrees, whose tail statistics of text exceed.
 EXTREME = 32.0
@@ -160,13 +161,14 @@ def mcd(rows: DataFrame) -> DataFrame:
 
 def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", named: bool = False) -> DataFrame:
     """One row per input row: `id_col`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    distance (squared, from the estimate of the row's language and source; null if the base rules reject it) and kept;
+    distance (squared, from the estimate that holds for the row's language and source; null only if the base rules reject it) and kept;
     with `named` also text_hash, which together with the id names a row and its copies.
 
     Words are maximal runs of anything but ASCII blanks; a null text has none, so it fails. Null languages and
     sources are groups like any other, a null id is a row like any other, equal rows get equal verdicts. Documents that
     fail the base rules take no part in the estimates. Groups of fewer than MIN_GROUP rows are taken together by
-    language; what is still that small is kept. Other columns are left out, whatever their names. An empty input gives
+    language; if these are still that few, the language's estimate over all its sources holds for them, and if the
+    language has that few rows itself, the one over all rows of the table. Other columns are left out, whatever their names. An empty input gives
     no rows.
     """
     d = base_statistics(df, id_col, text_col, {"lang": F.col(lang_col), "source": F.col(source_col), "text_hash": F.xxhash64(F.col(text_col))})
@@ -175,10 +177,18 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     lang, source = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("-")), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
     d, passed = d.withColumns({"g_lang": lang, "g0": source}), passed.withColumns({"g_lang": lang, "g0": source})
     groups = passed.groupBy("g_lang", "g0").agg(F.count(F.lit(1)).alias("in_group"))
-    groups = cut(groups.withColumn("g_source", F.when(F.col("in_group") >= MIN_GROUP, F.col("g0")).otherwise(F.lit("*"))))
-    counts = groups.groupBy(*GROUP).agg(F.sum("in_group").alias("in_estimate"))
-    estimates = mcd(passed.join(groups, ["g_lang", "g0"])).join(counts.where(F.col("in_estimate") >= MIN_GROUP), list(GROUP))
-    rules = groups.select("g_lang", "g0", "g_source").join(estimates, list(GROUP)).drop("g_source")
+    groups = cut(groups.withColumn("own", F.when(F.col("in_group") >= MIN_GROUP, F.col("g0")).otherwise(F.lit("*"))))
+    groups = groups.join(groups.groupBy("g_lang", "own").agg(F.sum("in_group").alias("in_own")), ["g_lang", "own"]).join(groups.groupBy("g_lang").agg(F.sum("in_group").alias("in_lang")), "g_lang")
+    pair = lambda a, b: F.struct(a.alias("g_lang"), b.alias("g_source"))
+    every = [pair(F.col("g_lang"), F.col("own")), pair(F.col("g_lang"), F.lit("+")), pair(F.lit("+"), F.lit("+"))]
+    measure = F.when(F.col("in_own") >= MIN_GROUP, every[0]).when(F.col("in_lang") >= MIN_GROUP, every[1]).otherwise(every[2])
+    groups = cut(groups.select("g_lang", "g0", measure.alias("measure"), F.array(*every).alias("every")))
+    # the rows of an estimate: all that it stands for, also those that have a closer one; only estimates that some group needs
+    needed = fresh(groups.select("measure").distinct())
+    members = groups.select("g_lang", "g0", F.explode("every").alias("measure")).join(needed, "measure")
+    rows = passed.join(members, ["g_lang", "g0"]).select("measure.*", *STATISTICS)
+    estimates = mcd(rows).withColumn("measure", pair(F.col("g_lang"), F.col("g_source"))).drop(*GROUP)
+    rules = groups.select("g_lang", "g0", "measure").join(estimates, "measure").drop("measure")
     out = d.join(rules, ["g_lang", "g0"], "left")
     far = F.when(~F.col("base_failed"), _distance(out))
     out = out.withColumn("distance", far)
