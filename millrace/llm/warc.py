@@ -34,7 +34,7 @@ def canonical_url(url: Column) -> Column:
     host = F.when(scheme == "http", F.regexp_replace(host, r":80$", "")).when(scheme == "https", F.regexp_replace(host, r":443$", "")).otherwise(host)
     host = F.regexp_replace(host, r"^www\.", "")
     path = F.when(path == "", F.lit("/")).otherwise(path)
-    params = F.array_sort(F.filter(F.split(F.substring(query, 2, 1 << 20), "&", -1), lambda p: (p != "") & ~p.rlike(TRACKING)))
+    params = F.array_sort(F.filter(F.split(F.regexp_replace(query, r"^\?", ""), "&", -1), lambda p: (p != "") & ~p.rlike(TRACKING)))
     query = F.when(F.size(params) > 0, F.concat(F.lit("?"), F.array_join(params, "&"))).otherwise(F.lit(""))
     return F.when(bare.rlike(parts), F.concat(host, path, query)).otherwise(bare)
 
