@@ -6,9 +6,9 @@ common prefix of DEPTH values form a region. In a region of up to NEAR + 1 class
 one its neighbour in sorted order, that with the longest common prefix; where a region is very large, the prefix is taken
 deeper to cut the sort into tasks. Candidates are confirmed on the texts, and links contract classes to components.
 
-What sorted neighbours may miss in large regions is then handled exactly. Large regions that share a class form a
+Only one large region in SORTED is sorted; what that and sorted neighbours miss is left to the clusters. Large regions that share a class form a
 cluster. Only classes outside a cluster's largest component are still open; these are held, in blocks, against the whole
-cluster: by signature, then by all shingle hashes, at last by the texts. An open class needs one link to a component, so at
+cluster: by signature (at least CLOSE equal values, else no look), then by all shingle hashes, at last by the texts. An open class needs one link to a component, so at
 most one is made of it in a block, however many members the component has.
 
 A pair of similarity s shares a tree's prefix with probability s**DEPTH; at 0.75 all trees miss it twice in a million.
@@ -31,7 +31,7 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 TREES, DEPTH, VALUES = 24, 3, 96
 NEAR = 6
-#: Of the large regions one in so many sorts its neighbours; the clusters handle all of them exactly.
+#: Of the large regions one in so many sorts its neighbours; the clusters handle all of them.
 SORTED = 4
 #: Classes of a region from which on its sort is cut by a deeper prefix; classes and shingles of a block of a cluster.
 DEEP, BLOCK, BLOCK_SHINGLES = 20_000, 1024, 1_000_000
