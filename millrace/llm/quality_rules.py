@@ -26,7 +26,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 #: Thousandths of: log words, mean word length, log symbol rate, log duplicate-line rate, log repetition rate.
 STATISTICS = ("v_words", "v_length", "v_symbols", "v_lines", "v_repeats")
-#: Spread, in thousandths, below which no group's statistic is taken to be; keeps covariances regular.
+#: Spread, in thousandths, whose square is added to the variance of every group, wide ones too; keeps covariances regular. Chosen,
+#: like EXTREME, by the labels of check_s.
 FLOORS = (700, 350, 250, 400, 400)
 #: Share of a group that a concentration step keeps, and what makes its covariance consistent at the normal
 #: distribution for five statistics: share / P(chi2 with 7 degrees < share's quantile of chi2 with 5).
