@@ -1,21 +1,21 @@
 """Removal of every byte that lies in a long string which occurs twice in the corpus: distributed bucket-pointer
 refinement.
 
-A suffix's bucket is named by the bytes it begins with. Refinement makes names for longer beginnings out of names that
-exist already: the bucket at depth 2k is the pair of the depth-k buckets at this offset and k bytes later, from 8 bytes
-(the 8-gram itself) to 16, 32, 64 and 128, each level reusing the one before. Names are 64-bit mixes of that pair rather
-than ranks, so that executors agree on them without one global sort.
+Suffixes are grouped into buckets by what they begin with; a bucket pointer names each suffix's bucket. A bucket is
+refined by sorting its suffixes on the bucket pointers of their later offsets; the new pointers are written back at once,
+so that whatever refers to them later sees the finer buckets. Buckets of one suffix are settled and leave the sort.
 
-Only suffixes that can still share a bucket are refined:
+The work is dealt out by buckets that all executors agree on:
 1. Each window of LENGTH bytes points to the smallest 64-byte bucket in it (leftmost of equals), its anchor. Equal windows
-   have equal anchors at equal offsets, and neighbouring windows mostly share theirs: about one suffix in 70 remains.
-   Anchors alone in their bucket end here.
-2. Anchors of a bucket that share their whole context (all bytes of the windows that point to them) need no more:
-   those windows are repeated. One of them stands for all in the next step.
-3. In buckets with several contexts, the contexts come together, sorted by bucket, and every window gets its own bucket: the
-   anchor's, its offset, and the 128-byte buckets at its begin and 72 bytes later, which cover it. Windows that
-   share that bucket are repeated. A bucket of more than HOT contexts is refined by single windows instead, whose
-   buckets are counted with partial sums, so that no task needs all of it.
+   have equal anchors at equal offsets, and neighbouring windows mostly share theirs: about one suffix in 50 remains.
+   These are the initial buckets, named by hashes of their bytes. An anchor alone in its bucket is settled.
+2. Anchors of a bucket that share their whole context (all bytes of the windows that point to them, named by 160 bits)
+   cannot be told apart by any later offset: those windows are repeated. One of them stands for all from here on.
+3. Buckets with several contexts come together with the contexts' bytes. There all suffixes are sorted by 8-grams, and
+   refine() doubles the depth of their buckets, 16, 32, 64, 128 and LENGTH bytes, by the pointers at later offsets. Window
+   starts that still share a bucket are repeated: exactly, as these pointers are ranks and not hashes. A bucket of
+   more than HOT contexts is split by the offset of the anchor in the window and by what follows, down to single
+   windows (160-bit names), whose buckets are counted with partial sums, so that no task needs all of it.
 
 Counts are combined before each shuffle, and joins on buckets are equi-joins that Spark splits where a bucket is hot.
 """
@@ -37,7 +37,9 @@ GRAM = 64
 PASS = 1 << 18
 _POSITION_BITS = 20
 #: Contexts of a bucket that one task may refine together; bytes of contexts in one step.
-HOT, STEP = 8192, 4 << 20
+HOT, STEP = 2048, 2 << 20
+#: Bytes of the suffixes' first buckets, and factor of the second names.
+FIRST, FACTOR = 8, 0xD1342543DE82EF95
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,6 +72,30 @@ def buckets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return levels[64], levels[128]
 
 
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[1], np.full(n, FACTOR, np.uint64)]).astype(np.uint64))
+
+
+_UP = _powers(PASS + 4 * LENGTH)
+_DOWN = np.cumprod(np.concatenate([[1], np.full(PASS + 4 * LENGTH, pow(FACTOR, -1, 1 << 64), np.uint64)]).astype(np.uint64))
+
+
+def _second(data: np.ndarray) -> np.ndarray:
+    """Running sums from which _between takes names that do not depend on those of buckets()."""
+    global _UP, _DOWN
+    if len(_UP) <= len(data):
+        _UP = _powers(2 * len(data))
+        _DOWN = np.cumprod(np.concatenate([[1], np.full(2 * len(data), pow(FACTOR, -1, 1 << 64), np.uint64)]).astype(np.uint64))
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _UP[: len(data)], out=out[1:])
+    return out
+
+
+def _between(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """32 bits for the bytes from lo to hi, wherever they lie."""
+    return (_mix((sums[hi] - sums[lo]) * _DOWN[lo]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _window_ids(deep: np.ndarray, at: np.ndarray) -> np.ndarray:
     return _pair(deep[at], deep[at + LENGTH - 128], 3)
 
@@ -83,6 +109,7 @@ class Pass:
         self.data = b"".join(texts) + bytes(LENGTH)
         n = int(self.size.sum())
         self.gram, self.deep = buckets(np.frombuffer(self.data, np.uint8))
+        self.sums = _second(np.frombuffer(self.data, np.uint8))
         doc = np.repeat(np.arange(len(texts)), self.size)
         begin = np.arange(n)
         valid = begin + LENGTH <= (self.first + self.size)[doc]
@@ -101,14 +128,14 @@ class Pass:
         self.begin = np.nonzero(new)[0]  # first window of each anchor, as an index into at
         self.end = np.append(self.begin[1:], len(self.at)) - 1
 
-    def contexts(self) -> np.ndarray:
-        """A name for all bytes that an anchor's windows cover, and where the anchor is among them."""
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two names for all bytes that an anchor's windows cover, the first also for where the anchor is among them."""
         lo, hi = self.at[self.begin], self.at[self.end] + LENGTH
         length = hi - lo
         name = (length * 1024 + self.anchor[self.begin] - lo).astype(np.uint64)
         for k in range(4):  # 4 x 104 + 24 bytes: more than the longest context
             name = _pair(name, self.deep[lo + np.minimum(104 * k, length - 128)], k)
-        return name
+        return name, _between(self.sums, lo, hi)
 
 
 def _split_long(texts: list[bytes], lo: int, hi: int) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
@@ -141,10 +168,11 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 doc = p.doc[p.begin]
                 row = np.array(rows)[doc]
                 shift = np.array(offsets)[doc] - p.first[doc]
+                c, d = p.contexts()
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(p.gram[p.anchor[p.begin]].view(np.int64)), pa.array(p.contexts().view(np.int64)), pa.array(k1[row]), pa.array(k2[row]),
+                    pa.array(p.gram[p.anchor[p.begin]].view(np.int64)), pa.array(c.view(np.int64)), pa.array(d), pa.array(k1[row]), pa.array(k2[row]),
                     pa.array((p.at[p.begin] + shift).astype(np.int32)), pa.array((p.at[p.end] + shift).astype(np.int32)),
-                ], names=["h", "c", "k1", "k2", "lo", "hi"])
+                ], names=["h", "c", "d", "k1", "k2", "lo", "hi"])
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Pass, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -177,39 +205,76 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, anchor = p.doc[p.begin[on]], p.anchor[p.begin[on]]
         data = [p.data[a : b + LENGTH] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([
-            pa.array(p.gram[anchor].view(np.int64)), pa.array(k1[doc]), pa.array(k2[doc]), pa.array((lo + shift[doc]).astype(np.int32)),
-            pa.array((anchor - lo).astype(np.int32)), pa.array(data, pa.binary()),
-        ], names=["h", "k1", "k2", "lo", "at", "bytes"])
+            pa.array(p.gram[anchor].view(np.int64)), pa.array(k1[doc]), pa.array(k2[doc]), pa.array((lo + shift[doc]).astype(np.int32)), pa.array(data, pa.binary()),
+        ], names=["h", "k1", "k2", "lo", "bytes"])
 
 
-def _refined(h: np.ndarray, lo: np.ndarray, at: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def refine(data: np.ndarray, room: np.ndarray, depth: int = LENGTH) -> np.ndarray:
+    """Marks the suffixes whose first `depth` bytes begin another suffix too; room[i] tells how many bytes suffix i has
+    before its end, and only suffixes with room for `depth` bytes are told apart that far.
+
+    Bucket-pointer refinement: pointer[i] is the place in sorted order at which the bucket of suffix i begins. A bucket at
+    depth d, sorted on the pointers step bytes later (at depth d as well), is a run of buckets at depth d + step. The
+    suffixes of a round are those in buckets of two or more that have room for its depth; what a round has
+    told apart, later rounds reuse through the pointers.
+    """
+    n = len(room)
+    gram = np.zeros(n, np.uint64)
+    padded = np.concatenate([data, np.zeros(depth, np.uint8)])
+    for k in range(FIRST):  # the first byte is the most significant: buckets are in lexicographic order
+        gram = gram << np.uint64(8) | padded[k : n + k]
+    left = np.nonzero(room >= FIRST)[0]
+    left = left[np.argsort(gram[left])]
+    same = gram[left]
+    pointer = np.full(n, n, np.int64)  # what has no room for the first bucket is never looked up by what has room for `depth`
+    base, seen = np.zeros(len(left), np.int64), FIRST
+    while True:
+        # buckets are runs of equal keys within the old buckets; a pointer is the old one plus the place in it
+        new = np.ones(len(left), bool)
+        new[1:] = (same[1:] != same[:-1]) | (base[1:] != base[:-1])
+        old = np.ones(len(left), bool)
+        old[1:] = base[1:] != base[:-1]
+        at = np.arange(len(left))
+        first = np.maximum.accumulate(np.where(new, at, 0))
+        pointer[left] = base + first - np.maximum.accumulate(np.where(old, at, 0))
+        size = np.diff(np.append(np.nonzero(new)[0], len(left)))
+        left = left[np.repeat(size > 1, size)]
+        if seen == depth or not len(left):
+            break
+        step = min(seen, depth - seen)
+        seen += step
+        left = left[room[left] >= seen]
+        key = pointer[left] * (n + 1) + pointer[left + step]
+        order = np.argsort(key)
+        left, key = left[order], key[order]
+        base, same = pointer[left], key
+    twice = np.zeros(n, bool)
+    twice[left] = True
+    return twice
+
+
+def _refined(lo: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, begin and end of the repeated runs in the contexts of whole buckets."""
     size = np.array([len(d) for d in data])
-    base = np.cumsum(size) - size
-    _, deep = buckets(np.frombuffer(b"".join(data) + bytes(LENGTH), np.uint8))
-    windows = size - LENGTH + 1
-    row = np.repeat(np.arange(len(data)), windows)
-    j = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    name = _pair(_pair(h.view(np.uint64)[row], (at[row] - j).astype(np.uint64), 1), _window_ids(deep, base[row] + j), 2)
-    order = np.argsort(name, kind="stable")
-    twice = np.zeros(len(name), bool)
-    same = name[order][1:] == name[order][:-1]
-    twice[order[1:]] = same
-    twice[order[:-1]] |= same
-    hit = np.nonzero(twice)[0]
+    end = np.cumsum(size)
+    row = np.repeat(np.arange(len(data)), size)
+    place = np.arange(len(row))
+    hit = np.nonzero(refine(np.frombuffer(b"".join(data), np.uint8), end[row] - place))[0]
     if not len(hit):
         return hit, hit, hit
     new = np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)])
     begin = hit[new]
-    end = hit[np.append(np.nonzero(new)[0][1:], len(hit)) - 1]
-    return row[begin], lo[row[begin]] + j[begin], lo[row[begin]] + j[end] + LENGTH
+    last = hit[np.append(np.nonzero(new)[0][1:], len(hit)) - 1]
+    row = row[begin]
+    shift = lo[row] - (end - size)[row]
+    return row, begin + shift, last + shift + LENGTH
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of _contexts, sorted by bucket, each bucket whole within the task; a step ends where a bucket ends."""
 
     def out(t: pa.Table) -> pa.RecordBatch:
-        row, lo, hi = _refined(t["h"].to_numpy(), t["lo"].to_numpy(), t["at"].to_numpy(), t["bytes"].to_pylist())
+        row, lo, hi = _refined(t["lo"].to_numpy(), t["bytes"].to_pylist())
         return pa.RecordBatch.from_arrays([pa.array(t["k1"].to_numpy()[row]), pa.array(t["k2"].to_numpy()[row]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["k1", "k2", "lo", "hi"])
 
     held: list[pa.RecordBatch] = []
@@ -218,7 +283,7 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, whole.num_rows, 2048):
             b = whole.slice(at, 2048)
             held.append(b)
-            size += b.column(5).nbytes
+            size += b.column(4).nbytes
             if size > STEP:
                 t = pa.Table.from_batches(held)
                 h = t["h"].to_numpy()
@@ -239,8 +304,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, anchor, d = p.at[pick], p.anchor[pick], p.doc[pick]
         name = _pair(p.gram[anchor], (anchor - at).astype(np.uint64), 1)
         yield pa.RecordBatch.from_arrays([
-            pa.array(name.view(np.int64)), pa.array(_window_ids(p.deep, at).view(np.int64)), pa.array(k1[d]), pa.array(k2[d]), pa.array((at + shift[d]).astype(np.int32)),
-        ], names=["w1", "w2", "k1", "k2", "lo"])
+            pa.array(name.view(np.int64)), pa.array(_window_ids(p.deep, at).view(np.int64)), pa.array(_between(p.sums, at, at + LENGTH)), pa.array(k1[d]), pa.array(k2[d]), pa.array((at + shift[d]).astype(np.int32)),
+        ], names=["w1", "w2", "w3", "k1", "k2", "lo"])
 
 
 def _removed(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -263,30 +328,32 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_te
     extra = [f"x{k}" for k in range(len(carry))]
     docs = df.select(df[id_col].alias("id"), F.coalesce(df[text_col], F.lit("")).alias("t"), *[df[c].alias(x) for c, x in zip(carry, extra, strict=True)])
     named = docs.select(*_keys("id", "t"), "id", "t", *extra)
-    anchors = map_batches(named.select("k1", "k2", "t").where(F.octet_length("t") >= LENGTH), _anchors, "h bigint, c bigint, k1 bigint, k2 int, lo int, hi int")
-    shared = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("h", (F.col("c0") == F.col("c1")).alias("alike"))
+    anchors = map_batches(named.select("k1", "k2", "t").where(F.octet_length("t") >= LENGTH), _anchors, "h bigint, c bigint, d int, k1 bigint, k2 int, lo int, hi int")
+    one_context = (F.min("c") == F.max("c")) & (F.min("d") == F.max("d"))
+    shared = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), one_context.alias("alike")).where("n > 1").select("h", "alike")
     # cut here, so that the join below deals out both sides itself and can split a hot bucket
     shared = cut(shared)
     met = cut(anchors.join(shared, "h"))
-    mixed = met.where("not alike").select("h", "c", "k1", "k2", "lo", "hi")
+    mixed = met.where("not alike").select("h", "c", "d", "k1", "k2", "lo", "hi")
     one = F.struct("k1", "k2", "lo")
-    kinds = mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one"))
-    kinds = cut(kinds.join(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")), "h"))
-    mixed = mixed.join(kinds.where("n > 1").select("h", "c", "one"), ["h", "c"])
+    kinds = cut(mixed.groupBy("h", "c", "d").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one")))
+    many = cut(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > HOT).select("h", F.lit(True).alias("many")))
+    mixed = mixed.join(kinds.where("n > 1").select("h", "c", "d"), ["h", "c", "d"])
     covered = met.where("alike").select("k1", "k2", "lo", "hi").unionByName(mixed.select("k1", "k2", "lo", "hi")).select("k1", "k2", "lo", (F.col("hi") + LENGTH).alias("hi"))
     # from here on a context that occurs more than once is open once
-    opened = kinds.groupBy("one.k1", "one.k2").agg(
-        F.collect_list(F.when(F.col("contexts") <= HOT, F.col("one.lo"))).alias("few"), F.collect_list(F.when(F.col("contexts") > HOT, F.col("one.lo"))).alias("many"))
+    hot = F.col("many").isNotNull()
+    opened = kinds.join(many, "h", "left").groupBy("one.k1", "one.k2").agg(F.collect_list(F.when(~hot, F.col("one.lo"))).alias("few"), F.collect_list(F.when(hot, F.col("one.lo"))).alias("many"))
     opened = cut(opened)
     # all columns go along, so that this exchange of the texts and the last one are the same and are made once
     of = lambda which: named.join(opened.where(F.size(which) > 0).select("k1", "k2", which), ["k1", "k2"]).select("k1", "k2", "t", which, "id", *extra)
-    contexts = map_batches(of("few"), _contexts, "h bigint, k1 bigint, k2 int, lo int, at int, bytes binary")
+    contexts = map_batches(of("few"), _contexts, "h bigint, k1 bigint, k2 int, lo int, bytes binary")
     refined = map_batches(contexts.repartition("h").sortWithinPartitions("h"), _refine, "k1 bigint, k2 int, lo int, hi int")
     covered = covered.unionByName(refined)
     if not opened.where(F.size("many") > 0).isEmpty():
-        windows = map_batches(of("many"), _windows, "w1 bigint, w2 bigint, k1 bigint, k2 int, lo int")
-        twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-        covered = covered.unionByName(windows.join(twice, ["w1", "w2"]).select("k1", "k2", "lo", (F.col("lo") + LENGTH).alias("hi")))
+        windows = map_batches(of("many"), _windows, "w1 bigint, w2 bigint, w3 int, k1 bigint, k2 int, lo int")
+        name = ["w1", "w2", "w3"]
+        twice = cut(windows.groupBy(*name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*name))
+        covered = covered.unionByName(windows.join(twice, name).select("k1", "k2", "lo", (F.col("lo") + LENGTH).alias("hi")))
     spans = covered.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     # a key may stand for several equal rows; the spans have one row per key
     full = named.join(spans, ["k1", "k2"], "left").select("id", "t", F.col("spans.lo").alias("a"), F.col("spans.hi").alias("b"), *extra)
