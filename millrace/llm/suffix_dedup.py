@@ -72,20 +72,18 @@ def buckets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return levels[64], levels[128]
 
 
-def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[1], np.full(n, FACTOR, np.uint64)]).astype(np.uint64))
+def _powers(factor: int, n: int) -> np.ndarray:
+    return np.cumprod(np.append(np.ones(1, np.uint64), np.full(n, factor, np.uint64)))
 
 
-_UP = _powers(PASS + 4 * LENGTH)
-_DOWN = np.cumprod(np.concatenate([[1], np.full(PASS + 4 * LENGTH, pow(FACTOR, -1, 1 << 64), np.uint64)]).astype(np.uint64))
+_UP, _DOWN = _powers(FACTOR, 1), _powers(pow(FACTOR, -1, 1 << 64), 1)
 
 
 def _second(data: np.ndarray) -> np.ndarray:
     """Running sums from which _between takes names that do not depend on those of buckets()."""
     global _UP, _DOWN
-    if len(_UP) <= len(data):
-        _UP = _powers(2 * len(data))
-        _DOWN = np.cumprod(np.concatenate([[1], np.full(2 * len(data), pow(FACTOR, -1, 1 << 64), np.uint64)]).astype(np.uint64))
+    if len(_UP) < len(data):
+        _UP, _DOWN = _powers(FACTOR, 2 * len(data)), _powers(pow(FACTOR, -1, 1 << 64), 2 * len(data))
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _UP[: len(data)], out=out[1:])
     return out
