@@ -12,7 +12,7 @@ The work is dealt out by buckets that all executors agree on:
 2. Anchors of a bucket that share their whole context (all bytes of the windows that point to them, named by 160 bits)
    cannot be told apart by any later offset: those windows are repeated. One of them stands for all from here on.
 3. Buckets with several contexts come together with the contexts' bytes. There all suffixes are sorted by 8-grams, and
-   refine() doubles the depth of their buckets, 16, 32, 64, 128 and LENGTH bytes, by the pointers at later offsets. Window
+   refine() takes the depth of their buckets to 24, 72 and LENGTH bytes, by the pointers at two later offsets each. Window
    starts that still share a bucket are repeated: exactly, as these pointers are ranks and not hashes. A bucket of
    more than HOT contexts is split by the offset of the anchor in the window and by what follows, down to single
    windows (160-bit names), whose buckets are counted with partial sums, so that no task needs all of it.
@@ -37,7 +37,7 @@ GRAM = 64
 PASS = 1 << 18
 _POSITION_BITS = 20
 #: Contexts of a bucket that one task may refine together; bytes of contexts in one step.
-HOT, STEP = 2048, 2 << 20
+HOT, STEP = 2048, 1 << 20
 #: Bytes of the suffixes' first buckets, and factor of the second names.
 FIRST, FACTOR = 8, 0xD1342543DE82EF95
 
@@ -212,15 +212,18 @@ def refine(data: np.ndarray, room: np.ndarray, depth: int = LENGTH) -> np.ndarra
     before its end, and only suffixes with room for `depth` bytes are told apart that far.
 
     Bucket-pointer refinement: pointer[i] is the place in sorted order at which the bucket of suffix i begins. A bucket at
-    depth d, sorted on the pointers step bytes later (at depth d as well), is a run of buckets at depth d + step. The
+    depth d, sorted on the pointers at two later offsets (at depth d as well, d bytes apart at most), is a run of buckets that
+    are deeper by both offsets; where three pointers do not fit into a word, one offset is taken at a time. The
     suffixes of a round are those in buckets of two or more that have room for its depth; what a round has
     told apart, later rounds reuse through the pointers.
     """
     n = len(room)
-    gram = np.zeros(n, np.uint64)
-    padded = np.concatenate([data, np.zeros(depth, np.uint8)])
-    for k in range(FIRST):  # the first byte is the most significant: buckets are in lexicographic order
-        gram = gram << np.uint64(8) | padded[k : n + k]
+    offsets = 2 if n < (1 << 21) - 1 else 1
+    # the first byte is the most significant: buckets are in lexicographic order
+    gram, k = np.concatenate([data, np.zeros(FIRST, np.uint8)]).astype(np.uint64), 1
+    while k < FIRST:
+        gram = gram[: len(gram) - k] << np.uint64(8 * k) | gram[k:]
+        k *= 2
     left = np.nonzero(room >= FIRST)[0]
     left = left[np.argsort(gram[left])]
     same = gram[left]
@@ -239,10 +242,12 @@ def refine(data: np.ndarray, room: np.ndarray, depth: int = LENGTH) -> np.ndarra
         left = left[np.repeat(size > 1, size)]
         if seen == depth or not len(left):
             break
-        step = min(seen, depth - seen)
-        seen += step
+        steps = [min(seen * k, depth - seen) for k in range(1, offsets + 1)]
+        seen += steps[-1]
         left = left[room[left] >= seen]
-        key = pointer[left] * (n + 1) + pointer[left + step]
+        key = pointer[left]
+        for step in steps:
+            key = key * (n + 1) + pointer[left + step]
         order = np.argsort(key)
         left, key = left[order], key[order]
         base, same = pointer[left], key
