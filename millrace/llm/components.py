@@ -13,6 +13,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Every node u joins its neighbours to the smallest of them and itself: the larger ones, or (small) the rest."""
     both = edges if small else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # dealt out anew, so that the join sees two exchanges and can split a node with very many neighbours
+    low = low.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     linked = both.join(low, "a")
     if small:  # here b < a always: neighbours b and a itself go to m
         out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))

@@ -1,26 +1,30 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures, with every link confirmed on full shingle sets.
 
-Documents with equal shingle sets are one class; only a class's first document goes on. Its signature is read as
-several sequences, one per tree, each starting elsewhere in it. A tree sorts the classes by its sequence; those with a
-common prefix of DEPTH values form a region. In a region of up to NEAR + 1 classes each meets all later ones, in a larger
-one its neighbour in sorted order, that with the longest common prefix; where a region is very large, the prefix is taken
-deeper to cut the sort into tasks. Candidates are confirmed on the texts, and links contract classes to components.
-
-Only one large region in SORTED is sorted; what that and sorted neighbours miss is left to the clusters. Large regions that share a class form a
-cluster. Only classes outside a cluster's largest component are still open; these are held, in blocks, against the whole
-cluster: by signature (at least CLOSE equal values, else no look), then by all shingle hashes, at last by the texts. An open class needs one link to a component, so at
-most one is made of it in a block, however many members the component has.
-
-A pair of similarity s shares a tree's prefix with probability s**DEPTH; at 0.75 all trees miss it twice in a million.
+Documents with equal shingle sets are one class; only a class's first document goes on. Each tree reads a signature as a
+sequence that starts elsewhere in it, and sorts all classes by that sequence; Spark range-partitions all orders at
+once. In each order, classes with a common prefix of DEPTH values form a region. Where a region holds at most NEAR + 1 classes, each
+meets all others. Where it holds more, its depth grows with it: every class goes down, a value at a time, to the
+first prefix that at most NEAR + 1 classes share, and meets those, and its neighbours with the longest common prefix in
+any case. Of what it meets in large regions, a class goes on with the NEAREST partners of longest common prefix over all trees.
+Candidates are confirmed on the texts, and links contract classes to components.
+
+What deeper prefixes part in large regions is left to an exact step. Large regions that share a class form a cluster.
+Only classes outside a cluster's largest component are still open; these are held against the whole
+cluster: by signature (at least CLOSE equal values, else no look), then by all shingle hashes, at last by the texts. An
+open class needs one link to a component, so at most one is made of it in a block, however many members the component has.
+
+A pair of similarity s shares a tree's prefix with probability s**DEPTH; at 0.75 all trees miss it twice in a million. The
+signature filter misses it three times in a million.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, cut, fresh, map_batches, without
@@ -30,11 +34,12 @@ SHINGLE_WORDS = 5
 #: Link if 100 * intersection >= 75 * union.
 PERCENT = 75
 TREES, DEPTH, VALUES = 24, 3, 96
-NEAR = 6
-#: Of the large regions one in so many sorts its neighbours; the clusters handle all of them.
-SORTED = 4
-#: Classes of a region from which on its sort is cut by a deeper prefix; classes and shingles of a block of a cluster.
-DEEP, BLOCK, BLOCK_SHINGLES = 20_000, 1024, 1_000_000
+#: Values of a tree's sequence, the tree's number apart; partners in the smallest regions; partners in large ones.
+SEQUENCE, NEAR, NEAREST = 7, 6, 4
+#: Rows of a partition of the sorted orders; classes and shingles of a block of a cluster.
+ORDER_ROWS, BLOCK, BLOCK_SHINGLES = 250_000, 4096, 4_000_000
+#: Bytes of text that are hashed at a time, and of two texts above which hashes alone decide a link.
+PIECE, EXACT_BYTES = 1 << 20, 8 << 20
 #: Equal values of two signatures that call for a look at the texts: 0.75 * 96 less more than four deviations.
 CLOSE = 52
 
@@ -54,29 +59,56 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_RADIX = 0x9E3779B97F4A7C15 | 1
+
+
 def _powers(n: int) -> np.ndarray:
     global _POWERS
     if len(_POWERS) < n:
         with np.errstate(over="ignore"):
-            _POWERS = np.cumprod(np.full(2 * n, 0x9E3779B97F4A7C15 | 1, np.uint64)) * np.uint64(0x100000001B3)
+            _POWERS = np.cumprod(np.append(np.ones(1, np.uint64), np.full(2 * n, _RADIX, np.uint64)))
     return _POWERS
 
 
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin, and their hashes. Taken in pieces: a word that a piece cuts is put together from its parts."""
+    starts, hashes = [], []
+    begun, total, length = 0, np.uint64(0), 0  # the word that the last piece left open
+    for lo in range(0, len(data), PIECE):
+        part = data[lo : lo + PIECE]
+        blank = _BLANK[part]
+        inside = ~blank
+        at = np.nonzero(inside & np.concatenate([[True], blank[:-1]]))[0]
+        if length and not inside[0]:
+            starts.append(np.array([begun]))
+            hashes.append(_mix(np.array([total]) + np.uint64(length)))
+            length = 0
+        if not len(at):
+            continue
+        ends = np.append(np.nonzero(blank & np.concatenate([[False], inside[:-1]]))[0], len(part))[: len(at)]
+        base = np.zeros(len(part), np.int64)
+        base[at] = at
+        place = np.arange(len(part)) - np.maximum.accumulate(base)
+        value = _BYTE[part] * _powers(int((ends - at).max()) + 1)[np.where(inside, place, 0)]
+        value[blank] = 0
+        sums, sizes = np.add.reduceat(value, at), (ends - at).astype(np.uint64)
+        at = at + lo
+        if length:  # goes on here
+            sums[:1] = sums[:1] * np.uint64(pow(_RADIX, length, 1 << 64)) + total
+            sizes[0] += np.uint64(length)
+            at[0] = begun
+            length = 0
+        if inside[-1] and lo + PIECE < len(data):
+            begun, total, length = int(at[-1]), sums[-1], int(sizes[-1])
+            at, sums, sizes = at[:-1], sums[:-1], sizes[:-1]
+        starts.append(at)
+        hashes.append(_mix(sums + sizes))
+    return np.concatenate(starts or [np.zeros(0, np.int64)]), np.concatenate(hashes or [np.zeros(0, np.uint64)])
+
+
 def shingle_hashes(texts: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles; with fewer words than a shingle has, of all its words."""
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    blank = _BLANK[data]
-    inside = ~blank
-    starts = np.nonzero(inside & np.concatenate([[True], blank[:-1]]))[0]
-    if not len(starts):
-        return [np.zeros(0, np.uint64) for _ in texts]
-    ends = np.nonzero(blank & np.concatenate([[False], inside[:-1]]))[0]
-    base = np.zeros(len(data), np.int64)
-    base[starts] = starts
-    place = np.arange(len(data)) - np.maximum.accumulate(base)
-    value = _BYTE[data] * _powers(int((ends - starts).max()) + 1)[np.where(inside, place, 0)]
-    value[blank] = 0
-    word = _mix(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64))
+    starts, word = _word_hashes(np.frombuffer(b" ".join(texts) + b" ", np.uint8))
     size = np.array([len(t) + 1 for t in texts])
     bound = np.searchsorted(starts, np.concatenate([[0], np.cumsum(size)]))
     out = []
@@ -95,7 +127,7 @@ def shingle_hashes(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """The VALUES smallest permuted hashes, cut to 32 bits."""
+    """The smallest hash under each of VALUES permutations, cut to 32 bits."""
     low = np.full(VALUES, 2**64 - 1, np.uint64)
     for lo in range(0, len(hashes), 2048):
         part = (hashes[None, lo : lo + 2048] ^ _FLIP[:, None]) * _FACTOR[:, None]
@@ -117,19 +149,99 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(sig, pa.binary()), b.column(2).slice(lo, hi - lo)], names=["id", "n", "s1", "s2", "sig", "text_hash"])
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each tree: p names the prefix of DEPTH values, o holds the next two."""
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each tree: its number and its SEQUENCE values, packed in order, so that sorting rows sorts sequences."""
     for b in batches:
         if not b.num_rows:
             continue
-        s = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, VALUES).astype(np.uint64)
+        s = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, VALUES).astype(np.int64)
         for t in range(TREES):
-            own = [s[:, (t * (VALUES // TREES) + k) % VALUES] for k in range(DEPTH + 2)]
-            p = np.full(len(s), t + 1, np.uint64)
-            for v in own[:DEPTH]:
-                p = _mix(p * np.uint64(0x2545F4914F6CDD1D) + v)
-            o = (own[DEPTH] << np.uint64(32) | own[DEPTH + 1]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(o), b.column(0)], names=["p", "o", "rep"])
+            v = [np.full(len(s), t), *[s[:, (t * (VALUES // TREES) + k) % VALUES] for k in range(SEQUENCE)]]
+            packed = [pa.array(v[k] << 32 | v[k + 1]) for k in range(0, SEQUENCE + 1, 2)]
+            yield pa.RecordBatch.from_arrays([*packed, b.column(0)], names=[*_PACKED, "rep"])
+
+
+_PACKED = ["v0", "v1", "v2", "v3"]
+_MET = "kind int, a bigint, b bigint, depth int, " + ", ".join(f"{c} bigint" for c in _PACKED)
+#: Kinds of rows: a pair of a small region, a pair of a large one, a class and the first of its large region, a class at a border.
+SMALL, LARGE, MEMBER, BORDER = range(4)
+
+
+def _runs(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each class of a sorted order the number and the size of its run with `depth` common values; common[i] is the
+    length of the common prefix of i and the class before it."""
+    run = np.cumsum(common < depth) - 1
+    return run, np.bincount(run)[run]
+
+
+def neighbours(packed: list[np.ndarray], rep: np.ndarray) -> tuple[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """Rows (kind, a, b, depth) of a sorted piece of the orders, and the number of the region that each class is in."""
+    n = len(rep)
+    common, alike = np.zeros(n, np.int64), np.ones(max(n - 1, 0), bool)
+    for k in range(SEQUENCE + 1):
+        v = packed[k // 2] >> 32 if k % 2 == 0 else packed[k // 2] & 0xFFFFFFFF
+        alike &= v[1:] == v[:-1]
+        common[1:] += alike
+    common = np.maximum(common - 1, 0)  # the tree's number is no value
+    region, size = _runs(common, DEPTH)
+    out = []
+
+    def pairs(kind: int, run: np.ndarray, on: np.ndarray, reach: int) -> None:
+        shared = np.full(n, SEQUENCE)
+        for k in range(1, min(reach, n - 1) + 1):
+            shared = np.minimum(shared[: n - k], common[k:])
+            i = np.nonzero(on[: n - k] & (run[: n - k] == run[k:]))[0]
+            out.append((kind, rep[i], rep[i + k], shared[i]))
+
+    pairs(SMALL, region, size <= NEAR + 1, NEAR)
+    left = size > NEAR + 1
+    if left.any():
+        pairs(LARGE, region, left, 1)
+        first = np.nonzero(np.concatenate([[True], np.diff(region) != 0]))[0]
+        out.append((MEMBER, rep[left], rep[first][region[left]], np.zeros(int(left.sum()), np.int64)))
+        for depth in range(DEPTH + 1, SEQUENCE + 1):
+            run, size = _runs(common, depth)
+            pairs(LARGE, run, left & (size <= NEAR + 1), NEAR)
+            left = left & (size > NEAR + 1)
+    return out, region
+
+
+def _batches(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for kind, a, b, depth, *packed in found:
+        if len(a):
+            more = packed or [np.zeros(len(a), np.int64)] * len(_PACKED)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(depth.astype(np.int32)), *[pa.array(c) for c in more]], names=["kind", "a", "b", "depth", *_PACKED])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition of the sorted orders: its rows, and those classes at its ends that may have partners across the
+    border, for which b numbers the border."""
+    t = pa.Table.from_batches(list(batches) or [pa.RecordBatch.from_pylist([], pa.schema([(c, pa.int64()) for c in (*_PACKED, "rep")]))])
+    if not t.num_rows:
+        return
+    packed, rep = [t[c].to_numpy() for c in _PACKED], t["rep"].to_numpy()
+    found, region = neighbours(packed, rep)
+    yield from _batches(found)
+    here = TaskContext.get().partitionId()
+    for at, border in ((np.nonzero(region == region[0])[0][: NEAR + 1], here - 1), (np.nonzero(region == region[-1])[0][-NEAR - 1 :], here)):
+        yield from _batches([(BORDER, rep[at], np.full(len(at), border), np.zeros(len(at), np.int64), *[c[at] for c in packed])])
+
+
+def _across(t: pa.Table) -> pa.Table:
+    """The classes at the two sides of a border."""
+    t = t.sort_by([(c, "ascending") for c in (*_PACKED, "a")])
+    found, _ = neighbours([t[c].to_numpy() for c in _PACKED], t["a"].to_numpy())
+    return pa.Table.from_batches(list(_batches(found)), pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("depth", pa.int32()), *[(c, pa.int64()) for c in _PACKED]]))
+
+
+def forest(classes: DataFrame, total: int) -> DataFrame:
+    """classes: rep, sig. Rows (kind, a, b, depth) of SMALL, LARGE and MEMBER."""
+    parts = max(1, -(-total * TREES // ORDER_ROWS), min(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), total * TREES // 5000))
+    keys = [*_PACKED, "rep"]
+    orders = map_batches(classes.select("rep", "sig"), _orders, ", ".join(f"{c} bigint" for c in keys))
+    met = cut(map_batches(orders.repartitionByRange(parts, *keys).sortWithinPartitions(*keys), _neighbours, _MET))
+    across = met.where(F.col("kind") == BORDER).groupBy("b").applyInArrow(_across, _MET)
+    return met.where(F.col("kind") != BORDER).unionByName(across).select("kind", "a", "b", "depth")
 
 
 def shingles(text: str | None) -> set[tuple[str, ...]]:
@@ -143,15 +255,33 @@ def shingles(text: str | None) -> set[tuple[str, ...]]:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def _similar(x: np.ndarray, y: np.ndarray, texts: Callable[[], tuple[str, str]]) -> bool:
+    """Whether two sets link: by their sorted hashes, and where these say so, by the sets of words themselves. Of two
+    texts of more than EXACT_BYTES the 64-bit hashes decide."""
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+        return False
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = int((x[at] == y).sum())
+    if 100 * both < PERCENT * (len(x) + len(y) - both):
+        return False
+    s, t = texts()
+    if len(s) + len(t) > EXACT_BYTES:
+        return True
+    a, b = shingles(s), shingles(t)
+    both = len(a & b)
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        on, last, own = [], None, set()
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            if x != last:
-                last, own = x, shingles(x)
-            other = shingles(y)
-            both = len(own & other)
-            on.append(100 * both >= PERCENT * (len(own) + len(other) - both))
+        xs, ys = b.column(2).to_pylist(), b.column(3).to_pylist()
+        on = []
+        for lo, hi in by_bytes([range(len(x) + len(y)) for x, y in zip(xs, ys, strict=True)], 1 << 18):
+            mine = [xs[lo], *[xs[k] if xs[k] != xs[k - 1] else None for k in range(lo + 1, hi)]]  # rows come in order of a
+            own = None
+            for k, x, y in zip(range(lo, hi), _hashed(mine), _hashed(ys[lo:hi]), strict=True):
+                own = x if mine[k - lo] is not None else own
+                on.append(_similar(own, y, lambda k=k: (xs[k], ys[k])))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
 
 
@@ -178,19 +308,8 @@ def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
             same = (x[k][:, None] == y).sum(0, dtype=np.int16)
             hit = np.nonzero((same >= CLOSE) & (rc != qc[k]))[0]
             done: set[int] = set()
-            exact = None
             for j in hit[np.argsort(-same[hit], kind="stable")].tolist():
-                if rc[j] in done:
-                    continue
-                s, o = qs[k], rs[j]
-                at = np.searchsorted(s, o)
-                both = int((s[np.minimum(at, len(s) - 1)] == o).sum())
-                if 100 * both < PERCENT * (len(s) + len(o) - both):
-                    continue
-                exact = shingles(qt[k]) if exact is None else exact
-                other = shingles(rt[j])
-                both = len(exact & other)
-                if 100 * both >= PERCENT * (len(exact) + len(other) - both):
+                if rc[j] not in done and _similar(qs[k], rs[j], lambda k=k, j=j: (qt[k], rt[j])):
                     done.add(rc[j])
                     a.append(q[k])
                     b.append(r[j])
@@ -215,18 +334,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = sets.where("id is not null and n > 0").groupBy(*name).agg(F.min_by(F.struct("sig", "text_hash"), F.struct("id", "text_hash")).alias("r"), F.min("id").alias("rep"))
     classes = cut(classes.select(*name, "rep", "r.sig", "r.text_hash"))
 
-    forest = map_batches(classes.select("rep", "sig"), _forest, "p bigint, o bigint, rep bigint")
-    regions = forest.groupBy("p").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("m > 1")
-    regions = cut(regions)
-    # regions of two are pairs already; of the others, each class meets its next neighbours in the tree's order
-    members = forest.join(regions.where("m > 2").select("p", "m", F.col("a").alias("first")), "p")
-    members = cut(members.withColumn("deep", F.when(F.col("m") > DEEP, F.col("o")).otherwise(F.lit(0).cast("long"))))
-    order = Window.partitionBy("p", "deep").orderBy("o", "rep")
-    small = F.col("m") <= NEAR + 1
-    sorted_ = members.where(small | (F.pmod("p", F.lit(SORTED)) == 0))
-    ahead = sorted_.select(F.col("rep").alias("a"), F.array(F.lead("rep", 1).over(order), *[F.when(small, F.lead("rep", k).over(order)) for k in range(2, NEAR + 1)]).alias("next"))
-    ahead = ahead.select("a", F.explode(F.filter("next", lambda x: x.isNotNull())).alias("b"))
-    pairs = cut(_ordered(regions.where("m = 2").select("a", "b").unionByName(ahead)))
+    met = cut(forest(classes, classes.count()))
+    small = met.where(F.col("kind") == SMALL).select("a", "b")
+    # in large regions each class goes on with its nearest ones; the groups hold at most TREES * NEAR partners of a class
+    large = met.where(F.col("kind") == LARGE)
+    sides = large.select("a", "b", "depth").unionByName(large.select(F.col("b").alias("a"), F.col("a").alias("b"), "depth")).groupBy("a", "b").agg(F.max("depth").alias("depth"))
+    nearest = sides.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("d"), "b"))), 1, NEAREST).alias("x")).select("a", F.explode("x.b").alias("b"))
+    pairs = cut(_ordered(small.unionByName(nearest)))
     named_text = docs.where("id is not null").select(F.col("id").alias("rep"), F.xxhash64("t").alias("text_hash"), "t")
 
     def texts_of(reps: DataFrame) -> DataFrame:
@@ -238,8 +352,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = _links(pairs, cut(texts_of(needed)))
     comps = cut(components(links))
 
-    large = members.where(F.col("m") > NEAR + 1)
-    clusters = cut(components(large.select(F.col("rep").alias("a"), F.col("first").alias("b"))))
+    members = met.where(F.col("kind") == MEMBER)
+    # a class alone in a region's list is its first; the others lead to it
+    clusters = cut(components(members.select("a", "b")))
     inside = clusters.select(F.col("node").alias("rep"), F.col("component").alias("g")).join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     inside = cut(inside.join(classes.select("rep", "n", "sig"), "rep").select("rep", "g", F.coalesce("component", "rep").alias("comp"), "n", "sig"))
     parts = inside.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
@@ -268,7 +383,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-
 def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with all its columns; of equal rows one."""
     found = cut(near_duplicates(df, id_col, text_col, named=True))

@@ -109,7 +109,7 @@ def test_near_duplicates_in_one_large_group(spark, monkeypatch, close):
     """A large group about the threshold: hubs, chains, small blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 30)
     monkeypatch.setattr(near_dedup, "NEAR", close)
-    monkeypatch.setattr(near_dedup, "DEEP", 40)
+    monkeypatch.setattr(near_dedup, "ORDER_ROWS", 300)
     rng = random.Random(close)
     base = words(rng, 120).split()
     docs = []
