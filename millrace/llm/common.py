@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -55,6 +56,14 @@ def shared_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once as Parquet to the shared folder and read again: as cut, with columns pruned on reading."""
+    shared_dir(df.sparkSession)
+    place = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared checkpoint folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)

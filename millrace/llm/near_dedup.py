@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, fresh, map_batches, without
+from .common import by_bytes, cut, fresh, map_batches, without, written
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -209,8 +209,8 @@ def neighbours(packed: list[np.ndarray], rep: np.ndarray) -> tuple[list[tuple[in
 def _batches(found: list[tuple]) -> Iterator[pa.RecordBatch]:
     for kind, a, b, depth, *packed in found:
         if len(a):
-            more = packed or [np.zeros(len(a), np.int64)] * len(_PACKED)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(depth.astype(np.int32)), *[pa.array(c) for c in more]], names=["kind", "a", "b", "depth", *_PACKED])
+            more = [pa.array(c) for c in packed] or [pa.nulls(len(a), pa.int64())] * len(_PACKED)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(depth.astype(np.int32)), *more], names=["kind", "a", "b", "depth", *_PACKED])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,8 +239,8 @@ def forest(classes: DataFrame, total: int) -> DataFrame:
     parts = max(1, -(-total * TREES // ORDER_ROWS), min(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), total * TREES // 5000))
     keys = [*_PACKED, "rep"]
     orders = map_batches(classes.select("rep", "sig"), _orders, ", ".join(f"{c} bigint" for c in keys))
-    met = cut(map_batches(orders.repartitionByRange(parts, *keys).sortWithinPartitions(*keys), _neighbours, _MET))
-    across = met.where(F.col("kind") == BORDER).groupBy("b").applyInArrow(_across, _MET)
+    met = written(map_batches(orders.repartitionByRange(parts, *keys).sortWithinPartitions(*keys), _neighbours, _MET), "forest")
+    across = cut(met.where(F.col("kind") == BORDER).groupBy("b").applyInArrow(_across, _MET))
     return met.where(F.col("kind") != BORDER).unionByName(across).select("kind", "a", "b", "depth")
 
 
@@ -334,11 +334,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = sets.where("id is not null and n > 0").groupBy(*name).agg(F.min_by(F.struct("sig", "text_hash"), F.struct("id", "text_hash")).alias("r"), F.min("id").alias("rep"))
     classes = cut(classes.select(*name, "rep", "r.sig", "r.text_hash"))
 
-    met = cut(forest(classes, classes.count()))
+    met = forest(classes, classes.count())
     small = met.where(F.col("kind") == SMALL).select("a", "b")
     # in large regions each class goes on with its nearest ones; the groups hold at most TREES * NEAR partners of a class
-    large = met.where(F.col("kind") == LARGE)
-    sides = large.select("a", "b", "depth").unionByName(large.select(F.col("b").alias("a"), F.col("a").alias("b"), "depth")).groupBy("a", "b").agg(F.max("depth").alias("depth"))
+    large = met.where(F.col("kind") == LARGE).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("depth").alias("depth"))
+    sides = large.unionByName(large.select(F.col("b").alias("a"), F.col("a").alias("b"), "depth"))
     nearest = sides.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("d"), "b"))), 1, NEAREST).alias("x")).select("a", F.explode("x.b").alias("b"))
     pairs = cut(_ordered(small.unionByName(nearest)))
     named_text = docs.where("id is not null").select(F.col("id").alias("rep"), F.xxhash64("t").alias("text_hash"), "t")
