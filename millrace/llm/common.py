@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII blanks: space, and tab to carriage return.
@@ -46,36 +46,63 @@ def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """checkpoint() needs a folder that all executors share. The cluster names it in spark.checkpoint.dir; only
-    a session without that setting (tests, local mode) gets one of its own."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables, which all executors share. The cluster names it in
+    spark.checkpoint.dir; only a local session without that setting (tests) gets one of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if place is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            import tempfile
 
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+            place = tempfile.mkdtemp(prefix="millrace-")
+        sc.setCheckpointDir(place)
+    return sc.getCheckpointDir()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written once as Parquet to the shared folder and read again: as cut, with columns pruned on reading."""
-    shared_dir(df.sparkSession)
-    place = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    """The same rows, written once as Parquet to the shared folder and read again: as cut, with columns pruned on reading.
+    The folder stays until clear() or drop() deletes it, as the result may be read at any time."""
+    place = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(place)
     df.write.parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+_WRITTEN: list[str] = []
+
+
+def drop(spark: SparkSession, place: str) -> None:
+    """Deletes a folder by Spark's own file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that written() has left; to be called when no result is to be read any more."""
+    while _WRITTEN:
+        drop(spark, _WRITTEN.pop())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared checkpoint folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, hinted for broadcast if it has at most `rows` rows; df is cut, so counting it is cheap."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def bounded_rows(df: DataFrame, group: str, key: str, per_group: int) -> DataFrame:
     """About `per_group` rows of each value of `group`, chosen by a hash of `key`: the same rows in every run.
 
     One pass counts the groups (one row per value reaches the driver; values are few: languages or classes),
-    a second keeps a row when its hash falls under the group's rate. A hard limit of twice the expected size
-    keeps what is collected bounded even if ids repeat.
+    a second keeps a row when its hash falls under the group's rate. A hard limit of twice the expected size, in
+    order of the hash, keeps what is collected bounded even if ids repeat.
     """
     counts = {r[0]: r[1] for r in df.where(F.col(group).isNotNull()).groupBy(group).count().collect()}
     if not counts:
@@ -84,7 +111,26 @@ def bounded_rows(df: DataFrame, group: str, key: str, per_group: int) -> DataFra
     rate = F.lit(0)
     for value, n in counts.items():
         rate = F.when(F.col(group) == value, F.lit(min(span, int(span * per_group / n)))).otherwise(rate)
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(span)) < rate).limit(2 * per_group * len(counts) + 100)
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(span))
+    return df.where(draw < rate).orderBy(draw, *[F.xxhash64(c) for c in df.columns]).limit(2 * per_group * len(counts) + 100)
+
+
+def bounded_texts(rows: DataFrame, group: str, key: str, text: str, total: int) -> list[Row]:
+    """The rows (a bounded number) whose texts come to at most `total` bytes, each value of `group` having an even share: rows in
+    order of a hash, leaving out those that do not fit. Sizes reach the driver first, then the texts that were chosen."""
+    rows = rows.withColumns({"_k": F.xxhash64(F.lit("text"), key, text, group), "_n": F.octet_length(text)})
+    sizes = sorted({tuple(r) for r in rows.select("_k", group, "_n").collect()}, key=lambda r: r[0])
+    share = total // max(1, len({g for _, g, _ in sizes}))
+    spent: dict = {}
+    chosen = []
+    for k, g, n in sizes:
+        if spent.get(g, 0) + n <= share:
+            spent[g] = spent.get(g, 0) + n
+            chosen.append((k,))
+    if not chosen:
+        return []
+    picked = rows.join(F.broadcast(rows.sparkSession.createDataFrame(chosen, "_k bigint")), "_k").drop("_n")
+    return picked.dropDuplicates(["_k"]).drop("_k").collect()
 
 
 def fresh(df: DataFrame) -> DataFrame:

@@ -19,11 +19,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, by_bytes, map_batches
+from .common import PASS_BYTES, bounded_rows, bounded_texts, by_bytes, map_batches
 
 UNKNOWN = "und"
-#: Labelled rows of each language that training collects; with it the driver's memory is bounded.
-ROWS_PER_LANGUAGE = 300
+#: Labelled rows of each language that training collects, and bytes of all their texts; with these the driver's memory is bounded.
+ROWS_PER_LANGUAGE, SAMPLE_BYTES = 300, 32 << 20
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 ORDERS = (2, 3, 4)
@@ -37,12 +37,9 @@ _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 
 
-def subwords(texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For each order the bucket of the n-gram at every byte and whether it counts; and where each text begins."""
-    flat = _FOLD[np.frombuffer(b" " + b" ".join(texts) + b"    ", np.uint8)]
+def _grams(flat: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each order the bucket of the n-gram at every byte but the last four, and whether it counts."""
     n = len(flat) - 4
-    starts = np.zeros(len(texts), np.int64)
-    np.cumsum([len(t) + 1 for t in texts[:-1]], out=starts[1:])
     blank = flat == 32
     code = flat.astype(np.uint32)
     hashes, counted = [], []
@@ -58,7 +55,21 @@ def subwords(texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np
             hashes.append((mixed * np.uint32(2246822519)) >> np.uint32(16))
             both = blank[:n] & blank[k : n + k]
             counted.append(inner & ~both)
-    return hashes, counted, starts
+    return hashes, counted
+
+
+def _pieces(text: bytes) -> Iterator[np.ndarray]:
+    """A long text as _grams takes it: each piece with the four bytes behind it, so that none of its n-grams is lost or met twice."""
+    whole = b" " + text + b"    "
+    for lo in range(0, len(whole) - 4, PASS_BYTES):
+        yield _FOLD[np.frombuffer(whole[lo : lo + PASS_BYTES + 4], np.uint8)]
+
+
+def subwords(texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """For each order the bucket of the n-gram at every byte and whether it counts; and where each text begins."""
+    starts = np.zeros(len(texts), np.int64)
+    np.cumsum([len(t) + 1 for t in texts[:-1]], out=starts[1:])
+    return *_grams(_FOLD[np.frombuffer(b" " + b" ".join(texts) + b"    ", np.uint8)]), starts
 
 
 @dataclass
@@ -70,6 +81,8 @@ class Model:
     reject_below: float
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
+        if len(texts) == 1 and len(texts[0]) > PASS_BYTES:
+            return self._long(texts[0])
         hashes, counted, starts = subwords(texts)
         total = np.zeros((len(texts), len(self.languages)))
         n = np.zeros(len(texts), np.int64)
@@ -79,6 +92,16 @@ class Model:
             n += np.add.reduceat(c, starts, dtype=np.int64)
         return total / np.maximum(n, 1)[:, None] + self.bias
 
+    def _long(self, text: bytes) -> np.ndarray:
+        """Sums over pieces: the mean over the text is the same as in one go."""
+        total, n = np.zeros(len(self.languages)), 0
+        for flat in _pieces(text):
+            for h, c in zip(*_grams(flat), strict=True):
+                count = np.bincount(h[c], minlength=BUCKETS)
+                total += count @ self.scores[:BUCKETS].astype(np.float64)
+                n += int(count.sum())
+        return (total / max(n, 1) + self.bias)[None]
+
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
         return _softmax(self.logits(texts) / self.temperature)
 
@@ -144,11 +167,13 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 4.0, seed:
     return model
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
-    """Learns from about `rows_per_language` labelled rows of each language, whole texts, chosen by a hash of the id.
-    None if no row has both a text and a language."""
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
+    """Learns from about `rows_per_language` labelled rows of each language, whole texts, chosen by a hash of the id, of
+    together at most `sample_bytes`: a longer text than fits its language's share is not learned from.
+    None if no row has both a text and a language. Repeated rows count once."""
     known = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull())
-    rows = sorted((r[2], r[0] is None, r[0] or 0, r[1]) for r in bounded_rows(known, "l", "id", rows_per_language).collect())
+    rows = bounded_texts(bounded_rows(known, "l", "id", rows_per_language), "l", "id", "t", sample_bytes)
+    rows = sorted((r[2], r[0] is None, r[0] or 0, r[1]) for r in rows)
     return train([(t, lang) for lang, _, _, t in rows]) if rows else None
 
 
@@ -156,8 +181,8 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """`id_col`, lang_pred, score (calibrated probability of lang_pred) and rejected (score under the calibrated level).
 
     A text that is null or has no letter is `und` with score 0, as is every text if there is no model. Rows, repeated
-    ones too, come out one for one; equal probabilities go to the first language in order. Other columns are left
-    out, whatever their names. An empty input gives no rows.
+    ones too, come out one for one; equal probabilities go to the first language in order. A very long text is summed up
+    in pieces. Other columns are left out, whatever their names. An empty input gives no rows.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats, whatever the corpus
 

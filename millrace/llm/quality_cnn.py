@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, by_bytes, map_batches
+from .common import bounded_rows, bounded_texts, by_bytes, map_batches
 
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 6, 8, 2, 24, 12
 #: Bytes of a segment; a chunk is twice as long.
 SEGMENT = 128
-#: Labelled rows of each class that training collects; with it the driver's memory is bounded.
-ROWS_PER_CLASS = 700
+#: Labelled rows of each class that training collects, and bytes of all their texts; with these the driver's memory is bounded.
+ROWS_PER_CLASS, SAMPLE_BYTES = 700, 32 << 20
+#: Segments of a long text that are scored at a time.
+PASS_SEGMENTS = 2048
 GOOD_FROM = 0.7
 
 
@@ -77,7 +79,36 @@ def _combine(net: Net, pooled: np.ndarray, n: np.ndarray):
     return first, nxt, chunk, h, most, both, logit
 
 
+def _score_long(net: Net, text: bytes) -> np.ndarray:
+    """As score, of one text, by passes over its segments: chunk outputs are summed up and their maxima kept."""
+    f4 = np.float32
+    n = max(1, -(-len(text) // SEGMENT))
+    total, most = np.zeros(HIDDEN), np.full(HIDDEN, -np.inf, f4)
+    before = np.zeros((0, FILTERS), f4)
+    for lo in range(0, n, PASS_SEGMENTS):
+        k = min(PASS_SEGMENTS, n - lo)
+        flat = np.full(k * SEGMENT + WIDTH, 256, np.int32)
+        own = np.frombuffer(text[lo * SEGMENT : lo * SEGMENT + len(flat)], np.uint8)
+        flat[: len(own)] = own
+        x = net.embed[flat]
+        s = x.strides
+        patches = np.lib.stride_tricks.as_strided(x, (k * SEGMENT // STRIDE, WIDTH * EMBED), (STRIDE * s[0], s[1]))
+        seen = (patches @ net.filters).reshape(k, SEGMENT // STRIDE, FILTERS)
+        pooled = np.concatenate([before, np.maximum(seen.max(1) + net.offset, 0)])
+        before = pooled[-1:]
+        # the last chunk of all is the last segment by itself
+        chunk = np.maximum(pooled[:-1], pooled[1:]) if lo + k < n else np.maximum(pooled, np.concatenate([pooled[1:], pooled[-1:]]))
+        h = np.maximum(chunk @ net.hidden + net.hidden_offset, 0)
+        if len(h):
+            total += h.sum(0, dtype=np.float64)
+            most = np.maximum(most, h.max(0))
+    logit = np.concatenate([(total / n).astype(f4), most]) @ net.out + net.out_offset[0]
+    return 1 / (1 + np.exp(-np.clip(np.array([logit], np.float64), -30, 30)))
+
+
 def score(net: Net, texts: list[bytes]) -> np.ndarray:
+    if len(texts) == 1 and len(texts[0]) > PASS_SEGMENTS * SEGMENT:
+        return _score_long(net, texts[0])
     _, n, _, _, seen = _forward(net, texts)
     pooled = np.maximum(seen.max(1) + net.offset, 0)
     logit = _combine(net, pooled, n)[-1]
@@ -142,8 +173,9 @@ def train(rows: list[tuple[str, int]], prior: float, epochs: int = 8, batch: int
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = ROWS_PER_CLASS) -> Net | None:
-    """Learns from the whole texts of about `rows_per_class` labelled rows of each class, chosen by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = ROWS_PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Net | None:
+    """Learns from the whole texts of about `rows_per_class` labelled rows of each class, chosen by a hash of the id, of
+    together at most `sample_bytes`: a longer text than fits its class's share is not learned from. Repeated rows count once.
     Null labels and texts count for nothing; of an id with several labels the smallest counts. None without both classes."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("q")).where("q in (0, 1) and id is not null").groupBy("id").agg(F.min("q").alias("q"))
     counts = {r[0]: r[1] for r in known.groupBy("q").count().collect()}
@@ -151,8 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     sample = bounded_rows(known, "q", "id", rows_per_class)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null")
-    picked = texts.join(F.broadcast(sample), "id").limit(8 * rows_per_class)  # the sample has a fixed bound
-    rows = sorted((r[0], r[1], r[2]) for r in picked.select("id", "t", "q").collect())
+    picked = texts.join(F.broadcast(sample), "id")  # the sample has a fixed bound
+    picked = picked.orderBy(F.xxhash64("id", "t")).limit(8 * rows_per_class).select("id", "t", "q")
+    rows = sorted(tuple(r) for r in bounded_texts(picked, "q", "id", "t", sample_bytes))
     if len({q for *_, q in rows}) < 2:
         return None
     return train([(t, q) for _, t, q in rows], counts[1] / sum(counts.values()))
@@ -161,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def classify(df: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: str = "text", good_from: float = GOOD_FROM) -> DataFrame:
     """`id_col`, score (0 to 1, higher: quality 1 likelier) and predicted (1 from `good_from` on).
 
-    A null text counts as empty and gets a score like any other. Without a network every score is 0.5. Rows, repeated
+    A null text counts as empty and gets a score like any other; a very long one is scored in passes over all of it. Without a network every score is 0.5. Rows, repeated
     ones too, come out one for one; other columns are left out, whatever their names. An empty input gives no rows.
     """
     sent = df.sparkSession.sparkContext.broadcast(net)  # a few thousand floats
@@ -181,7 +214,8 @@ def classify(df: DataFrame, net: Net | None, id_col: str = "doc_id", text_col: s
 
 
 def keep(df: DataFrame, net: Net | None, text_col: str = "text", good_from: float = GOOD_FROM) -> DataFrame:
-    """The rows that `classify` predicts to be good, with all their columns; all rows without a network."""
+    """The rows that `classify` predicts to be good, with all their columns, whatever their names; all rows without a
+    network. A null text counts as empty; of repeated rows all stay or all go. An empty input gives no rows."""
     if net is None:
         return df
     sent = df.sparkSession.sparkContext.broadcast(net)
