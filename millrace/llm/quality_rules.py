@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, cut, fresh, without
+from .common import WORD_GAP, cut, fresh, small, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -138,45 +138,54 @@ def _quantiles(d: DataFrame, keys: list[str], columns: list[tuple[str, str]], q:
 
 
 def mcd(rows: DataFrame) -> DataFrame:
-    """rows: GROUP and STATISTICS. One estimate per group: means, precision matrix, log determinant."""
+    """rows: GROUP and STATISTICS. One estimate per group: means, precision matrix, log determinant.
+
+    Tables of a row or two per group go to the rows by broadcast while they are small, so that no group's rows come together."""
     k = len(STATISTICS)
     keys = [*GROUP, "start"]
     classical = _estimate(_sums(rows, list(GROUP)), list(GROUP), 1.0).withColumn("start", F.lit(0))
     # the other start: medians and median absolute deviations, of values rounded to fiftieths
     coarse = [(F.round(F.col(v) / 20) * 20).alias(v) for v in STATISTICS]
     mid = _quantiles(rows.select(*GROUP, *coarse), list(GROUP), [(v, f"m_{i}") for i, v in enumerate(STATISTICS)], 0.5)
-    off = rows.join(mid, list(GROUP)).select(*GROUP, *[f"m_{i}" for i in range(k)], *[(F.round(F.abs(F.col(v) - F.col(f"m_{i}")) / 20) * 20).alias(v) for i, v in enumerate(STATISTICS)])
+    mid = cut(mid)
+    off = rows.join(small(mid), list(GROUP)).select(*GROUP, *[f"m_{i}" for i in range(k)], *[(F.round(F.abs(F.col(v) - F.col(f"m_{i}")) / 20) * 20).alias(v) for i, v in enumerate(STATISTICS)])
     mad = _quantiles(off, list(GROUP), [(v, f"a_{i}") for i, v in enumerate(STATISTICS)], 0.5).join(mid, list(GROUP))
     robust = mad.select(*GROUP, *[f"m_{i}" for i in range(k)],
                         *[(1 / (F.pow(1.4826 * F.col(f"a_{i}"), 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"p_{i}_{j}") for i in range(k) for j in range(i + 1)],
                         F.lit(0.0).alias("log_det"), F.lit(1).alias("start"))
     now = cut(classical.unionByName(robust))
     for _ in range(STEPS):
-        near = rows.join(now, list(GROUP)).withColumn("d2", F.least(F.round(_distance(now), 2), F.lit(1000.0)))
-        bound = _quantiles(near, keys, [("d2", "core")], CORE_SHARE)
-        core = near.join(bound, keys).where(F.col("d2") <= F.col("core"))
+        near = rows.join(small(now), list(GROUP)).withColumn("d2", F.least(F.round(_distance(now), 2), F.lit(1000.0)))
+        bound = cut(_quantiles(near, keys, [("d2", "core")], CORE_SHARE))
+        core = near.join(small(bound), keys).where(F.col("d2") <= F.col("core"))
         now = cut(_estimate(_sums(core, keys), keys, CONSISTENCY))
     names = [c for c in now.columns if c not in keys]
     return now.groupBy(*GROUP).agg(F.min(F.struct("log_det", "start", *[n for n in names if n != "log_det"])).alias("e")).select(*GROUP, "e.*").drop("start")
 
 
-def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", named: bool = False) -> DataFrame:
-    """One row per input row: `id_col`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    distance (squared, from the estimate that holds for the row's language and source; null only if the base rules reject it) and kept;
-    with `named` also text_hash, which together with the id names a row and its copies.
+def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """One row per input row: `id_col`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and
+    distance (squared, from the estimate that holds for the row's language and source; null only if the base rules reject it).
 
-    Words are maximal runs of anything but ASCII blanks; a null text has none, so it fails. Null languages and
-    sources are groups like any other, a null id is a row like any other, equal rows get equal verdicts. Documents that
+    Words are maximal runs of anything but ASCII blanks; a null text has none, so it fails. Very long texts are taken
+    whole, by array functions. Null languages and sources are groups like any other, a null id is a row like any other, equal rows get equal verdicts. Documents that
     fail the base rules take no part in the estimates. Groups of fewer than MIN_GROUP rows are taken together by
     language; if these are still that few, the language's estimate over all its sources holds for them, and if the
     language has that few rows itself, the one over all rows of the table. Other columns are left out, whatever their names. An empty input gives
     no rows.
     """
-    d = base_statistics(df, id_col, text_col, {"lang": F.col(lang_col), "source": F.col(source_col), "text_hash": F.xxhash64(F.col(text_col))})
-    d = cut(_vector(d))
-    passed = d.where(~F.col("base_failed"))
+    out = _judged(df, id_col, text_col, lang_col, source_col, cut, {})
+    return out.select(F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def _judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, hold, carry: dict[str, Column]) -> DataFrame:
+    """Statistics, kept and distance of every row, with the columns of `carry`. `hold` keeps the rows with their statistics,
+    so that texts are read once."""
+    d = base_statistics(df, id_col, text_col, {"lang": F.col(lang_col), "source": F.col(source_col)} | carry)
+    d = hold(_vector(d))
     lang, source = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("-")), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
-    d, passed = d.withColumns({"g_lang": lang, "g0": source}), passed.withColumns({"g_lang": lang, "g0": source})
+    d = d.withColumns({"g_lang": lang, "g0": source})
+    passed = d.where(~F.col("base_failed")).select("g_lang", "g0", *STATISTICS)
     groups = passed.groupBy("g_lang", "g0").agg(F.count(F.lit(1)).alias("in_group"))
     groups = cut(groups.withColumn("own", F.when(F.col("in_group") >= MIN_GROUP, F.col("g0")).otherwise(F.lit("*"))))
     groups = groups.join(groups.groupBy("g_lang", "own").agg(F.sum("in_group").alias("in_own")), ["g_lang", "own"]).join(groups.groupBy("g_lang").agg(F.sum("in_group").alias("in_lang")), "g_lang")
@@ -186,18 +195,19 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     groups = cut(groups.select("g_lang", "g0", measure.alias("measure"), F.array(*every).alias("every")))
     # the rows of an estimate: all that it stands for, also those that have a closer one; only estimates that some group needs
     needed = fresh(groups.select("measure").distinct())
-    members = groups.select("g_lang", "g0", F.explode("every").alias("measure")).join(needed, "measure")
-    rows = passed.join(members, ["g_lang", "g0"]).select("measure.*", *STATISTICS)
+    members = cut(groups.select("g_lang", "g0", F.explode("every").alias("measure")).join(needed, "measure"))
+    rows = passed.join(small(members), ["g_lang", "g0"]).select("measure.*", *STATISTICS)
     estimates = mcd(rows).withColumn("measure", pair(F.col("g_lang"), F.col("g_source"))).drop(*GROUP)
-    rules = groups.select("g_lang", "g0", "measure").join(estimates, "measure").drop("measure")
-    out = d.join(rules, ["g_lang", "g0"], "left")
-    far = F.when(~F.col("base_failed"), _distance(out))
-    out = out.withColumn("distance", far)
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= EXTREME)
-    return out.select(F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"), *(["text_hash"] if named else []))
-
-
-def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that `assess` keeps, with all their columns."""
-    return without(df, assess(df, id_col, text_col, named=True).where(~F.col("kept")), id_col, text_col)
-
+    rules = cut(groups.select("g_lang", "g0", "measure").join(estimates, "measure").drop("measure"))
+    out = d.join(small(rules), ["g_lang", "g0"], "left")
+    out = out.withColumn("distance", F.when(~F.col("base_failed"), _distance(out)))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= EXTREME))
+
+
+def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows that `assess` keeps, with all their columns, whatever their names. They are written with their statistics
+    and read again, so that no text is shuffled. Each row has its own verdict: a null text goes, a null id is like any
+    other, of equal rows all stay or all go. An empty input gives no rows."""
+    carry = {f"in_{k}": F.col(c) for k, c in enumerate(df.columns)}
+    out = _judged(df, id_col, text_col, lang_col, source_col, lambda d: written(d, "judged"), carry)
+    return out.where("kept").select(*[F.col(f"in_{k}").alias(c) for k, c in enumerate(df.columns)])
