@@ -5,8 +5,9 @@ join: by canonical URL, to the latest full response before it. That response is
 (entity tag, else date of last modification) agrees; its headers are then updated with those that a not-modified
 response may change.
 
-DataFrame functions only. One URL may hold a third of all records, so time is cut into slots: within a slot and a URL, a
-running maximum finds the latest response; across slots one row per URL and slot carries it on.
+DataFrame functions only. One URL may hold a third of all records, so Spark range-partitions the records by URL and time, ties
+by record, and each partition is a slot: within a slot and a URL, a running maximum finds the latest response; across slots one
+row per URL and slot carries it on. The number of slots follows from the number of records.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from .common import cut, table
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: Query parameters that only track; two patterns, a prefix and whole names.
 TRACKING = r"^(utm_[^=]*|gclid|fbclid|ref)(=|$)"
-SLOTS = 64
+#: Records of a slot, at most, about.
+SLOT_ROWS = 100_000
 
 
 def canonical_url(url: Column) -> Column:
@@ -53,7 +55,7 @@ def _lower_keys(headers: Column) -> Column:
     return F.coalesce(made, F.create_map().cast("map<string,string>"))
 
 
-def resolve(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+def resolve(records: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """records: record_id, url, ts (ordered, e.g. long or timestamp), kind ('response' or 'revisit'), status (int), headers
     (map<string,string>). A full response has kind response and status 200.
 
@@ -66,22 +68,21 @@ def resolve(records: DataFrame, slots: int = SLOTS) -> DataFrame:
     """
     r = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("ts").alias("ts"), "kind", "status", _lower_keys(F.col("headers")).alias("h"))
     r = cut(r.where("kind in ('response', 'revisit')"))
-    # global cuts of time, so that a slot of one URL is a small part of all records
-    cuts = r.select(F.col("ts").cast("double").alias("t")).agg(F.percentile_approx("t", [k / slots for k in range(1, slots)], 2000)).first()[0]
-    slot = F.lit(0)
-    for c in sorted(set(cuts or [])):
-        slot = slot + (F.col("ts").cast("double") > c).cast("int")
-    known = r.where("canonical_url is not null and ts is not null").withColumn("slot", slot)
+    known = r.where("canonical_url is not null and ts is not null")
     full = (F.col("kind") == "response") & (F.col("status") == 200)
-    known = known.where(full | (F.col("kind") == "revisit"))
+    known = known.where(full | (F.col("kind") == "revisit")).withColumn("full", F.when(full, F.col("record_id")))
+    # at one time revisits come before responses, which they do not meet; equal times are spread by record
+    rank = [F.col("ts"), F.col("full").isNotNull(), F.coalesce("full", "record_id"), F.col("record_id")]
+    parts = max(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-r.count() // slot_rows))
+    known = cut(known.repartitionByRange(parts, "canonical_url", *rank).withColumn("slot", F.spark_partition_id()))
     place = F.struct("ts", "record_id", F.col("h").alias("headers"))
-    known = known.withColumn("full", F.when(full, F.col("record_id")))
     # running latest response in the slot: a map cannot be compared, so its place is found first and then looked up
-    before = Window.partitionBy("canonical_url", "slot").orderBy("ts", F.col("full").isNotNull(), "full").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("canonical_url", "slot").orderBy(*rank).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = known.withColumn("last", F.last(F.when(full, place), ignorenulls=True).over(before))
     sums = known.groupBy("canonical_url", "slot").agg(F.max_by(F.when(full, place), F.when(full, F.struct("ts", "record_id"))).alias("of_slot"))
     across = Window.partitionBy("canonical_url").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.withColumn("carried", F.last("of_slot", ignorenulls=True).over(across)).drop("of_slot")
+    # dealt out anew, so that the join sees two exchanges and can split the slots of a hot URL
+    carried = cut(sums.withColumn("carried", F.last("of_slot", ignorenulls=True).over(across)).drop("of_slot"))
     revisits = seen.where("kind = 'revisit'").join(carried, ["canonical_url", "slot"], "left").withColumn("full_response", F.coalesce("last", "carried"))
     revisits = revisits.select("record_id", "canonical_url", "ts", "h", "full_response")
     lone = r.where("kind = 'revisit' and (canonical_url is null or ts is null)")
