@@ -4,7 +4,7 @@ A document's address is a string of hash bits. The directory starts with one buc
 the byte limit splits on its next bit, until every bucket fits. So shards near the limit stay whole while dense
 regions of the hash space go deeper.
 
-Bits come from the MD5 of the key and, beyond KEY_BITS, from a hash of the text and of the row's place in the input, so
+Bits come from the MD5 of the key and, beyond KEY_BITS, from a hash of the text and of a serial number among equal rows, so
 that rows with one key, even a third of all rows, still split. Each round looks LEVELS bits ahead: bytes are added
 up per address at the deepest level in the tasks, before the shuffle, and the levels above follow from these sums.
 Documents themselves are not moved before their shards are known.
@@ -12,10 +12,10 @@ Documents themselves are not moved before their shards are known.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 SHARD_BYTES = 1 << 20
 KEY_BITS, LEVELS = 60, 12
@@ -64,34 +64,63 @@ def shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
     beyond the key's, 0 if there are none) and shard_bytes, one row per input row.
 
     No shard of more than one row exceeds `limit` bytes of text. A null text has no bytes; a null key is a key like any
-    other; a text above the limit is a shard of its own. Rows with the same key part by text, then by place in the input.
-    Other columns are left out, whatever their names. An empty input gives no rows.
+    other; a text above the limit is a shard of its own. Rows with the same key part by text, equal rows by a serial number, so
+    that the shards do not depend on how the input is split. Other columns are left out, whatever their names. An
+    empty input gives no rows.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    mask = F.lit((1 << KEY_BITS) - 1)
+    return _shards(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), limit, []).withColumnRenamed("id", id_col)
+
+
+def _serial(rows: DataFrame) -> DataFrame:
+    """rows: h1, t, p (number of the input's part). With `serial`, from 0 among rows of equal h1 and t: counts of the parts
+    before a row's, and its place in its own part, so that no task sees all copies of a hot row."""
+    key = ["h1", "t"]
+    counts = rows.groupBy(*key, "p").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*key).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    # cut here, so that the join deals out both sides itself and can split a hot row
+    place = F.row_number().over(Window.partitionBy(*key, "p").orderBy("h1"))
+    return rows.withColumn("place", place).join(cut(counts), [*key, "p"]).withColumn("serial", F.col("before") + F.col("place") - 1).drop("before", "place", "p")
+
+
+def _shards(df: DataFrame, limit: int, carry: list[str]) -> DataFrame:
+    """df: id, text and the columns of `carry`."""
+    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
     rows = df.select(
-        F.col(id_col).alias("id"),
-        F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"),
+        "id", *carry,
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.conv(F.substring(F.md5(key), 1, KEY_BITS // 4), 16, 10).cast("long").alias("h1"),
-        F.xxhash64(F.col(text_col), F.monotonically_increasing_id()).bitwiseAND(mask).alias("h2"),
-    )
+        F.xxhash64("text").alias("t"), F.spark_partition_id().alias("p"),
+    )
+    rows = _serial(cut(rows)).withColumn("h2", F.xxhash64("t", "serial").bitwiseAND(F.lit((1 << KEY_BITS) - 1))).drop("t", "serial")
     rows = cut(rows)
     found = directory(rows.select("h1", "h2", "n_bytes", F.lit(1).cast("long").alias("n_rows")), limit)
     # each depth in use is one equi-join key; there are few of them
     depths = found.groupBy("depth").agg(F.count(F.lit(1)).alias("n")).select("depth")
     depths = [r[0] for r in depths.collect()]  # at most 2 * KEY_BITS + 1 values
     if not depths:
-        return rows.select(F.col("id").alias(id_col), "n_bytes", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("split"), F.lit(0).cast("long").alias("shard_bytes")).limit(0)
+        return rows.select("id", *carry, "n_bytes", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("split"), F.lit(0).cast("long").alias("shard_bytes")).limit(0)
     tries = F.array(*[F.struct(F.lit(d).alias("depth"), *_prefix(d)) for d in sorted(depths)])
-    named = rows.select("id", "n_bytes", F.explode(tries).alias("a")).select("id", "n_bytes", "a.*")
+    named = rows.select("id", *carry, "n_bytes", F.explode(tries).alias("a")).select("id", *carry, "n_bytes", "a.*")
     out = named.join(found.withColumnRenamed("depth", "d"), (F.col("depth") == F.col("d")) & (named["p1"] == found["p1"]) & (named["p2"] == found["p2"]))
-    return out.select(F.col("id").alias(id_col), "n_bytes", F.col("depth").cast("int").alias("depth"), named["p1"].alias("prefix"), named["p2"].alias("split"), "shard_bytes")
+    return out.select("id", *carry, "n_bytes", F.col("depth").cast("int").alias("depth"), named["p1"].alias("prefix"), named["p2"].alias("split"), "shard_bytes")
 
 
 def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> None:
-    """Parquet with one folder per shard. Ids must be unique, as shards are joined back by id."""
-    where = shards(df, id_col, text_col, limit).select(id_col, F.concat_ws("-", "depth", "prefix", "split").alias("shard"))
-    df.join(where, id_col).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Parquet with one folder per shard, all rows and columns as they are: rows are numbered first and meet their shards by
+    that number, so repeated and null ids are rows like any other. The folders' column is `shard`, with underscores
+    behind it if the input has a column of that name. An empty input leaves no folder of a shard."""
+    own = {f"in_{k}": c for k, c in enumerate(df.columns)}
+    held = df.select(*[F.col(c).alias(k) for k, c in own.items()], F.monotonically_increasing_id().alias("u"))
+    held = written(held, "numbered")
+    name = {c: k for k, c in own.items()}
+    where = _shards(held.select(F.col(name[id_col]).alias("id"), F.col(name[text_col]).alias("text"), "u"), limit, ["u"])
+    shard = "shard"
+    while shard in df.columns:
+        shard += "_"
+    where = where.select("u", F.concat_ws("-", "depth", "prefix", "split").alias("s"))
+    out = held.join(where, "u").select(*[F.col(k).alias(c) for k, c in own.items()], F.col("s").alias(shard))
+    out.repartition(shard).write.partitionBy(shard).parquet(path)
 
 
 def oracle_sql(limit: int = SHARD_BYTES, levels: int = 24) -> str:
