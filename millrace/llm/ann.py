@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, map_batches
 
 NEIGHBOURS = 20
-CURVES, DIMENSIONS, BITS = 8, 6, 6
+CURVES, DIMENSIONS, BITS = 16, 6, 6
 #: Query vectors of the calibration sample, rows that fit the scales, and the recall to reach on the sample.
 SAMPLE_QUERIES, SAMPLE_ROWS, SAMPLE_RECALL = 160, 4000, 0.95
-#: Rows of a block, at least and at most.
+#: Rows of a block, at least and at most; between, half the reach.
 BLOCK = (256, 8192)
 
 
@@ -173,7 +173,7 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     ranks = ordered.join(F.broadcast(base), "p").select("curve", "cid", (F.col("before") + F.col("i") - F.col("curve") * F.lit(total)).alias("r"))
 
     reach = _calibrate(classes, query_ids, ranks, width, total, k, recall)
-    block = int(np.clip(reach, *BLOCK))
+    block = int(np.clip(-(-reach // 2), *BLOCK))
     sides = -(-reach // block)
     last = (total - 1) // block
     in_block = F.floor(F.col("r") / block).cast("long")
