@@ -13,7 +13,6 @@ All pieces of a batch run side by side: column i of the tables below is the i-th
 from __future__ import annotations
 
 import functools
-import gc
 import json
 import re
 from collections.abc import Iterator
@@ -23,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import by_bytes, map_batches, sha256
+from .common import by_bytes, map_batches, sha256, without_gc
 
 #: Fixed values of the byte-level pre-tokenizer: its split pattern, and the printable stand-ins of bytes.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -334,7 +333,6 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        gc.disable()  # millions of small lists without cycles
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             n, a, d, raw, back = [], [], [], [], []
@@ -354,5 +352,5 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     kind = df.schema[id_col].dataType.simpleString()
     more = ", ids array<bigint>, decoded string" if with_ids else ""
-    out = map_batches(df.select(df[id_col].alias("id"), df[text_col].alias("t")), run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    out = map_batches(df.select(df[id_col].alias("id"), df[text_col].alias("t")), without_gc(run), f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
     return out.withColumnRenamed("id", id_col)

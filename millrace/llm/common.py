@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,6 +30,22 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(f, schema)
 
 
+def without_gc(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f with Python's garbage collector off while it runs, for millions of small lists without cycles; workers are used
+    again, so it is switched back on."""
+
+    def run(batches: Iterator) -> Iterator:
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            yield from f(batches)
+        finally:
+            if on:
+                gc.enable()
+
+    return run
+
+
 def by_bytes(texts: list, limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges [i, j) of rows whose texts hold about `limit` bytes together; a longer text is a range of its own."""
     i = size = 0

@@ -9,7 +9,6 @@ set bit at or above the document's length. When one more sequence would exceed t
 from __future__ import annotations
 
 import functools
-import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import byte_of_char
-from .common import map_batches
+from .common import map_batches, without_gc
 
 SEQUENCE_TOKENS = 2048
 OPEN_SEQUENCES = 4096
@@ -151,7 +150,6 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     step = 4 * size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # millions of small lists without cycles
         words, bins = word_tokens(path), Bins(size, open_sequences)
         first = TaskContext.get().partitionId() << 40
         names = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"][: 7 + with_ids]
@@ -183,5 +181,5 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
 
     kind = df.schema[id_col].dataType.simpleString()
     more = ", ids array<int>" if with_ids else ""
-    out = map_batches(df.select(df[id_col].alias("id"), df[text_col].alias("t")), run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint{more}")
+    out = map_batches(df.select(df[id_col].alias("id"), df[text_col].alias("t")), without_gc(run), f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint{more}")
     return out.withColumnRenamed("id", id_col)
