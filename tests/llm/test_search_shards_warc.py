@@ -36,15 +36,25 @@ def test_recall_on_embeddings(spark):
     assert set(got) == set(ids[ids % 20 == 0].tolist()) and hit / total >= 0.9
 
 
-def test_recall_of_curves_without_a_full_search(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK", (64, 64))
+@pytest.mark.parametrize("kind", ["clusters", "noise"])
+def test_recall_of_curves_without_a_full_search(spark, monkeypatch, kind):
+    """Each block that a query meets holds less than a fifth of the rows: the index finds the neighbours, not a scan."""
+    monkeypatch.setattr(ann, "BLOCK", (64, 8192))
     rng = np.random.default_rng(3)
-    centres = rng.normal(size=(60, 24))
-    x = np.repeat(centres, 60, 0) + 0.15 * rng.normal(size=(3600, 24))
+    if kind == "clusters":
+        x = np.repeat(rng.normal(size=(60, 24)), 60, 0) + 0.15 * rng.normal(size=(3600, 24))
+    else:
+        x = rng.normal(size=(12_000, 64))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+    seen = []
+    calibrate = ann._calibrate
+    monkeypatch.setattr(ann, "_calibrate", lambda *a: seen.append(calibrate(*a)) or seen[-1])
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = collections.defaultdict(set)
     for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
         got[r.query_id].add(r.vec_id)
+    block = max(64, -(-seen[0] // 2))
+    assert (2 * -(-seen[0] // block) + 1) * block < len(x) / 5
     ids = np.arange(len(x))
     hits = [len({i for i, _ in brute(ids, x, q)} & got[q]) for q in range(0, len(x), 20)]
     assert sum(hits) / (20 * len(hits)) >= 0.9
@@ -108,11 +118,22 @@ def test_shards_of_one_key(spark):
     assert max(r.depth for r in got) > sharding.KEY_BITS
 
 
+def test_shards_do_not_depend_on_the_split_of_the_input(spark):
+    rows = [(7, "same " * 20)] * 150 + [(7, "other " * k) for k in range(20)] + [(k, "t" * 90) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted(map(tuple, sharding.shards(df.repartition(n), limit=1500).collect())) for n in (1, 5)]
+    assert found[0] == found[1]
+
+
 def test_written_shards(spark, tmp_path):
-    df = spark.createDataFrame([(k, "t" * 100) for k in range(60)], "doc_id long, text string")
+    """Repeated and null ids, and an input column named as the folders."""
+    rows = [(k, "t" * 100, k) for k in range(60)] + [(5, "t" * 100, 60), (5, "t" * 100, 60), (None, "x", 61), (None, None, 62)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard long").repartition(3)
     sharding.write_shards(df, str(tmp_path / "s"), limit=1000)
-    back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == 60 and back.select("shard").distinct().count() >= 6
+    back = spark.read.option("recursiveFileLookup", "false").parquet(str(tmp_path / "s"))
+    assert back.select("shard_").distinct().count() >= 6
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(map(tuple, back.select(*df.columns).collect()), key=key) == sorted(rows, key=key)
 
 
 @pytest.mark.parametrize(
@@ -152,13 +173,14 @@ def resolve_plainly(records):
     return out
 
 
-@pytest.mark.parametrize("slots", [1, 5])
-def test_revisits(spark, slots):
-    rng = np.random.default_rng(slots)
+@pytest.mark.parametrize("slot_rows", [1000, 20])
+def test_revisits(spark, slot_rows):
+    """Half of the records have one URL, many of them one time; in few slots and in many."""
+    rng = np.random.default_rng(slot_rows)
     records = []
     for i in range(500):
         key = None if i % 97 == 0 else f"a.b/{0 if rng.random() < 0.5 else int(rng.integers(20))}"
-        ts = None if i % 89 == 0 else int(rng.integers(120))
+        ts = None if i % 89 == 0 else 60 if rng.random() < 0.3 else int(rng.integers(120))
         kind, status = ("response", 200 if rng.random() < 0.8 else 404) if rng.random() < 0.5 else ("revisit", 304)
         headers = {"Date": str(i), "Content-Length": "9"}
         if rng.random() < 0.7:
@@ -167,11 +189,11 @@ def test_revisits(spark, slots):
             headers["Last-Modified"] = str(int(rng.integers(2)))
         records.append((i, key, ts, kind, status, None if i % 83 == 0 else headers))
     df = spark.createDataFrame([(a, k and f"http://{k}", *r, "x") for a, k, *r in records], RECORD).repartition(4)
-    got = {r.record_id: (r.status_text, r.response_id, r.headers) for r in warc.resolve(df, slots).collect()}
+    got = {r.record_id: (r.status_text, r.response_id, r.headers) for r in warc.resolve(df, slot_rows).collect()}
     want = resolve_plainly(records)
     assert got == want
     assert {s for s, *_ in want.values()} == {"missing", "resolved", "changed", "no_validator"}
-    twice = warc.resolve(df.union(df.where("kind = 'revisit'")), slots)
+    twice = warc.resolve(df.union(df.where("kind = 'revisit'")), slot_rows)
     assert twice.count() == 2 * len(want)
     assert warc.resolve(df.limit(0)).count() == 0
 
