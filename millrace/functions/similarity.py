@@ -6,6 +6,7 @@ that saturate on a shared token answer those pairs in the JVM first.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -70,6 +71,31 @@ def partial_token_set_ratio(a: str, b: str) -> float:
     return partial_ratio(" ".join(sorted(x)), " ".join(sorted(y)))
 
 
+def sorted_tokens(s: str) -> str:
+    """The distinct tokens in order."""
+    return " ".join(sorted(set(s.split())))
+
+
+def best_partial(a: str, candidates: list[str]) -> tuple[int, float]:
+    """Index and score of the best partial_token_set_ratio with `a`, the first of equals. The letters in common bound a score, as
+    the stretch that scores best is at least as long as what it has in common; candidates come in order of that bound, so
+    that most are never looked at."""
+    own = sorted_tokens(a)
+    letters = Counter(own)
+    bound = []
+    for b in map(sorted_tokens, candidates):
+        m, n = (letters & Counter(b)).total(), min(len(own), len(b))
+        bound.append(100.0 if set(own.split()) & set(b.split()) else 200.0 * m / (n + m) if n else 0.0)
+    best, at = -1.0, 0
+    for k in sorted(range(len(candidates)), key=lambda k: (-bound[k], k)):
+        if bound[k] < best:
+            break
+        s = partial_token_set_ratio(a, candidates[k])
+        if s > best or s == best and k < at:
+            best, at = s, k
+    return at, best
+
+
 def partial_token_ratio(a: str, b: str) -> float:
     """100 if a token is shared; else the better partial_ratio, of sorted tokens or of distinct ones."""
     x, y = _tokens(a), _tokens(b)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.similarity import similarity
+from millrace.functions.similarity import best_partial, similarity, sorted_tokens
 from millrace.functions.text import normalize_text
+from millrace.held import held
 
 #: Abbreviations that stand for a vendor, compared exactly.
 ABBREVIATIONS = {
@@ -33,15 +35,59 @@ def best_match(names: DataFrame, column: str, vendors: DataFrame, id_col: str, n
     marked = distinct.withColumns({"full": table[raw], "blank": blank})
     direct = marked.where("full is not null").withColumn("norm", normalize_text(F.col("full"))).join(known, "norm", "left").select("raw", F.col("id").alias("matched_vendor_id"), F.col("full").alias("matched_vendor_name"), F.lit(1.0).alias("vendor_fuzz_score"))
     empty = marked.where("blank").select("raw", F.lit(None).cast("string").alias("matched_vendor_id"), F.lit(None).cast("string").alias("matched_vendor_name"), F.lit(0.0).alias("vendor_fuzz_score"))
-    open_ = marked.where("not blank and full is null").select("raw", normalize_text(raw).alias("q"))
-    # every name has to be held against every candidate: the score has no key to join on
-    scored = open_.crossJoin(known).withColumn("s", similarity("partial_token_set_ratio", F.col("q"), F.col("norm")) / 100)
-    best = scored.groupBy("raw").agg(F.max("s").alias("s"), F.min_by(F.struct("id", "name"), F.struct(-F.col("s"), F.col("id"))).alias("v"))
+    open_ = held(marked.where("not blank and full is null").select("raw", normalize_text(raw).alias("q")))
+    # a shared token makes the score 1: the smallest vendor of each token, then of the name's tokens
+    token = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))).alias("token")
+    of_token = known.select("id", "name", token("norm")).groupBy("token").agg(F.min(F.struct("id", "name")).alias("v"))
+    shared = held(open_.select("raw", token("q")).join(of_token, "token").groupBy("raw").agg(F.min("v").alias("v"), F.lit(1.0).alias("s")))
+    every = shared.unionByName(_nearest(open_.join(shared.select("raw", F.col("v.id").alias("below")), "raw", "left"), known))
+    best = every.groupBy("raw").agg(F.max("s").alias("s"), F.min_by("v", F.struct(-F.col("s"), F.col("v.id"))).alias("v"))
     hit = F.col("s") >= cutoff
     fuzzy = best.select("raw", F.when(hit, F.col("v.id")).alias("matched_vendor_id"), F.when(hit, F.col("v.name")).alias("matched_vendor_name"), F.col("s").alias("vendor_fuzz_score"))
     return direct.unionByName(empty).unionByName(fuzzy).withColumnRenamed("raw", column)
 
 
+#: Candidates of a block, and blocks of names that a block of candidates meets.
+BLOCK, SHARES = 2048, 16
+
+
+def _nearest(names: DataFrame, known: DataFrame) -> DataFrame:
+    """names: raw, q, below. raw, v, s: what each block of candidates holds best for a name. Every name is held against every
+    candidate, as a score without a key asks for, but in blocks that meet by an equi-join, and without those whose letters
+    rule them out. Where a shared token has given a name the full score already, only a candidate with an id smaller than
+    `below` can still come before: one that contains the name or is contained in it."""
+    blocks = max(1, -(-known.count() // BLOCK))
+    block = known.withColumn("b", F.pmod(F.xxhash64("norm"), F.lit(blocks))).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("id", "name", "norm"))).alias("c"))
+    asked = names.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    asked = asked.groupBy("b", F.pmod(F.xxhash64("raw"), F.lit(SHARES)).alias("share")).agg(F.collect_list(F.struct("raw", "q", "below")).alias("asked"))
+
+    def score(batches):
+        for pdf in batches:
+            out = []
+            for asked_, c in zip(pdf["asked"], pdf["c"], strict=True):
+                norms = [x["norm"] for x in c]
+                bare = [sorted_tokens(n) for n in norms]
+                for a in asked_:
+                    k, s = None, 100.0
+                    if a["below"] is None:
+                        k, s = best_partial(a["q"], norms)
+                    else:
+                        own = sorted_tokens(a["q"])
+                        for j, x in enumerate(c):  # in order of id
+                            if x["id"] >= a["below"]:
+                                break
+                            if bare[j] and (own in bare[j] or bare[j] in own):
+                                k = j
+                                break
+                    if k is not None:
+                        out.append((a["raw"], c[k]["id"], c[k]["name"], s / 100))
+            yield pd.DataFrame(out, columns=["raw", "id", "name", "s"])
+
+    kind = known.schema["id"].dataType.simpleString()
+    found = asked.join(block, "b").mapInPandas(score, f"raw string, id {kind}, name string, s double")
+    return found.select("raw", F.struct("id", "name").alias("v"), "s")
+
+
 def close_pairs(words: DataFrame, column: str, distance: int) -> DataFrame:
     """a < b and their edit distance, up to `distance`. An equi-join on length classes comes first: words whose
     lengths differ by more cannot be close."""
@@ -56,6 +102,11 @@ def collect_aliases(canonical: DataFrame, names: DataFrame, canonical_col: str,
     short = {v: k for k, v in (abbreviations or {}).items()}
     table = F.create_map(*[F.lit(x) for pair in short.items() for x in pair]) if short else F.create_map().cast("map<string,string>")
     c, n = canonical.select(F.col(canonical_col).alias("c")).distinct(), names.select(F.col(name_col).alias("n")).where("n is not null").distinct()
-    close = (similarity("ratio", F.lower("c"), F.lower("n")) >= cutoff) | F.coalesce(table[F.col("c")] == F.col("n"), F.lit(False))
-    pairs = c.crossJoin(n).where(close)
+    c, n = c.withColumn("m", F.length("c")), n.withColumn("m", F.length("n"))
+    # a ratio of `cutoff` bounds the quotient of the lengths, so only lengths that allow it meet
+    least = cutoff / (200 - cutoff)
+    near = c.select("c", F.explode(F.sequence(F.ceil(F.col("m") * least - 1e-9), F.floor(F.col("m") / least + 1e-9))).alias("m")).join(n, "m")
+    close = near.where(similarity("ratio", F.lower("c"), F.lower("n")) >= cutoff).select("c", "n")
+    exact = c.select("c", table[F.col("c")].alias("n")).where("n is not null").join(n.select("n"), "n").select("c", "n")
+    pairs = close.unionByName(exact)
     return c.join(pairs.groupBy("c").agg(F.sort_array(F.collect_set("n")).alias("aliases")), "c", "left").select(F.col("c").alias(canonical_col), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))

@@ -44,6 +44,15 @@ def upsert(existing: DataFrame, new: DataFrame, key: str = "sku_id", rank: Colum
     return best.select(key, *[F.col(f"r.{c}").alias(c) for c in rest]).select(*existing.columns)
 
 
+def merged(existing: DataFrame, approved: DataFrame, effective_from: str, version: str | None = None) -> DataFrame:
+    """The seed with the rows of the approvals, under `version` or else the next one. Raises if the outcome is not sound."""
+    version = version or next_version(existing).first()[0]
+    out = upsert(existing.select(*COLUMNS), rows_from_approvals(approved, effective_from, version))
+    if not check_seed(out).isEmpty():
+        raise ValueError("the merged seed has repeated or empty keys, or empty names")
+    return out
+
+
 def check_seed(seed: DataFrame) -> DataFrame:
     """Keys that repeat or are empty, and names that are empty: none in a sound table."""
     n = seed.groupBy("sku_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("canonical_name").isNull() | (F.trim("canonical_name") == "")).alias("unnamed"))

@@ -86,13 +86,21 @@ def build(spark: SparkSession, at: Inputs, first_day: str, last_day: str) -> dic
     }
 
 
-def run(spark: SparkSession, at: Inputs, first_day: str, last_day: str, prefix: str = "dev", exports: str | None = None) -> dict[str, dict[str, DataFrame]]:
-    """Materializes all layers as tables, staging as views, and exports CSV if a folder is given."""
+def run(spark: SparkSession, at: Inputs, first_day: str, last_day: str, prefix: str = "dev", exports: str | None = None, loaded_at: str | None = None) -> dict[str, dict[str, DataFrame]]:
+    """Materializes all layers as tables, staging as views, and exports CSV if a folder is given: layers, and the staged orders.
+    With `loaded_at`, dimensions (but the calendar) and facts carry it as audit columns."""
     writers.create_schemas(spark, prefix)
     layers = build(spark, at, first_day, last_day)
+    if loaded_at:
+        gold = layers["gold"]
+        for name in gold:
+            if name != "dim_date":
+                gold[name] = star.with_audit(gold[name], loaded_at, ("created_at", "updated_at") if name.startswith("dim_") else ("created_at",))
     for layer, tables in layers.items():
         for name, df in tables.items():
             tables[name] = writers.view(df, name) if layer == "staging" else writers.materialize(df, layer, name, prefix)
         if exports and layer in ("bronze", "silver", "gold"):
             writers.export_layer(tables, layer, exports)
+        if exports and layer == "staging":
+            writers.export_staged(tables["stg_orders"], exports)
     return layers

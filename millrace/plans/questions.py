@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.held import held
+from millrace.operators.ranks import numbered
+
 Tables = dict[str, DataFrame]
 
 
@@ -69,7 +72,7 @@ def regions(t: Tables, as_of: str) -> DataFrame:
     return fine.groupBy(F.col("cc_country").alias("country_code"), "region", "vendor_category").agg(
         F.round(F.sum("aud"), 2).alias("region_total_spend_aud"), F.round(F.avg("line_aud"), 2).alias("avg_line_value_aud"), F.sum("orders").alias("total_orders"), F.sum("lines").alias("total_line_items"),
         _part(F.sum("aud"), F.sum("orders")).alias("avg_order_value"), _part(F.sum("lines"), F.sum("orders")).alias("avg_lines_per_order"),
-        F.round(F.avg("vendors"), 4).alias("avg_vendors_per_cc"), F.round(F.avg("products"), 4).alias("avg_products_per_cc"))
+        F.round(F.avg("vendors"), 4).alias("avg_vendors_per_cc"), F.round(F.avg("products"), 4).alias("avg_products_per_cc")).orderBy("country_code", F.desc("region_total_spend_aud"), "region", "vendor_category")
 
 
 def seasons(t: Tables, as_of: str) -> DataFrame:
@@ -84,18 +87,19 @@ def seasons(t: Tables, as_of: str) -> DataFrame:
 
 
 def vendors(t: Tables, as_of: str) -> DataFrame:
-    """Vendor scorecard of the last twelve months. Ranks break ties by vendor_key; they are taken over one row a vendor."""
+    """Vendor scorecard of the last twelve months. Ranks break ties by vendor_key; they are taken over one row a vendor, which are held."""
     df = _joined(t, "fct_order_line", "dim_date", "dim_vendor", "dim_product", when=_since(as_of, 12)).join(t["dim_cost_centre"].select("cost_centre_key", "cost_centre_id"), "cost_centre_key")
     perf = df.groupBy("vendor_key", "vendor_name", "vendor_category", "vendor_tier", F.col("country_code").alias("vendor_country")).agg(
         F.countDistinct("order_id").alias("total_orders"), F.round(F.sum("line_total_aud"), 2).alias("total_spend_aud"), F.avg("line_total_aud").alias("mean_line"),
         F.countDistinct("sku_id").alias("unique_products_supplied"), F.countDistinct("cost_centre_id").alias("cost_centres_served"))
     issues = _joined(t, "fct_data_quality", "dim_date", when=_since(as_of, 12)).groupBy("vendor_key").agg(F.count(F.lit(1)).alias("n"))
-    ranked = perf.join(issues, "vendor_key", "left").withColumn("data_quality_issues", F.coalesce("n", F.lit(0)).cast("long"))
-    by = lambda *o: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*o, "vendor_key")).cast("long")
-    ranked = ranked.withColumns({
+    scored = held(perf.join(issues, "vendor_key", "left").withColumn("data_quality_issues", F.coalesce("n", F.lit(0)).cast("long")).drop("n"))
+    by = lambda *o: [*o, F.col("vendor_key")]
+    ranked = numbered(scored, {
         "spend_rank": by(F.desc("total_spend_aud")), "volume_rank": by(F.desc("total_orders")), "diversity_rank": by(F.desc("unique_products_supplied")),
-        "quality_rank": by(F.asc("data_quality_issues"), F.desc("total_spend_aud")),
-        "spend_concentration_percent": F.round(F.try_divide("total_spend_aud", F.sum("total_spend_aud").over(Window.partitionBy(F.lit(0)))) * 100, 2)})
+        "quality_rank": by(F.asc("data_quality_issues"), F.desc("total_spend_aud"))})
+    whole = F.broadcast(scored.agg(F.sum("total_spend_aud").alias("whole")))  # one row
+    ranked = ranked.crossJoin(whole).withColumn("spend_concentration_percent", F.round(F.try_divide("total_spend_aud", "whole") * 100, 2))
     c = F.col
     label = F.when((c("spend_rank") <= 2) & (c("quality_rank") <= 3), "Strategic Partner").when((c("spend_rank") <= 3) & (c("diversity_rank") <= 2), "Key Supplier")
     label = label.when((c("total_orders") >= 50) & (c("data_quality_issues") <= 5), "Reliable Supplier").when((c("spend_concentration_percent") < 1) & (c("total_orders") < 10), "Consolidation Candidate").otherwise("Standard Supplier")

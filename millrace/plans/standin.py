@@ -77,7 +77,7 @@ def order_lines(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_quantity").alias("quantity"), F.try_divide("l_extendedprice", "l_quantity").alias("unit_price"), F.when(F.col("c_nationkey") % 2 == 0, "AUD").otherwise("USD").alias("currency"), brand.alias("vendor_brand"),
         F.concat(F.lit("CC_"), "c_nationkey").alias("cost_centre_id"), F.concat(F.lit("user"), "o_custkey").alias("requisitioner"), F.col("o_orderstatus").alias("approval_status"),
         F.col("l_shipdate").cast("date").alias("delivery_date"), F.col("o_orderdate").cast("date").alias("order_date"), F.concat(F.lit("orders_"), "c_nationkey", F.lit(".json")).alias("source_filename"),
-        "non_product_hint", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "c_nationkey").alias("line_uid"), score.alias("fuzz_score"), brand.alias("vendor_brand_original"),
+        "non_product_hint", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "c_nationkey").alias("line_uid"), score.alias("fuzz_score"), brand.alias("vendor_brand_original"),
         F.when(matched, s.cast("string")).alias("matched_vendor_id"), F.when(matched, F.col("s_name")).alias("matched_vendor_name"), F.when(seeded, F.when(matched, 1.0).otherwise(0.0)).alias("vendor_fuzz_score"))
 
 

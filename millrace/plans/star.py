@@ -40,6 +40,12 @@ def _country(c: Column, place: int, default: str) -> Column:
     return out.otherwise(F.lit(default))
 
 
+def with_audit(df: DataFrame, loaded_at: str, columns: tuple[str, ...] = ("created_at",)) -> DataFrame:
+    """When the table was built, in each of `columns`; an argument, so that a run can be repeated. Dimensions have created_at and
+    updated_at, facts created_at."""
+    return df.withColumns({c: F.lit(loaded_at).cast("timestamp") for c in columns})
+
+
 def dim_date(rates: DataFrame, first: str, last: str, default_rate: float = DEFAULT_RATE) -> DataFrame:
     """rates: date, exchange_rate of the base pair."""
     days = date_spine(rates.sparkSession, first, last, "d").select(*[c.alias(n) for n, c in dates.attributes(F.col("d")).items()])

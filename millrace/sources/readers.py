@@ -43,6 +43,17 @@ def table_or_csv(spark: SparkSession, name: str, path: str) -> DataFrame:
         return spark.read.csv(path, header=True, inferSchema=True)
 
 
+def source_files(spark: SparkSession, folder: str, skip: tuple[str, ...] = ("hidden",)) -> DataFrame:
+    """label (file name), value (path), n_bytes of every file below a folder, by name; without hidden files and folders (a
+    name that begins with a dot) and folders named in `skip`. Only paths and sizes are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("value"), F.col("length").alias("n_bytes"))
+    bare = lambda c: F.regexp_replace(c, r"^[A-Za-z0-9]+:(//[^/]*)?", "")
+    root = bare(F.lit(folder.rstrip("/")))
+    below = F.split(F.substr(bare(F.col("value")), F.length(root) + 2), "/")
+    hidden = F.exists(below, lambda p: p.startswith(".") | p.isin(*skip))
+    return files.where(~hidden).select(F.element_at(F.split("value", "/"), -1).alias("label"), "value", "n_bytes").orderBy("label", "value")
+
+
 def required_tables(spark: SparkSession, names: list[str]) -> dict[str, int | None]:
     """Rows of each table, None for one that is not there."""
     return {n: spark.table(n).count() if spark.catalog.tableExists(n) else None for n in names}

@@ -43,6 +43,24 @@ def export_layer(tables: Mapping[str, DataFrame], layer: str, folder: str, targe
     return [export_csv(df, folder, f"{layer}_{n}") for n, df in tables.items()]
 
 
+def export_staged(df: DataFrame, folder: str, name: str = "stg_orders") -> str:
+    """A staging table, under its own name."""
+    return export_csv(df, folder, name)
+
+
+def overwrite_seed(df: DataFrame, path: str, key: str = "sku_id") -> None:
+    """Replaces the seed at `path` by df, in order of its key. df may have been read from there: the new seed is complete
+    before the old one goes."""
+    new = f"{path.rstrip('/')}.new"
+    df.orderBy(key).coalesce(1).write.mode("overwrite").csv(new, header=True, escape='"')
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(conf)
+    fs.delete(at(path), True)
+    if not fs.rename(at(new), at(path)):
+        raise OSError(f"cannot rename {new} to {path}")
+
+
 def export_named(spark: SparkSession, name: str, folder: str, layer: str, prefix: str = "dev") -> str:
     return export_csv(spark.table(f"{prefix}_{layer}.{name}"), folder, f"{layer}_{name}")
 

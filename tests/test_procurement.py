@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from millrace.operators import seed
 from millrace.plans import procurement, questions
 from millrace.sources import readers, writers
 from millrace.streaming import orders as stream
@@ -75,3 +76,33 @@ def test_files(spark, inputs, tmp_path):
     writers.partitioned_json(raw.drop("filename"), f"{tmp_path}/j", ["country_code", "cost_centre_id"], ["order_date"])
     assert readers.json_lines(spark, f"{tmp_path}/j/country_code=AU", "order_id string").count() == len(LINES)
     assert readers.preview(raw, 3).count() == 3
+
+
+def test_listing_audit_and_seed(spark, inputs, tmp_path):
+    folder = tmp_path / "source"
+    for name in ("a.csv", "sub/b.json", "hidden/c.csv", ".git/d.csv", ".e"):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text("x")
+    assert [(r.label, r.n_bytes) for r in readers.source_files(spark, str(folder)).collect()] == [("a.csv", 1), ("b.json", 1)]
+    layers = procurement.run(spark, inputs, "2025-06-01", "2025-08-31", "audited", str(tmp_path / "x"), "2025-08-10 15:00:00")
+    for name, df in layers["gold"].items():
+        assert set(df.columns) & {"created_at", "updated_at"} == ({"created_at", "updated_at"} if name in ("dim_vendor", "dim_product", "dim_cost_centre") else set() if name == "dim_date" else {"created_at"})
+    assert readers.text_csv(spark, str(tmp_path / "x/stg_orders")).count() == len(LINES)
+    assert writers.export_named(spark, "dim_vendor", str(tmp_path / "n"), "gold", "audited").endswith("gold_dim_vendor")
+    approved = spark.createDataFrame([("S2", "new one", "APPROVED"), ("S1", "other", "AUTO"), ("S3", "no", "NEED_APPROVAL")], "sku_id string, final_sku_name string, decision string")
+    place = str(tmp_path / "seed")
+    writers.overwrite_seed(readers.seed(spark, inputs.seed), place)
+    for _ in range(2):  # the seed is read from where it is written
+        writers.overwrite_seed(seed.merged(readers.seed(spark, place), approved, "2025-09-01"), place)
+    assert [(r.sku_id, r.canonical_name, r.version) for r in readers.seed(spark, place).collect()] == [("S1", "wireless keyboard", "v0.1"), ("S2", "new one", "v0.3")]
+
+
+def test_curation_csv(spark, tmp_path):
+    import datetime
+
+    from millrace.operators import curation
+
+    found = curation.decide(spark.createDataFrame([("s", "Steel Ring"), ("s", "steel rings")], "k string, d string"), "k", "d")
+    path = writers.curation_csv(found, str(tmp_path), datetime.date(2025, 8, 10))
+    assert path.endswith("sku_name_curation_20250810")
+    assert readers.text_csv(spark, path).select("k", "raw_names").collect() == [("s", "Steel Ring,steel rings")]
