@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import near_dedup, packing, quality_cnn, quality_rules, suffix_dedup
-from millrace.llm.common import held_out, shared_dir, table
+from millrace.llm.common import drop, held_out, shared_dir, table
 from millrace.llm.queries import tokenizer_path
 
 
@@ -52,11 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written as Parquet to the shared folder and read again."""
-    shared_dir(spark)
-    place = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages on documents, each written as Parquet to the shared folder and read again. A stage's folder goes when the
+    next one is written; the last one is what the result reads."""
+    place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
         docs = spark.read.parquet(f"{place}/{name}")
+        if last:
+            drop(spark, last)
+        last = f"{place}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,10 @@ VENDOR_WORDS = ("Tech Solutions", "Office Supply", "Computer Electronics", "Conn
 PRODUCT_WORDS = ("keyboard", "monitor 4k", "webcam", "headset wireless", "cable usb-c", "adapter", "drive 1tb", "mouse", "speaker", "connector", "ring", "hdmi mini")
 
 
+@functools.lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Known by session and name, so that a plan with several uses of a table looks up its files and schema once. The
+    tables stand still."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
