@@ -37,7 +37,7 @@ GRAM = 32
 PASS = 1 << 18
 _POSITION_BITS = 20
 #: Contexts of a bucket that one task may refine together; bytes of contexts in one step.
-HOT, STEP = 2048, 1 << 20
+HOT, STEP = 8192, 1 << 20
 #: Bytes of the suffixes' first buckets, and factor of the second names.
 FIRST, FACTOR = 8, 0xD1342543DE82EF95
 
@@ -355,7 +355,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_te
     if not opened.where(F.size("many") > 0).isEmpty():
         windows = map_batches(of("many"), _windows, "w1 bigint, w2 bigint, w3 int, k1 bigint, k2 int, lo int")
         name = ["w1", "w2", "w3"]
-        twice = cut(windows.groupBy(*name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*name))
+        # dealt out anew, so that the join sees two exchanges and can split a hot window
+        twice = windows.groupBy(*name).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*name).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         covered = covered.unionByName(windows.join(twice, name).select("k1", "k2", "lo", (F.col("lo") + LENGTH).alias("hi")))
     spans = covered.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     # a key may stand for several equal rows; the spans have one row per key
