@@ -31,18 +31,21 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
     while depth < 2 * KEY_BITS:
         top = min(depth + LEVELS, KEY_BITS if depth < KEY_BITS else 2 * KEY_BITS)
         fine = cut(opened.groupBy(*_prefix(top)).agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_rows").alias("n_rows")))
-        # every level from depth to top of every address, then the first level at which its bucket fits
-        spread = fine.withColumn("depth", F.explode(F.sequence(F.lit(depth), F.lit(top))))
-        cut_1 = F.when(F.col("depth") < KEY_BITS, F.expr(f"shiftright(p1, {min(top, KEY_BITS)} - depth)")).otherwise(F.col("p1"))
-        cut_2 = F.when(F.col("depth") > KEY_BITS, F.expr(f"shiftright(p2, {max(top - KEY_BITS, 0)} - (depth - {KEY_BITS}))")).otherwise(F.lit(0).cast("long"))
-        level = spread.withColumns({"q1": cut_1, "q2": cut_2})
-        sums = level.groupBy("depth", "q1", "q2").agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n_rows").alias("shard_rows"))
-        fits = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") <= 1) | F.lit(top == 2 * KEY_BITS) & (F.col("depth") == top)
-        where = level.join(sums.where(fits), ["depth", "q1", "q2"]).groupBy("p1", "p2").agg(F.min(F.struct("depth", "q1", "q2", "shard_bytes", "shard_rows")).alias("b"))
-        where = cut(where)
-        found = where.select("b.*").distinct().select("depth", F.col("q1").alias("p1"), F.col("q2").alias("p2"), "shard_bytes", "shard_rows")
+        # below an open bucket lie at most 2**LEVELS addresses: one shuffle by open bucket serves the sums of all levels
+        at = lambda d: (F.shiftright("p1", min(top, KEY_BITS) - min(d, KEY_BITS)), F.shiftright("p2", top - d) if d > KEY_BITS else F.lit(0).cast("long"))  # noqa: E731, B023
+        fine = fine.withColumns(dict(zip(("o1", "o2"), at(depth), strict=True))).repartition("o1", "o2")
+        tries = []
+        for d in range(depth, top + 1):
+            q1, q2 = at(d)
+            within = Window.partitionBy("o1", "o2", q1, q2)
+            size, n = F.sum("n_bytes").over(within), F.sum("n_rows").over(within)
+            fine = fine.withColumns({f"b{d}": size, f"r{d}": n})
+            fits = (F.col(f"b{d}") <= limit) | (F.col(f"r{d}") <= 1) | F.lit(d == 2 * KEY_BITS)
+            tries.append(F.when(fits, F.struct(F.lit(d).alias("depth"), q1.alias("p1"), q2.alias("p2"), F.col(f"b{d}").alias("shard_bytes"), F.col(f"r{d}").alias("shard_rows"))))
+        where = cut(fine.select("p1", "p2", F.coalesce(*tries).alias("b")))
+        found = where.where("b is not null").select("b.*").distinct()
         done = found if done is None else done.unionByName(found)
-        left = fine.join(where.select("p1", "p2"), ["p1", "p2"], "left_anti").select("p1", "p2")
+        left = where.where("b is null").select("p1", "p2")
         left = cut(left)
         if left.isEmpty():
             break
