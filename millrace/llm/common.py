@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Text bytes that one numpy pass takes at a time; bounds the temporaries of a Python worker.
 PASS_BYTES = 1 << 21
+#: What a task that writes Parquet holds of its rows.
+WRITE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,7 +86,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The folder stays until clear() or drop() deletes it, as the result may be read at any time."""
     place = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append(place)
-    df.write.parquet(place)
+    df.write.option("parquet.block.size", WRITE_BYTES).parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 

@@ -37,7 +37,7 @@ TREES, DEPTH, VALUES = 24, 3, 96
 #: Values of a tree's sequence, the tree's number apart; partners in the smallest regions; partners in large ones.
 SEQUENCE, NEAR, NEAREST = 7, 6, 4
 #: Rows of a partition of the sorted orders; classes and shingles of a block of a cluster.
-ORDER_ROWS, BLOCK, BLOCK_SHINGLES = 250_000, 4096, 4_000_000
+ORDER_ROWS, BLOCK, BLOCK_SHINGLES = 250_000, 2048, 2_000_000
 #: Bytes of text that are hashed at a time, and of two texts above which hashes alone decide a link.
 PIECE, EXACT_BYTES = 1 << 20, 8 << 20
 #: Equal values of two signatures that call for a look at the texts: 0.75 * 96 less more than four deviations.
