@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, fresh, map_batches, without, written
+from .common import by_bytes, cut, drop, fresh, map_batches, without, written
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -234,14 +234,14 @@ def _across(t: pa.Table) -> pa.Table:
     return pa.Table.from_batches(list(_batches(found)), pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("depth", pa.int32()), *[(c, pa.int64()) for c in _PACKED]]))
 
 
-def forest(classes: DataFrame, total: int) -> DataFrame:
-    """classes: rep, sig. Rows (kind, a, b, depth) of SMALL, LARGE and MEMBER."""
+def forest(classes: DataFrame, total: int) -> tuple[DataFrame, str]:
+    """classes: rep, sig. Rows (kind, a, b, depth) of SMALL, LARGE and MEMBER, and the folder that holds them."""
     parts = max(1, -(-total * TREES // ORDER_ROWS), min(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), total * TREES // 5000))
     keys = [*_PACKED, "rep"]
     orders = map_batches(classes.select("rep", "sig"), _orders, ", ".join(f"{c} bigint" for c in keys))
-    met = written(map_batches(orders.repartitionByRange(parts, *keys).sortWithinPartitions(*keys), _neighbours, _MET), "forest")
+    met, place = written(map_batches(orders.repartitionByRange(parts, *keys).sortWithinPartitions(*keys), _neighbours, _MET), "forest")
     across = cut(met.where(F.col("kind") == BORDER).groupBy("b").applyInArrow(_across, _MET))
-    return met.where(F.col("kind") != BORDER).unionByName(across).select("kind", "a", "b", "depth")
+    return met.where(F.col("kind") != BORDER).unionByName(across).select("kind", "a", "b", "depth"), place
 
 
 def shingles(text: str | None) -> set[tuple[str, ...]]:
@@ -334,7 +334,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = sets.where("id is not null and n > 0").groupBy(*name).agg(F.min_by(F.struct("sig", "text_hash"), F.struct("id", "text_hash")).alias("r"), F.min("id").alias("rep"))
     classes = cut(classes.select(*name, "rep", "r.sig", "r.text_hash"))
 
-    met = forest(classes, classes.count())
+    met, place = forest(classes, classes.count())
     small = met.where(F.col("kind") == SMALL).select("a", "b")
     # in large regions each class goes on with its nearest ones; the groups hold at most TREES * NEAR partners of a class
     large = met.where(F.col("kind") == LARGE).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("depth").alias("depth"))
@@ -355,6 +355,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = met.where(F.col("kind") == MEMBER)
     # a class alone in a region's list is its first; the others lead to it
     clusters = cut(components(members.select("a", "b")))
+    drop(df.sparkSession, place)
     inside = clusters.select(F.col("node").alias("rep"), F.col("component").alias("g")).join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     inside = cut(inside.join(classes.select("rep", "n", "sig"), "rep").select("rep", "g", F.coalesce("component", "rep").alias("comp"), "n", "sig"))
     parts = inside.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))

@@ -206,8 +206,8 @@ def _judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col
 
 def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows that `assess` keeps, with all their columns, whatever their names. They are written with their statistics
-    and read again, so that no text is shuffled. Each row has its own verdict: a null text goes, a null id is like any
+    and read again, so that no text is shuffled; the result reads that folder, which clear() drops. Each row has its own verdict: a null text goes, a null id is like any
     other, of equal rows all stay or all go. An empty input gives no rows."""
     carry = {f"in_{k}": F.col(c) for k, c in enumerate(df.columns)}
-    out = _judged(df, id_col, text_col, lang_col, source_col, lambda d: written(d, "judged"), carry)
+    out = _judged(df, id_col, text_col, lang_col, source_col, lambda d: written(d, "judged")[0], carry)
     return out.where("kept").select(*[F.col(f"in_{k}").alias(c) for k, c in enumerate(df.columns)])

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, drop, written
 
 SHARD_BYTES = 1 << 20
 KEY_BITS, LEVELS = 60, 12
@@ -115,7 +115,7 @@ def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     behind it if the input has a column of that name. An empty input leaves no folder of a shard."""
     own = {f"in_{k}": c for k, c in enumerate(df.columns)}
     held = df.select(*[F.col(c).alias(k) for k, c in own.items()], F.monotonically_increasing_id().alias("u"))
-    held = written(held, "numbered")
+    held, place = written(held, "numbered")
     name = {c: k for k, c in own.items()}
     where = _shards(held.select(F.col(name[id_col]).alias("id"), F.col(name[text_col]).alias("text"), "u"), limit, ["u"])
     shard = "shard"
@@ -124,6 +124,7 @@ def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     where = where.select("u", F.concat_ws("-", "depth", "prefix", "split").alias("s"))
     out = held.join(where, "u").select(*[F.col(k).alias(c) for k, c in own.items()], F.col("s").alias(shard))
     out.repartition(shard).write.partitionBy(shard).parquet(path)
+    drop(df.sparkSession, place)
 
 
 def oracle_sql(limit: int = SHARD_BYTES, levels: int = 24) -> str:
