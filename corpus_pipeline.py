@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import near_dedup, packing, quality_cnn, quality_rules, suffix_dedup
-from millrace.llm.common import drop, held_out, shared_dir, table
+from millrace.llm.common import clear, drop, held_out, shared_dir, table
 from millrace.llm.queries import tokenizer_path
 
 
@@ -21,6 +21,7 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network, trained on labelled ones outside the evaluation fold, finds poor go."""
+    clear(spark)  # what the stage before worked on; its result, docs, has been written
     return quality_cnn.keep(docs, quality_cnn.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out())))
 
 
