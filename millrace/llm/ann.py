@@ -119,6 +119,15 @@ def _classes(df: DataFrame, id_col: str, vector_col: str, k: int) -> tuple[DataF
     return cut(out.select("cid", "v", "members")), width[0]
 
 
+def left_out(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """reason, length, n: rows that take no part in a search, and by their vectors' length the others, of which the most common
+    length (the smaller of equals) takes part."""
+    v = F.col(vector_col)
+    broken = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    reason = F.when(F.col(id_col).isNull(), "no id").when(v.isNull() | (F.size(v) == 0), "no vector").when(broken, "not finite").when(~F.exists(v, lambda x: x != 0), "zero").otherwise("length")
+    return df.select(reason.alias("reason"), F.when(reason == "length", F.size(v)).alias("length")).groupBy("reason", "length").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _sampled(df: DataFrame, purpose: str, total: int, rows: int) -> DataFrame:
     """About `rows` of `total` rows, chosen by a hash of cid, at most twice as many. No task sends more than its share.
     Small samples are widened, so that none comes out empty."""
@@ -132,7 +141,7 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col:
     by inner product, ties to the smaller id; all of them, if fewer.
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those of another
-    length than the most common. Rows without an id take no part. An id given more than once counts once, with
+    length than the most common; left_out() counts them. Ids are whole numbers, or text that spells them; other text fails. Rows without an id take no part. An id given more than once counts once, with
     one of its vectors chosen by hash. Other columns are left out, whatever their names. An empty input gives no rows.
     """
     spark = df.sparkSession

@@ -113,6 +113,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver's JVM collect what nothing refers to any more: with it Spark drops the shuffle files and checkpoints of
+    finished steps, which otherwise stay on the disks until the driver happens to collect."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df, hinted for broadcast if it has at most `rows` rows; df is cut, so counting it is cheap."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

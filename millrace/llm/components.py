@@ -6,7 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
+
+#: Rows of a partition of the table between rounds, at most, about.
+PART_ROWS = 200_000
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -14,13 +17,12 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     both = edges if small else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     # dealt out anew, so that the join sees two exchanges and can split a node with very many neighbours
-    low = low.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    low = low.repartition(-(-int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     linked = both.join(low, "a")
     if small:  # here b < a always: neighbours b and a itself go to m
         out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-    else:
-        out = linked.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return out.where(F.col("a") != F.col("b")).distinct()
+        return out.where(F.col("a") != F.col("b")).distinct()
+    return linked.where((F.col("b") > F.col("a")) & (F.col("b") != F.col("m"))).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -30,7 +32,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         now = cut(_star(_star(now, False), True))
         # settled if every node has one neighbour, and no such neighbour has one itself
         ends = now.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        if ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
+        nodes = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        unsettled, rows = nodes.agg(F.count_if(F.expr("up > 1 or up = 1 and down = 1")), F.sum("up")).first()
+        now = now.coalesce(1 + (rows or 0) // PART_ROWS)  # fewer, larger partitions for what the rounds have contracted
+        release(now.sparkSession)
+        if not unsettled:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

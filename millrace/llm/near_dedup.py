@@ -326,7 +326,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A null or blank text has no shingles and no links, also not to another such text. Texts shorter than a shingle have
     one, all their words. Equal rows are one node. A row without an id takes no part: its component is null and it is
-    kept. An id that comes with several texts gets a result for each. Other columns are left out, whatever their names. An empty input gives no rows.
+    kept. Ids are whole numbers, or text that spells them; other text fails. A very long text is hashed in pieces. An id that comes with several texts gets a result for each. Other columns are left out, whatever their names. An empty input gives no rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     sets = cut(map_batches(docs.withColumn("x", F.xxhash64("t")), _sets, "id bigint, n bigint, s1 bigint, s2 bigint, sig binary, text_hash bigint"))

@@ -324,7 +324,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_te
     that stay, with `with_text` also kept_text (a character of which only some bytes stay is left out of it); the
     columns of `carry` come along.
 
-    A null text counts as empty. A text shorter than LENGTH bytes has no window and stays whole. Equal rows, with
+    A null text counts as empty. A text shorter than LENGTH bytes has no window and stays whole; a very long one is taken in overlapping passes. Equal rows, with
     equal ids or not, are copies of each other and lose all their windows. Other columns are left out,
     whatever their names. An empty input gives no rows.
     """

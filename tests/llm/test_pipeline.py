@@ -1,7 +1,9 @@
 """The corpus pipeline stage by stage against plain Python on the smallest documents."""
 
+import random
+
 import corpus_pipeline
-from tests.llm.test_dedup import groups, removed
+from tests.llm.test_dedup import groups, removed, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +33,28 @@ def test_stages(spark):
         docs = spark.createDataFrame(rows, out.schema)
     assert len(seen) == 5
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+CLASHES = ("id", "t", "k1", "k2", "text_hash", "n_words", "kept", "distance", "in_0", "doc", "rep", "spans", "score", "x0")
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, repeated rows, an empty and a long text, and columns named as the stages' own; then no rows at all."""
+    rng = random.Random(4)
+    rows = [(k, words(rng, rng.randrange(60, 120)), "en", "a", None) for k in range(30)]
+    rows += [rows[3], rows[3], (None, words(rng, 80), "en", "a", 3), (None, None, None, None, None), (50, "", "de", None, 0), (51, None, "de", "b", 0), (52, words(rng, 60_000), None, "a", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
+    docs = spark.createDataFrame([(*r, *CLASHES) for r in rows], schema).repartition(3)
+    for df, n in ((docs, len(rows)), (docs.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, SF)
+            got = out.collect()
+            assert name == "best_fit_packing" or len(got) <= n
+            if name == "best_fit_packing":
+                assert sum(r.piece == 0 for r in got) == n
+                continue
+            assert out.schema.simpleString() == df.schema.simpleString()
+            assert all(tuple(r[c] for c in CLASHES) == CLASHES for r in got)
+            if n:
+                kept = {"quality_rules": 33, "minhash_near_dedup": 35, "suffix_array_dedup": 37}.get(name)
+                assert kept is None or len(got) == kept, name

@@ -72,6 +72,8 @@ def test_vectors_that_take_no_part_and_copies(spark):
     assert sorted(got[0]) == [(1, 20, 1.0), *[(k, i, 1.0) for k, i in enumerate([x for x in range(101, 121) if x % 20], 2)]][:20]
     assert sorted(got[60])[:2] == [(1, 9, 1.0), (2, 0, 0.0)]
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    counts = {(r.reason, r.length): r.n for r in ann.left_out(df).collect()}
+    assert counts == {("zero", None): 2, ("no vector", None): 2, ("not finite", None): 3, ("length", 3): 1, ("no id", None): 1, ("length", 2): 5 + 38}
     few = ann.search(df.where("vec_id in (0, 9)"), F.col("vec_id") % 20 == 0).collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in few] == [(0, 1, 9)]
 
