@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -181,46 +182,18 @@ def try_casts(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- questions ------------------------------------------------------------------------------------------------------
 
-_SINCE = "date_actual >= CAST(DATE '" + AS_OF + "' - INTERVAL {} MONTH AS DATE)"
+_SINCE = "date_actual >= CAST(DATE '{}' - INTERVAL {} MONTH AS DATE)"
 _SALES = "fct_order_line f JOIN dim_date USING (date_key) JOIN dim_cost_centre c USING (cost_centre_key) JOIN dim_vendor v USING (vendor_key) JOIN dim_product p USING (product_key)"
-_QUESTION_SQL = {
-    "q1_spend_top20": f"""SELECT cost_centre_name, vendor_name, product_category, total_spend_aud, total_quantity, order_line_count, avg_cost_per_unit FROM (
-        SELECT cost_centre_name, vendor_name, vendor_category, product_category, quarter, year, round(sum(line_total_aud), 2) AS total_spend_aud, sum(quantity) AS total_quantity, count(*) AS order_line_count,
-        round(sum(line_total_aud) / nullif(sum(quantity), 0), 2) AS avg_cost_per_unit FROM {_SALES} WHERE {_SINCE.format(3)} GROUP BY ALL)
-        ORDER BY total_spend_aud DESC NULLS LAST, cost_centre_name, vendor_name, product_category, quarter, year LIMIT 20""",
-    "q2_data_quality": f"""SELECT e.cost_centre_name, exception_type, exception_count, avg_fuzz_score, missing_in_seed_count, name_mismatch_count, vendor_mismatch_count, round(exception_count * 100.0::DOUBLE / nullif(n, 0), 2) AS exception_rate_percent FROM (
-        SELECT cost_centre_name, exception_type, month_name, year, count(*) AS exception_count, round(avg(fuzz_score), 2) AS avg_fuzz_score, CAST(sum(flag_missing_in_seed::INT) AS BIGINT) AS missing_in_seed_count,
-        CAST(sum(flag_name_mismatch::INT) AS BIGINT) AS name_mismatch_count, CAST(sum(flag_vendor_mismatch::INT) AS BIGINT) AS vendor_mismatch_count FROM fct_data_quality JOIN dim_date USING (date_key) JOIN dim_cost_centre USING (cost_centre_key) WHERE {_SINCE.format(6)} GROUP BY ALL) e
-        LEFT JOIN (SELECT cost_centre_name, count(*) AS n FROM fct_order_line JOIN dim_date USING (date_key) JOIN dim_cost_centre USING (cost_centre_key) WHERE {_SINCE.format(6)} GROUP BY 1) t ON e.cost_centre_name = t.cost_centre_name""",
-    "q3_price_variance": f"""SELECT sku_id, canonical_name, product_category, vendor_name, cost_centre_name, month_name, year, round(avg_unit_price, 4) AS avg_unit_price, round(min_unit_price, 4) AS min_unit_price, round(max_unit_price, 4) AS max_unit_price,
-        round(price_stddev, 4) AS price_stddev, order_count, total_quantity, round((max_unit_price - min_unit_price) / nullif(avg_unit_price, 0) * 100, 2) AS price_volatility_percent, round((avg_unit_price - min_unit_price) * total_quantity, 2) AS potential_savings_aud
-        FROM fct_price_variance JOIN dim_date USING (date_key) JOIN dim_product USING (product_key) JOIN dim_vendor USING (vendor_key) JOIN dim_cost_centre USING (cost_centre_key)
-        WHERE order_count >= 2 AND price_stddev > 0.5 * avg_unit_price AND {_SINCE.format(12)} ORDER BY potential_savings_aud DESC NULLS LAST, price_volatility_percent DESC NULLS LAST, sku_id, vendor_name, cost_centre_name LIMIT 25""",
-    "q4_regions": f"""SELECT country_code, region, vendor_category, round(sum(aud), 2) AS region_total_spend_aud, round(avg(line_aud), 2) AS avg_line_value_aud, CAST(sum(orders) AS BIGINT) AS total_orders, CAST(sum(lines) AS BIGINT) AS total_line_items,
-        round(sum(aud) / nullif(sum(orders), 0), 2) AS avg_order_value, round(sum(lines) / nullif(sum(orders), 0), 2) AS avg_lines_per_order, round(avg(vendors_n), 4) AS avg_vendors_per_cc, round(avg(products_n), 4) AS avg_products_per_cc FROM (
-        SELECT c.country_code, region, cost_centre_name, quarter, year, vendor_category, count(DISTINCT order_id) AS orders, count(*) AS lines, sum(line_total_aud) AS aud, avg(line_total_aud) AS line_aud, count(DISTINCT vendor_id) AS vendors_n, count(DISTINCT sku_id) AS products_n
-        FROM {_SALES} WHERE {_SINCE.format(12)} GROUP BY ALL) GROUP BY ALL""",
-    "q5_seasons": f"""WITH m AS (SELECT month, quarter, product_category, product_brand, sum(line_total_aud) AS x, sum(quantity) AS monthly_quantity, count(DISTINCT order_id) AS monthly_orders FROM fct_order_line JOIN dim_date USING (date_key) JOIN dim_product USING (product_key)
-        WHERE year >= year(DATE '{AS_OF}') - 2 GROUP BY ALL), a AS (SELECT product_category, avg(x) AS mean, stddev_samp(x) AS dev FROM m GROUP BY 1)
-        SELECT month, quarter, product_category, product_brand, round(x, 2) AS monthly_spend_aud, monthly_quantity, monthly_orders, round((x - mean) / nullif(dev, 0), 2) AS spend_seasonality_zscore, round((x / nullif(mean, 0) - 1) * 100, 2) AS spend_variance_from_avg_percent FROM m JOIN a USING (product_category)""",
-    "q6_vendors": f"""WITH w AS (SELECT vendor_key, vendor_name, vendor_category, vendor_tier, v.country_code AS vendor_country, count(DISTINCT order_id) AS total_orders, round(sum(line_total_aud), 2) AS total_spend_aud, avg(line_total_aud) AS line,
-        count(DISTINCT sku_id) AS unique_products_supplied, count(DISTINCT cost_centre_id) AS cost_centres_served FROM {_SALES} WHERE {_SINCE.format(12)} GROUP BY ALL),
-        x AS (SELECT vendor_key, count(*) AS n FROM fct_data_quality JOIN dim_date USING (date_key) WHERE {_SINCE.format(12)} GROUP BY 1),
-        r AS (SELECT w.*, coalesce(n, 0) AS data_quality_issues, row_number() OVER (ORDER BY total_spend_aud DESC, w.vendor_key) AS spend_rank, row_number() OVER (ORDER BY total_orders DESC, w.vendor_key) AS volume_rank,
-        row_number() OVER (ORDER BY unique_products_supplied DESC, w.vendor_key) AS diversity_rank, row_number() OVER (ORDER BY coalesce(n, 0), total_spend_aud DESC, w.vendor_key) AS quality_rank,
-        round(total_spend_aud / sum(total_spend_aud) OVER () * 100, 2) AS spend_concentration_percent FROM w LEFT JOIN x ON w.vendor_key = x.vendor_key)
-        SELECT vendor_name, vendor_category, vendor_tier, vendor_country, total_spend_aud, total_orders, unique_products_supplied, cost_centres_served, data_quality_issues, spend_rank, volume_rank, diversity_rank, quality_rank, spend_concentration_percent,
-        round(line, 2) AS avg_line_value_aud, round(total_spend_aud / nullif(total_orders, 0), 2) AS avg_order_value_aud, CASE WHEN spend_rank <= 2 AND quality_rank <= 3 THEN 'Strategic Partner' WHEN spend_rank <= 3 AND diversity_rank <= 2 THEN 'Key Supplier'
-        WHEN total_orders >= 50 AND data_quality_issues <= 5 THEN 'Reliable Supplier' WHEN spend_concentration_percent < 1 AND total_orders < 10 THEN 'Consolidation Candidate' ELSE 'Standard Supplier' END AS vendor_classification FROM r""",
-    "q7_executive": f"""WITH t AS (SELECT date_trunc('month', DATE '{AS_OF}')::DATE AS m), s AS (SELECT f.*, date_actual, vendor_id, sku_id FROM {_SALES.replace(' JOIN dim_cost_centre c USING (cost_centre_key)', '')}),
-        k AS (SELECT 'Current Month' AS period_name, s.* FROM s, t WHERE date_trunc('month', date_actual) = m UNION ALL SELECT 'Previous Month', s.* FROM s, t WHERE date_actual >= m - INTERVAL 1 MONTH AND date_actual < m
-        UNION ALL SELECT 'Year to Date', s.* FROM s, t WHERE year(date_actual) = year(m)),
-        a AS (SELECT period_name, sum(line_total_aud) AS aud, count(DISTINCT order_id) AS total_orders, count(*) AS total_line_items, count(DISTINCT vendor_id) AS active_vendors, count(DISTINCT sku_id) AS unique_products, avg(line_total_aud) AS line FROM k GROUP BY 1),
-        n AS (SELECT unnest(['Current Month', 'Previous Month', 'Year to Date']) AS period_name),
-        q AS (SELECT count(*) AS total_exceptions, round(avg(fuzz_score), 2) AS avg_data_quality_score FROM fct_data_quality JOIN dim_date USING (date_key), t WHERE date_trunc('month', date_actual) = m)
-        SELECT period_name, round(aud, 2) AS total_spend_aud, coalesce(total_orders, 0) AS total_orders, coalesce(total_line_items, 0) AS total_line_items, coalesce(active_vendors, 0) AS active_vendors, coalesce(unique_products, 0) AS unique_products, round(line, 2) AS avg_line_value,
-        total_exceptions, avg_data_quality_score, CASE WHEN period_name = 'Current Month' THEN round((aud - lag(aud) OVER (ORDER BY period_name DESC)) / nullif(lag(aud) OVER (ORDER BY period_name DESC), 0) * 100, 2) END AS mom_spend_growth_percent FROM n LEFT JOIN a USING (period_name), q""",
-}
+
+
+def _question_sql(name: str) -> str:
+    """The question as SQL over the star schema, from its file, which names its tables and dates by placeholders."""
+    text = resources.files("millrace.plans").joinpath("sql", f"{name}.sql").read_text(encoding="utf-8")
+    names = {"as_of": AS_OF, "sales": _SALES, "sales_without_centres": _SALES.replace(" JOIN dim_cost_centre c USING (cost_centre_key)", "")}
+    return text.format(**names, **{f"since_{n}": _SINCE.format(AS_OF, n) for n in (3, 6, 12)})
+
+
+_QUESTION_SQL = {n: _question_sql(n) for n in ("q1_spend_top20", "q2_data_quality", "q3_price_variance", "q4_regions", "q5_seasons", "q6_vendors", "q7_executive")}
 for (_key, _sql), _f in zip(_QUESTION_SQL.items(), questions.QUESTIONS.values(), strict=True):
 
     def _question(spark: SparkSession, d: str, f: Callable = _f) -> DataFrame:
