@@ -165,7 +165,8 @@ def fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def without(df: DataFrame, gone: DataFrame, id_col: str, text_col: str, how: str = "left_anti") -> DataFrame:
-    """The rows of df whose id and text are not those of a row of `gone` (id_col, text_hash); null ids count as equal."""
-    names = gone.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return df.join(names, df[id_col].eqNullSafe(names["_id"]) & (F.xxhash64(df[text_col]) == names["_hash"]), how)
+def without(df: DataFrame, gone: DataFrame, id_col: str, columns: tuple[str, ...], how: str = "left_anti") -> DataFrame:
+    """The rows of df whose id and `columns` are not those of a row of `gone` (id_col, row_hash: xxhash64 of the columns); null ids
+    count as equal. Up to 100,000 rows of `gone` are sent to the rows; beyond, rows are dealt out by id and hash."""
+    names = small(cut(gone.select(F.col(id_col).alias("_id"), F.col("row_hash").alias("_hash")).distinct()))
+    return df.join(names, df[id_col].eqNullSafe(names["_id"]) & (F.xxhash64(*[df[c] for c in columns]) == names["_hash"]), how)

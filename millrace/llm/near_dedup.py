@@ -37,7 +37,7 @@ TREES, DEPTH, VALUES = 24, 3, 96
 #: Values of a tree's sequence, the tree's number apart; partners in the smallest regions; partners in large ones.
 SEQUENCE, NEAR, NEAREST = 7, 6, 4
 #: Rows of a partition of the sorted orders; classes and shingles of a block of a cluster.
-ORDER_ROWS, BLOCK, BLOCK_SHINGLES = 250_000, 2048, 2_000_000
+ORDER_ROWS, BLOCK, BLOCK_SHINGLES = 100_000, 1024, 1_000_000
 #: Bytes of text that are hashed at a time, and of two texts above which hashes alone decide a link.
 PIECE, EXACT_BYTES = 1 << 20, 8 << 20
 #: Equal values of two signatures that call for a look at the texts: 0.75 * 96 less more than four deviations.
@@ -386,10 +386,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with all its columns; of equal rows one."""
-    found = cut(near_duplicates(df, id_col, text_col, named=True))
-    twice = cut(found.where("kept").groupBy(id_col, "text_hash").count().where("count > 1"))
-    gone = found.where("not kept").select(id_col, "text_hash")
+    found = cut(near_duplicates(df, id_col, text_col, named=True)).withColumnRenamed("text_hash", "row_hash")
+    twice = cut(found.where("kept").groupBy(id_col, "row_hash").count().where("count > 1"))
+    gone = found.where("not kept").select(id_col, "row_hash")
     if twice.isEmpty():
-        return without(df, gone, id_col, text_col)
-    single = without(df, gone.unionByName(twice.select(id_col, "text_hash")), id_col, text_col)
-    return single.unionByName(without(df, twice, id_col, text_col, "left_semi").dropDuplicates([id_col, text_col]))
+        return without(df, gone, id_col, (text_col,))
+    single = without(df, gone.unionByName(twice.select(id_col, "row_hash")), id_col, (text_col,))
+    return single.unionByName(without(df, twice, id_col, (text_col,), "left_semi").dropDuplicates([id_col, text_col]))

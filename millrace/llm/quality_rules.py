@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, cut, fresh, small, written
+from .common import WORD_GAP, cut, fresh, small, without
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -174,15 +174,14 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     language has that few rows itself, the one over all rows of the table. Other columns are left out, whatever their names. An empty input gives
     no rows.
     """
-    out = _judged(df, id_col, text_col, lang_col, source_col, cut, {})
+    out = _judged(df, id_col, text_col, lang_col, source_col, {})
     return out.select(F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-def _judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, hold, carry: dict[str, Column]) -> DataFrame:
-    """Statistics, kept and distance of every row, with the columns of `carry`. `hold` keeps the rows with their statistics,
-    so that texts are read once."""
+def _judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, carry: dict[str, Column]) -> DataFrame:
+    """Statistics, kept and distance of every row, with the columns of `carry`. The statistics are cut, so that texts are read once."""
     d = base_statistics(df, id_col, text_col, {"lang": F.col(lang_col), "source": F.col(source_col)} | carry)
-    d = hold(_vector(d))
+    d = cut(_vector(d))
     lang, source = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("-")), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
     d = d.withColumns({"g_lang": lang, "g0": source})
     passed = d.where(~F.col("base_failed")).select("g_lang", "g0", *STATISTICS)
@@ -205,9 +204,9 @@ def _judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col
 
 
 def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows that `assess` keeps, with all their columns, whatever their names. They are written with their statistics
-    and read again, so that no text is shuffled; the result reads that folder, which clear() drops. Each row has its own verdict: a null text goes, a null id is like any
-    other, of equal rows all stay or all go. An empty input gives no rows."""
-    carry = {f"in_{k}": F.col(c) for k, c in enumerate(df.columns)}
-    out = _judged(df, id_col, text_col, lang_col, source_col, lambda d: written(d, "judged")[0], carry)
-    return out.where("kept").select(*[F.col(f"in_{k}").alias(c) for k, c in enumerate(df.columns)])
+    """The rows that `assess` keeps, with all their columns, whatever their names. A row goes by its id, text, language and
+    source, so each has its own verdict: a null text goes, a null id is like any other, of equal rows all stay or all go. An
+    empty input gives no rows."""
+    key = (text_col, lang_col, source_col)
+    found = _judged(df, id_col, text_col, lang_col, source_col, {"row_hash": F.xxhash64(*key)})
+    return without(df, found.where("not kept").select(F.col("doc").alias(id_col), "row_hash"), id_col, key)

@@ -37,7 +37,7 @@ GRAM = 32
 PASS = 1 << 18
 _POSITION_BITS = 20
 #: Contexts of a bucket that one task may refine together; bytes of contexts in one step.
-HOT, STEP = 8192, 1 << 20
+HOT, STEP = 4096, 1 << 19
 #: Bytes of the suffixes' first buckets, and factor of the second names.
 FIRST, FACTOR = 8, 0xD1342543DE82EF95
 
