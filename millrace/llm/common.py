@@ -83,28 +83,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The same rows, written once as Parquet to the shared folder and read again: as cut, with columns pruned on reading.
-    And the folder, to be dropped when nothing reads it any more; clear() drops those that are left."""
+    And the folder, to be dropped when nothing reads it any more."""
     place = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(place)
     df.write.option("parquet.block.size", WRITE_BYTES).parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place), place
 
 
-_WRITTEN: list[str] = []
-
-
 def drop(spark: SparkSession, place: str) -> None:
     """Deletes a folder by Spark's own file system."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    if place in _WRITTEN:
-        _WRITTEN.remove(place)
-
-
-def clear(spark: SparkSession) -> None:
-    """Drops all that written() has left in this session."""
-    for place in list(_WRITTEN):
-        drop(spark, place)
 
 
 def cut(df: DataFrame) -> DataFrame:
