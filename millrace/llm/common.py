@@ -112,12 +112,11 @@ def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def bounded_rows(df: DataFrame, group: str, key: str, per_group: int) -> DataFrame:
-    """About `per_group` rows of each value of `group`, chosen by a hash of `key`: the same rows in every run.
+def sampled_rows(df: DataFrame, group: str, key: str, per_group: int) -> DataFrame:
+    """About `per_group` rows of each value of `group`, chosen by a hash of `key`: the same rows in every run; more, if keys repeat.
 
     One pass counts the groups (one row per value reaches the driver; values are few: languages or classes),
-    a second keeps a row when its hash falls under the group's rate. A hard limit of twice the expected size, in
-    order of the hash, keeps what is collected bounded even if ids repeat.
+    a second keeps a row when its hash falls under the group's rate.
     """
     counts = {r[0]: r[1] for r in df.where(F.col(group).isNotNull()).groupBy(group).count().collect()}
     if not counts:
@@ -126,15 +125,14 @@ def bounded_rows(df: DataFrame, group: str, key: str, per_group: int) -> DataFra
     rate = F.lit(0)
     for value, n in counts.items():
         rate = F.when(F.col(group) == value, F.lit(min(span, int(span * per_group / n)))).otherwise(rate)
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(span))
-    return df.where(draw < rate).orderBy(draw, *[F.xxhash64(c) for c in df.columns]).limit(2 * per_group * len(counts) + 100)
+    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(span)) < rate)
 
 
-def bounded_texts(rows: DataFrame, group: str, key: str, text: str, total: int) -> list[Row]:
-    """The rows (a bounded number) whose texts come to at most `total` bytes, each value of `group` having an even share: rows in
-    order of a hash, leaving out those that do not fit. Sizes reach the driver first, then the texts that were chosen."""
+def bounded_texts(rows: DataFrame, group: str, key: str, text: str, most: int, total: int) -> list[Row]:
+    """At most `most` different rows, in order of a hash, whose texts come to at most `total` bytes, each value of `group` having an
+    even share: those that do not fit are left out. Hashes and sizes reach the driver first, then the texts that were chosen."""
     rows = rows.withColumns({"_k": F.xxhash64(F.lit("text"), key, text, group), "_n": F.octet_length(text)})
-    sizes = sorted({tuple(r) for r in rows.select("_k", group, "_n").collect()}, key=lambda r: r[0])
+    sizes = [tuple(r) for r in rows.select("_k", group, "_n").distinct().orderBy("_k").limit(most).collect()]
     share = total // max(1, len({g for _, g, _ in sizes}))
     spent: dict = {}
     chosen = []

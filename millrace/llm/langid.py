@@ -19,11 +19,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PASS_BYTES, bounded_rows, bounded_texts, by_bytes, map_batches
+from .common import PASS_BYTES, bounded_texts, by_bytes, map_batches, sampled_rows
 
 UNKNOWN = "und"
 #: Labelled rows of each language that training collects, and bytes of all their texts; with these the driver's memory is bounded.
 ROWS_PER_LANGUAGE, SAMPLE_BYTES = 300, 32 << 20
+#: Rows of the whole sample, at most.
+MOST_ROWS = 20_000
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 ORDERS = (2, 3, 4)
@@ -172,7 +174,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     together at most `sample_bytes`: a longer text than fits its language's share is not learned from.
     None if no row has both a text and a language. Repeated rows count once."""
     known = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where(F.col("t").isNotNull() & F.col("l").isNotNull())
-    rows = bounded_texts(bounded_rows(known, "l", "id", rows_per_language), "l", "id", "t", sample_bytes)
+    rows = bounded_texts(sampled_rows(known, "l", "id", rows_per_language), "l", "id", "t", MOST_ROWS, sample_bytes)
     rows = sorted((r[2], r[0] is None, r[0] or 0, r[1]) for r in rows)
     return train([(t, lang) for lang, _, _, t in rows]) if rows else None
 

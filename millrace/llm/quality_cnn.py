@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, bounded_texts, by_bytes, map_batches
+from .common import bounded_texts, by_bytes, map_batches, sampled_rows
 
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 6, 8, 2, 24, 12
 #: Bytes of a segment; a chunk is twice as long.
@@ -181,11 +181,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = {r[0]: r[1] for r in known.groupBy("q").count().collect()}
     if len(counts) < 2:
         return None
-    sample = bounded_rows(known, "q", "id", rows_per_class)
+    most = 4 * rows_per_class + 100
+    sample = sampled_rows(known, "q", "id", rows_per_class).orderBy(F.xxhash64("id")).limit(most)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null")
     picked = texts.join(F.broadcast(sample), "id")  # the sample has a fixed bound
-    picked = picked.orderBy(F.xxhash64("id", "t")).limit(8 * rows_per_class).select("id", "t", "q")
-    rows = sorted(tuple(r) for r in bounded_texts(picked, "q", "id", "t", sample_bytes))
+    rows = sorted(tuple(r) for r in bounded_texts(picked.select("id", "t", "q"), "q", "id", "t", 2 * most, sample_bytes))
     if len({q for *_, q in rows}) < 2:
         return None
     return train([(t, q) for _, t, q in rows], counts[1] / sum(counts.values()))
