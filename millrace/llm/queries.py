@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, near_dedup, packing, quality_cnn, quality_rules, sharding, suffix_dedup, warc
+from . import ann, bpe, langid, mixing, near_dedup, packing, phrases, quality_cnn, quality_rules, sharding, suffix_dedup, warc, whitening
 from .common import held_out, table
 
 
@@ -63,9 +63,22 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_budget_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_extendible_sharding, op3_best_fit_packing, op4_quality_classifier, op5_warc_revisits,
     op6_shifted_curves, op7_suffix_dedup, op8_quality_rules, op9_minhash_forest, op10_bpe_codec,
+    op11_phrase_collocations, op12_exact_whitening, op13_budget_mixing,
 )
 }
-ORACLE_SQL: dict[str, str] = {"op2_extendible_sharding": sharding.oracle_sql(), "op5_warc_revisits": warc.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_extendible_sharding": sharding.oracle_sql(), "op5_warc_revisits": warc.oracle_sql(), "op11_phrase_collocations": phrases.oracle_sql(), "op13_budget_mixing": mixing.oracle_sql()}
