@@ -28,6 +28,8 @@ LEAST, WITHIN, TOP = 10, 50, 2000
 SCALE = 1_000_000
 #: Bytes of text of a segment, and of all that a task holds back to fill segments.
 SEGMENT, HELD = 8 << 20, 32 << 20
+#: Rows that tasks hand on at a time.
+BATCH = 20_000
 #: Groups in which the best rows of a language are found before they meet, from many to one.
 ROUNDS = (256, 16, 1)
 
@@ -100,8 +102,8 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(packed)])
         whole = pa.record_batch([pa.array(np.full(k, segment)), pa.array([lang] * k), pa.array(np.arange(k, dtype=np.int32)), coded.dictionary.cast(pa.string()), pa.array(n.astype(np.int64)), places], ["segment", "lang", "local", "word", "n", "places"])
         segment += 1
-        for lo in range(0, k, 20_000):
-            yield whole.slice(lo, 20_000)
+        for lo in range(0, k, BATCH):
+            yield whole.slice(lo, BATCH)
 
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
@@ -136,6 +138,12 @@ def follow(ends: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return hit, at[hit]
 
 
+def _slices(columns: list[np.ndarray], schema: pa.Schema) -> pa.Table:
+    """Columns as a table that travels in small batches, so that the JVM holds little of it at a time."""
+    whole = pa.table([pa.array(c) for c in columns], schema=schema)
+    return pa.Table.from_batches(whole.to_batches(max_chunksize=BATCH), schema)
+
+
 def _tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and the lengths of their lists."""
     return np.unique(keys, return_counts=True)
@@ -149,7 +157,7 @@ def _pairs(t: pa.Table, numbers: pa.Table) -> pa.Table:
     place, word = _segment(t, numbers)
     a, b = follow(place, place)
     pair, n = _tally(word[a] << 32 | word[b])
-    return pa.table([pa.array(np.full(len(pair), t["segment"][0].as_py())), pa.array(pair), pa.array(n)], schema=schema)
+    return _slices([np.full(len(pair), t["segment"][0].as_py()), pair, n], schema)
 
 
 def _triples(t: pa.Table, numbers: pa.Table) -> pa.Table:
@@ -168,7 +176,7 @@ def _triples(t: pa.Table, numbers: pa.Table) -> pa.Table:
     begin, end, at = place[a][frequent], place[b][frequent], at[frequent]
     x, y = follow(end - 1, begin)
     key, n = _tally(at[x] << 32 | at[y])
-    return pa.table([pa.array(known[key >> 32]), pa.array(known[key & 0xFFFFFFFF]), pa.array(n)], schema=schema)
+    return _slices([known[key >> 32], known[key & 0xFFFFFFFF], n], schema)
 
 
 def numbered_words(index: DataFrame, least: int) -> DataFrame:
