@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.similarity import best_partial, similarity, sorted_tokens
+from millrace.functions.similarity import similarity
 from millrace.functions.text import normalize_text
 from millrace.held import held
+from millrace.operators.nearest import bare, contained, nearest
 
 #: Abbreviations that stand for a vendor, compared exactly.
 ABBREVIATIONS = {
@@ -47,45 +47,23 @@ def best_match(names: DataFrame, column: str, vendors: DataFrame, id_col: str, n
     return direct.unionByName(empty).unionByName(fuzzy).withColumnRenamed("raw", column)
 
 
-#: Candidates of a block, and blocks of names that a block of candidates meets.
-BLOCK, SHARES = 2048, 16
-
-
 def _nearest(names: DataFrame, known: DataFrame) -> DataFrame:
-    """names: raw, q, below. raw, v, s: what each block of candidates holds best for a name. Every name is held against every
-    candidate, as a score without a key asks for, but in blocks that meet by an equi-join, and without those whose letters
-    rule them out. Where a shared token has given a name the full score already, only a candidate with an id smaller than
-    `below` can still come before: one that contains the name or is contained in it."""
-    blocks = max(1, -(-known.count() // BLOCK))
-    block = known.withColumn("b", F.pmod(F.xxhash64("norm"), F.lit(blocks))).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("id", "name", "norm"))).alias("c"))
-    asked = names.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    asked = asked.groupBy("b", F.pmod(F.xxhash64("raw"), F.lit(SHARES)).alias("share")).agg(F.collect_list(F.struct("raw", "q", "below")).alias("asked"))
-
-    def score(batches):
-        for pdf in batches:
-            out = []
-            for asked_, c in zip(pdf["asked"], pdf["c"], strict=True):
-                norms = [x["norm"] for x in c]
-                bare = [sorted_tokens(n) for n in norms]
-                for a in asked_:
-                    k, s = None, 100.0
-                    if a["below"] is None:
-                        k, s = best_partial(a["q"], norms)
-                    else:
-                        own = sorted_tokens(a["q"])
-                        for j, x in enumerate(c):  # in order of id
-                            if x["id"] >= a["below"]:
-                                break
-                            if bare[j] and (own in bare[j] or bare[j] in own):
-                                k = j
-                                break
-                    if k is not None:
-                        out.append((a["raw"], c[k]["id"], c[k]["name"], s / 100))
-            yield pd.DataFrame(out, columns=["raw", "id", "name", "s"])
-
-    kind = known.schema["id"].dataType.simpleString()
-    found = asked.join(block, "b").mapInPandas(score, f"raw string, id {kind}, name string, s double")
-    return found.select("raw", F.struct("id", "name").alias("v"), "s")
+    """names: raw, q, below. raw, v, s: the best candidate of a name, as far as shared tokens have not given it the full score; of names
+    with `below`, only a candidate with a smaller id that has the full score, too."""
+    asked = names.select("raw", "below", bare(F.col("q")).alias("s"))
+    # candidates of one spelling score alike: the smallest id comes first
+    candidates = held(known.select(bare(F.col("norm")).alias("s"), F.struct("id", "name").alias("v")).groupBy("s").agg(F.min("v").alias("v")).where("s <> ''"))
+    spelled = held(asked.groupBy("s").agg(F.max(F.col("below").isNull()).alias("open"), F.max("below").alias("below")).where("s <> ''"))
+    best = nearest(spelled.where("open").select("s"), candidates.select("s", F.col("v.id").alias("id")))
+    within = contained(spelled.where("below is not null").select("s"), candidates.select(F.col("s").alias("c")))
+    whole = within.join(candidates.select(F.col("s").alias("c"), "v"), "c")
+    by_spelling = asked.where("below is not null").join(whole, "s").where(F.col("v.id") < F.col("below")).groupBy("raw").agg(F.min("v").alias("v"), F.lit(1.0).alias("s"))
+    found = best.join(candidates.select(F.col("s").alias("c"), "v"), "c").select("s", "v", (F.col("score") / 100).alias("score"))
+    open_ = asked.where("below is null").join(found, "s").select("raw", "v", F.col("score").alias("s"))
+    # a candidate or a name without tokens is as far from everything as can be: the smallest id of all
+    nothing = known.agg(F.min(F.struct("id", "name")).alias("v")).where("v is not null")
+    lost = asked.where("below is null").join(open_.select("raw"), "raw", "left_anti")
+    return open_.unionByName(by_spelling).unionByName(lost.crossJoin(F.broadcast(nothing)).select("raw", "v", F.lit(0.0).alias("s")))  # one row
 
 
 def close_pairs(words: DataFrame, column: str, distance: int) -> DataFrame:

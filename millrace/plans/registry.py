@@ -322,6 +322,15 @@ def vendor_best_match(spark: SparkSession, d: str) -> DataFrame:
     return matching.best_match(names, "brand", vendors, "vendor_id", "vendor_name")
 
 
+@query()
+def closest_part_types(spark: SparkSession, d: str) -> DataFrame:
+    """Every part's name with the type that is most like it, of all types."""
+    part = table(spark, d, "part")
+    types = part.select("p_type").distinct().select("p_type", F.col("p_type").alias("id"))
+    found = matching.best_match(part, "p_name", types, "id", "p_type", abbreviations={})
+    return found.select("p_name", F.col("matched_vendor_id").alias("p_type"), F.round("vendor_fuzz_score", 6).alias("score"))
+
+
 @query()
 def fuzzy_scores(spark: SparkSession, d: str) -> DataFrame:
     """Part names against their types by four scores; distinct pairs only are scored."""

@@ -133,8 +133,8 @@ def edits(a, b):
 
 
 def test_every_query_is_compared():
-    """By SQL or by one of the tests above."""
-    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"fuzzy_scores", "vendor_best_match", "curation_decisions"}
+    """By SQL, by one of the tests above or by one of test_nearest."""
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"fuzzy_scores", "vendor_best_match", "curation_decisions", "closest_part_types"}
 
 
 def test_flagship(spark):
