@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.similarity import similarity
+from millrace.held import held
+from millrace.operators.edits import within
 
 #: Common English words that carry no product meaning; a parameter of every function here.
 STOP_WORDS = (
@@ -49,15 +51,15 @@ def typo_map(df: DataFrame, key: str, description: str, max_distance: int = 2, m
     """key, token, representative: the most wanted token of the key within the edit distance that is at least as wanted
     as the token itself, by number, length and spelling; of at least `min_length` letters unless it is the token.
 
-    Candidates meet by key and length class, as tokens cannot be close if their lengths differ by more.
+    Candidates meet by key and what close tokens share (see `edits`).
     """
     split = F.filter(F.split(F.lower(F.col(description)), " "), lambda w: w != "") if tokens is None else tokens
     counts = df.select(F.col(key).alias("k"), F.explode(split).alias("token")).groupBy("k", "token").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("len", F.length("token"))
+    counts = held(counts.withColumn("len", F.length("token")))
     wanted = lambda n, size, t: F.struct(F.col(n).alias("n"), F.col(size).alias("s"), F.col(t).alias("t"))
-    left = counts.withColumn("c", F.explode(F.sequence(F.col("len") - max_distance, F.col("len") + max_distance)))
     right = counts.where(F.col("len") >= min_length).select("k", F.col("token").alias("r"), F.col("n").alias("rn"), F.col("len").alias("c"))
-    met = left.join(right, ["k", "c"]).where((wanted("rn", "c", "r") >= wanted("n", "len", "token")) & (F.levenshtein("token", "r", max_distance) >= 0))
+    near = within(counts, right, "token", "r", max_distance, ["k"])
+    met = near.join(counts, ["k", "token"]).join(right, ["k", "r"]).where(wanted("rn", "c", "r") >= wanted("n", "len", "token"))
     best = met.groupBy("k", "token").agg(F.max_by("r", wanted("rn", "c", "r")).alias("r"))
     return counts.join(best, ["k", "token"], "left").select(F.col("k").alias(key), "token", F.coalesce("r", "token").alias("representative"))
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from millrace.functions.similarity import similarity
 from millrace.functions.text import normalize_text
 from millrace.held import held
-from millrace.operators.nearest import bare, contained, nearest
+from millrace.operators.edits import close_pairs  # noqa: F401  a join of names like the others here
+from millrace.operators.nearest import bare, contained, counted, grams, nearest
 
 #: Abbreviations that stand for a vendor, compared exactly.
 ABBREVIATIONS = {
@@ -47,6 +48,10 @@ def best_match(names: DataFrame, column: str, vendors: DataFrame, id_col: str, n
     return direct.unionByName(empty).unionByName(fuzzy).withColumnRenamed("raw", column)
 
 
+#: Candidates of a block.
+BLOCK = 2048
+
+
 def _nearest(names: DataFrame, known: DataFrame) -> DataFrame:
     """names: raw, q, below. raw, v, s: the best candidate of a name, as far as shared tokens have not given it the full score; of names
     with `below`, only a candidate with a smaller id that has the full score, too."""
@@ -54,7 +59,7 @@ def _nearest(names: DataFrame, known: DataFrame) -> DataFrame:
     # candidates of one spelling score alike: the smallest id comes first
     candidates = held(known.select(bare(F.col("norm")).alias("s"), F.struct("id", "name").alias("v")).groupBy("s").agg(F.min("v").alias("v")).where("s <> ''"))
     spelled = held(asked.groupBy("s").agg(F.max(F.col("below").isNull()).alias("open"), F.max("below").alias("below")).where("s <> ''"))
-    best = nearest(spelled.where("open").select("s"), candidates.select("s", F.col("v.id").alias("id")))
+    best = nearest(spelled.where("open").select("s"), candidates.select("s", F.col("v.id").alias("id")), block=BLOCK)
     within = contained(spelled.where("below is not null").select("s"), candidates.select(F.col("s").alias("c")))
     whole = within.join(candidates.select(F.col("s").alias("c"), "v"), "c")
     by_spelling = asked.where("below is not null").join(whole, "s").where(F.col("v.id") < F.col("below")).groupBy("raw").agg(F.min("v").alias("v"), F.lit(1.0).alias("s"))
@@ -66,25 +71,27 @@ def _nearest(names: DataFrame, known: DataFrame) -> DataFrame:
     return open_.unionByName(by_spelling).unionByName(lost.crossJoin(F.broadcast(nothing)).select("raw", "v", F.lit(0.0).alias("s")))  # one row
 
 
-def close_pairs(words: DataFrame, column: str, distance: int) -> DataFrame:
-    """a < b and their edit distance, up to `distance`. An equi-join on length classes comes first: words whose
-    lengths differ by more cannot be close."""
-    w = words.select(F.col(column).alias("w")).distinct().withColumn("n", F.length("w"))
-    left = w.select(F.col("w").alias("a"), F.explode(F.sequence(F.col("n") - distance, F.col("n") + distance)).alias("n"))
-    near = left.join(w.select(F.col("w").alias("b"), "n"), "n").where("a < b")
-    return near.select("a", "b", F.levenshtein("a", "b", distance).cast("long").alias("distance")).where("distance >= 0")
-
-
 def collect_aliases(canonical: DataFrame, names: DataFrame, canonical_col: str, name_col: str, cutoff: float = 75.0, abbreviations: dict[str, str] | None = None) -> DataFrame:
     """For every canonical name the sorted distinct spellings that reach `cutoff` by ratio, or abbreviate it."""
     short = {v: k for k, v in (abbreviations or {}).items()}
     table = F.create_map(*[F.lit(x) for pair in short.items() for x in pair]) if short else F.create_map().cast("map<string,string>")
     c, n = canonical.select(F.col(canonical_col).alias("c")).distinct(), names.select(F.col(name_col).alias("n")).where("n is not null").distinct()
-    c, n = c.withColumn("m", F.length("c")), n.withColumn("m", F.length("n"))
-    # a ratio of `cutoff` bounds the quotient of the lengths, so only lengths that allow it meet
+    # a ratio of `cutoff` bounds the quotient of the lengths, and the letters that match nothing, of which each breaks a pair of neighbours
     least = cutoff / (200 - cutoff)
-    near = c.select("c", F.explode(F.sequence(F.ceil(F.col("m") * least - 1e-9), F.floor(F.col("m") / least + 1e-9))).alias("m")).join(n, "m")
-    close = near.where(similarity("ratio", F.lower("c"), F.lower("n")) >= cutoff).select("c", "n")
-    exact = c.select("c", table[F.col("c")].alias("n")).where("n is not null").join(n.select("n"), "n").select("c", "n")
+    near = (F.col("m") >= F.ceil(F.col("n") * least - 1e-9)) & (F.col("m") <= F.floor(F.col("n") / least + 1e-9))
+    common = lambda n, m: F.ceil((n + m) * (1.5 * cutoff / 100 - 1) - 1 - 1e-9)
+    c = held(c.select("c", F.length("c").alias("n"), counted(grams(F.lower("c"), 2)).alias("gc")))
+    n = held(n.select(F.col("n").alias("s"), F.length("n").alias("m"), counted(grams(F.lower("n"), 2)).alias("gs")))
+    need = common(F.col("n"), F.col("n") * least)
+    often = n.select(F.explode("gs").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("k"))
+    rare = c.where(need >= 1).select("c", "n", F.explode("gc").alias("g")).join(often, "g").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("k", "g"))).alias("o"), F.count(F.lit(1)).alias("known"))
+    # of the rarest pairs of neighbours as many as must hold a common one; those that no name has are the rarest
+    first = rare.withColumn("o", F.slice("o", F.lit(1), F.greatest(F.lit(0), F.col("known") - need + 1).cast("int")))
+    met = first.select("c", F.explode("o.g").alias("g")).join(n.select("s", F.explode("gs").alias("g")).hint("merge"), "g").select("c", "s").distinct()
+    met = met.join(c, "c").join(n, "s").where(near & (F.size(F.array_intersect("gc", "gs")) >= common(F.col("n"), F.col("m"))))
+    # of short ones only lengths that allow it meet
+    brief = c.where(need < 1).select("c", "n", F.explode(F.sequence(F.ceil(F.col("n") * least - 1e-9), F.floor(F.col("n") / least + 1e-9))).alias("m")).join(n, "m")
+    close = met.select("c", "s").unionByName(brief.select("c", "s")).where(similarity("ratio", F.lower("c"), F.lower("s")) >= cutoff).select("c", F.col("s").alias("n"))
+    exact = c.select("c", table[F.col("c")].alias("n")).where("n is not null").join(n.select(F.col("s").alias("n")), "n").select("c", "n")
     pairs = close.unionByName(exact)
     return c.join(pairs.groupBy("c").agg(F.sort_array(F.collect_set("n")).alias("aliases")), "c", "left").select(F.col("c").alias(canonical_col), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))

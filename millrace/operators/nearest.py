@@ -10,7 +10,7 @@ Three steps, each over what the one before leaves open:
    taken together cannot reach a text's lower bound are never met, and in a block only the candidates that can beat it are
    scored, those of the highest bound first.
 
-Blocks hold at most BLOCK candidates, which meet about SHARE texts at a time, by counts taken beforehand; a hot block has more shares.
+Joins on grams are asked to sort both sides, as the size of a side with a row per gram is not foreseen. Blocks hold at most BLOCK candidates, which meet about SHARE texts at a time, by counts taken beforehand; a hot block has more shares.
 """
 
 from __future__ import annotations
@@ -53,10 +53,10 @@ def contained(texts: DataFrame, candidates: DataFrame) -> DataFrame:
         every = long.select(b, F.explode(F.array_distinct(grams(F.col(b), 3))).alias("g"))
         often = every.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
         # a gram that no longer text has is the rarest, and meets none
-        rarest = short.select(a, F.explode(F.array_distinct(grams(F.col(a), 3))).alias("g")).join(often, "g", "left").groupBy(a).agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+        rarest = short.select(a, F.explode(F.array_distinct(grams(F.col(a), 3))).alias("g")).join(often.hint("merge"), "g", "left").groupBy(a).agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
         tiny = short.where(F.length(a) < 3).select(a, F.col(a).alias("g"))
         parts = long.select(b, F.explode(F.array_distinct(F.concat(grams(F.col(b), 1), grams(F.col(b), 2)))).alias("g"))
-        met = rarest.join(every, "g").unionByName(tiny.join(parts, "g"))
+        met = rarest.join(every.hint("merge"), "g").unionByName(tiny.join(parts.hint("merge"), "g"))
         out.append(met.where((F.length(a) <= F.length(b)) & F.col(b).contains(F.col(a))).select("s", "c"))
     return out[0].unionByName(out[1]).distinct()
 
@@ -76,10 +76,10 @@ def by_trigrams(texts: DataFrame, candidates: DataFrame, score: float = SURE, tr
     often = held(y.select(F.explode("gc").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")))
     met = []
     for short, long, a, b in ((x, y, "s", "c"), (y, x, "c", "s")):
-        rare = short.select(a, F.explode(f"g{a}").alias("g")).join(often, "g", "left").groupBy(a).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("o"))
+        rare = short.select(a, F.explode(f"g{a}").alias("g")).join(often.hint("merge"), "g", "left").groupBy(a).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))).alias("o"))
         need = F.greatest(F.lit(1), _least_common(F.length(a), score))
         first = rare.select(a, F.explode(F.slice("o", F.lit(1), F.greatest(F.lit(1), F.size("o") - need + 1).cast("int"))).alias("o")).select(a, F.col("o.g").alias("g"))
-        meet = first.join(long.select(b, F.explode(f"g{b}").alias("g")), "g").where(F.length(a) <= F.length(b))
+        meet = first.join(long.select(b, F.explode(f"g{b}").alias("g")).hint("merge"), "g").where(F.length(a) <= F.length(b))
         met.append(meet.select("s", "c"))
     pairs = met[0].unionByName(met[1]).distinct().join(x, "s").join(y, "c")
     common = F.size(F.array_intersect("gs", "gc"))

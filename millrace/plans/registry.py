@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.functions.similarity import similarity
-from millrace.operators import checks, curation, gapfill, matching, quality, reports, seed
+from millrace.operators import checks, curation, edits, gapfill, matching, quality, reports, seed
 from millrace.plans import questions, standin
 from millrace.plans.standin import AS_OF, table, with_base
 
@@ -295,7 +295,7 @@ _TOKENS = "t AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS tok
 @query(f"WITH {_TOKENS} SELECT a.token AS a, b.token AS b, levenshtein(a.token, b.token) AS distance FROM t a, t b WHERE a.token < b.token AND levenshtein(a.token, b.token) <= 3", base=False)
 def levenshtein_pairs(spark: SparkSession, d: str) -> DataFrame:
     tokens = curation.token_counts(table(spark, d, "part"), "p_partkey", "p_name").select("token")
-    return matching.close_pairs(tokens, "token", 3)
+    return edits.close_pairs(tokens, "token", 3)
 
 
 @query(

@@ -99,7 +99,7 @@ def test_best_match_against_all_pairs(spark, seed, monkeypatch):
     """Small blocks and shares; names that share a token, contain or are contained, are close, far, or blank; candidates of one
     spelling, without letters, and of few."""
     monkeypatch.setattr(nearest, "SHARE", 8)
-    monkeypatch.setattr(nearest, "nearest", lambda t, c, f=nearest.nearest: f(t, c, block=16))
+    monkeypatch.setattr(matching, "BLOCK", 16)
     rng = random.Random(seed)
     vendors = [(str(k), v) for k, v in enumerate(names(rng, 90) + ["", "a", "zz top", "Zz  Top", "é"])]
     asked = [spoiled(rng, rng.choice(vendors)[1]) for _ in range(120)] + [text(rng, "qwxyz ", 9) for _ in range(30)] + [None, " ", "VM", "ab"]
