@@ -38,6 +38,8 @@ PASS = 1 << 18
 _POSITION_BITS = 20
 #: Contexts of a bucket that one task may refine together; bytes of contexts in one step.
 HOT, STEP = 4096, 1 << 19
+#: Bytes of a batch of rows that leaves a Python worker.
+BATCH_BYTES = 1 << 20
 #: Bytes of the suffixes' first buckets, and factor of the second names.
 FIRST, FACTOR = 8, 0xD1342543DE82EF95
 
@@ -196,15 +198,22 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Pass, np.ndarray,
                     yield p, np.nonzero(on)[0], k1[rows], k2[rows], shift
 
 
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about BATCH_BYTES: what the JVM holds of a Python worker's output lies outside its heap."""
+    rows = max(1, b.num_rows * BATCH_BYTES // max(1, b.nbytes))
+    for lo in range(0, b.num_rows, rows):
+        yield b.slice(lo, rows)
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Open anchors with the bytes of their windows."""
     for p, on, k1, k2, shift in _open(batches):
         lo, hi = p.at[p.begin[on]], p.at[p.end[on]]
         doc, anchor = p.doc[p.begin[on]], p.anchor[p.begin[on]]
         data = [p.data[a : b + LENGTH] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([
+        yield from _slices(pa.RecordBatch.from_arrays([
             pa.array(p.gram[anchor].view(np.int64)), pa.array(k1[doc]), pa.array(k2[doc]), pa.array((lo + shift[doc]).astype(np.int32)), pa.array(data, pa.binary()),
-        ], names=["h", "k1", "k2", "lo", "bytes"])
+        ], names=["h", "k1", "k2", "lo", "bytes"]))
 
 
 def refine(data: np.ndarray, room: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -306,9 +315,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pick = np.nonzero(np.repeat(mark, p.end - p.begin + 1))[0]
         at, anchor, d = p.at[pick], p.anchor[pick], p.doc[pick]
         name = _pair(p.gram[anchor], (anchor - at).astype(np.uint64), 1)
-        yield pa.RecordBatch.from_arrays([
+        yield from _slices(pa.RecordBatch.from_arrays([
             pa.array(name.view(np.int64)), pa.array(_window_ids(p.deep, at).view(np.int64)), pa.array(_between(p.sums, at, at + LENGTH)), pa.array(k1[d]), pa.array(k2[d]), pa.array((at + shift[d]).astype(np.int32)),
-        ], names=["w1", "w2", "w3", "k1", "k2", "lo"])
+        ], names=["w1", "w2", "w3", "k1", "k2", "lo"]))
 
 
 def _removed(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
