@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from importlib import resources
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.functions.similarity import similarity
-from millrace.operators import checks, curation, edits, gapfill, matching, quality, reports, seed
+from millrace.held import shared_dir
+from millrace.operators import checks, curation, edits, gapfill, matching, quality, reports, scan, seed
 from millrace.plans import questions, standin
 from millrace.plans.standin import AS_OF, table, with_base
+from millrace.sources import versioned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -100,6 +103,26 @@ def gapfill_by_series(spark: SparkSession, d: str) -> DataFrame:
     return full.select("event_type", "date", F.when(F.col("rate_source") == "SOURCE", F.round("value", 9)).alias("value"), "rate_source")
 
 
+@query(
+    """WITH s AS (SELECT event_id, ts, CASE WHEN event_type IN ('click', 'view') THEN value END AS v FROM events), o AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS pv, last_value(CASE WHEN v IS NOT NULL THEN ts END IGNORE NULLS) OVER b AS pt,
+    first_value(v IGNORE NULLS) OVER a AS nv, first_value(CASE WHEN v IS NOT NULL THEN ts END IGNORE NULLS) OVER a AS nt FROM s WINDOW b AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), a AS (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT event_id, round(CASE WHEN v IS NOT NULL THEN v WHEN pv IS NULL THEN nv WHEN nv IS NULL OR pt = nt THEN pv ELSE pv + (nv - pv) * ((epoch_us(ts) - epoch_us(pt))::DOUBLE / (epoch_us(nt) - epoch_us(pt))::DOUBLE) END, 6) AS filled,
+    CASE WHEN v IS NOT NULL THEN 'SOURCE' WHEN pv IS NOT NULL AND nv IS NOT NULL THEN 'INTERPOLATED' ELSE 'FORWARD_FILLED' END AS source FROM o""",
+    base=False,
+)
+def long_series_fill(spark: SparkSession, d: str) -> DataFrame:
+    """All events as one series over time: the values of clicks and views are known, the others lie on the line between their neighbours."""
+    us = lambda c: F.unix_micros(F.to_timestamp_ltz(c))
+    v = F.when(F.col("event_type").isin("click", "view"), F.col("value"))
+    rows = table(spark, d, "events").select("event_id", us(F.col("ts")).alias("t"), v.alias("v"))
+    near = scan.neighbours(rows, ["t", "event_id"], F.when(F.col("v").isNotNull(), F.struct("t", "v")))
+    both = F.col("_p").isNotNull() & F.col("_n").isNotNull()
+    line = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * ((F.col("t") - F.col("_p.t")).cast("double") / F.nullif(F.col("_n.t") - F.col("_p.t"), F.lit(0)).cast("double"))
+    filled = F.coalesce("v", F.when(both, line), F.col("_p.v"), F.col("_n.v"))
+    source = F.when(F.col("v").isNotNull(), "SOURCE").when(both, "INTERPOLATED").otherwise("FORWARD_FILLED")
+    return near.select("event_id", F.round(filled, 6).alias("filled"), source.alias("source"))
+
+
 # ---- quality --------------------------------------------------------------------------------------------------------
 
 _LINE = ["order_id", "line_number", "sku_id", "vendor_brand", "matched_vendor_id", "fuzz_score", "non_product_hint", *quality.FLAGS, "has_quality_issues"]
@@ -274,6 +297,16 @@ def seed_upsert(spark: SparkSession, d: str) -> DataFrame:
     return seed.upsert(*_seeds(spark, d))
 
 
+@query(f"WITH {_SEEDS} SELECT * EXCLUDE (p, fresh) FROM (SELECT *, CASE source WHEN 'approved_seed' THEN 2 ELSE 1 END AS p, 0 AS fresh FROM o UNION ALL SELECT *, CASE source WHEN 'approved_seed' THEN 2 ELSE 1 END, 1 FROM n) QUALIFY row_number() OVER (PARTITION BY sku_id ORDER BY p DESC, fresh DESC) = 1", base=False)
+def seed_merge_versioned(spark: SparkSession, d: str) -> DataFrame:
+    """The same merge into a table of versions in the shared folder: written, merged into by bucket, and read again."""
+    old, new = _seeds(spark, d)
+    place = versioned.VersionedTable(spark, f"{shared_dir(spark)}/seed-{uuid.uuid4().hex}")
+    place.create(old, "sku_id", buckets=16)
+    place.merge(new)
+    return place.read()
+
+
 @query("SELECT 'v0.' || (max(p_size) + 1) AS version FROM part", base=False)
 def version_bump(spark: SparkSession, d: str) -> DataFrame:
     return seed.next_version(table(spark, d, "part").select(F.concat(F.lit("v0."), F.col("p_size")).alias("version")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LAYERS = ("bronze", "staging", "silver", "gold", "seeds")
@@ -36,6 +36,34 @@ def export_csv(df: DataFrame, folder: str, name: str, one_file: bool = False) ->
     return path
 
 
+def export_ordered(df: DataFrame, path: str, order: list[Column | str], parts: int | None = None, kind: str = "csv") -> str:
+    """A table in a total order, written in parallel: each task writes a range of the order, and files named in that order follow one
+    another, so that reading them by name gives the sorted table. kind: csv (one header, in a file that comes first), json
+    (an object a line). Nulls are empty in CSV and left out in JSON."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    if kind == "json":
+        rows.write.mode("overwrite").json(path)
+        return path
+    rows.write.mode("overwrite").csv(path, header=False, escape='"')
+    quoted = [f'"{c.replace(chr(34), chr(34) * 2)}"' if any(x in c for x in ',"\n\r') else c for c in df.columns]
+    _put(df.sparkSession, f"{path}/header.csv", ",".join(quoted) + "\n")
+    return path
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def by_key(df: DataFrame, path: str, keys: list[str], sort: list[str], kind: str = "json") -> None:
+    """One folder per key value, rows in order within each, as JSON lines or CSV with a header a file."""
+    writer = df.repartition(*keys).sortWithinPartitions(*keys, *sort).write.mode("overwrite").partitionBy(*keys)
+    writer.json(path) if kind == "json" else writer.csv(path, header=True, escape='"')
+
+
 def export_layer(tables: Mapping[str, DataFrame], layer: str, folder: str, target: str = "dev") -> list[str]:
     """Exports <layer>_<name> for each table. Bronze and silver only go out from the dev target."""
     if layer in ("bronze", "silver") and target != "dev":
@@ -49,16 +77,32 @@ def export_staged(df: DataFrame, folder: str, name: str = "stg_orders") -> str:
 
 
 def overwrite_seed(df: DataFrame, path: str, key: str = "sku_id") -> None:
-    """Replaces the seed at `path` by df, in order of its key. df may have been read from there: the new seed is complete
-    before the old one goes."""
-    new = f"{path.rstrip('/')}.new"
+    """Replaces the seed at `path` by df, in order of its key. df may have been read from there. The new seed is complete before the old one
+    is moved aside, and that one goes last: a writer that dies leaves a whole seed at `path`, or, between two renames, beside it, where the
+    next call finds it. Readers that must not see that moment read a VersionedTable."""
+    new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
     df.orderBy(key).coalesce(1).write.mode("overwrite").csv(new, header=True, escape='"')
     jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = at(path).getFileSystem(conf)
-    fs.delete(at(path), True)
-    if not fs.rename(at(new), at(path)):
-        raise OSError(f"cannot rename {new} to {path}")
+    fs.delete(at(old), True)
+    for source, target in ((path, old), (new, path)):
+        if fs.exists(at(source)) and not fs.rename(at(source), at(target)):
+            raise OSError(f"cannot rename {source} to {target}")
+    fs.delete(at(old), True)
+
+
+def restored_seed(spark: SparkSession, path: str) -> str:
+    """`path`, after a writer that died between its renames has been made up for: the new seed was complete by then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(conf)
+    new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    if not fs.exists(at(path)):
+        whole = new if fs.exists(at(f"{new}/_SUCCESS")) else old
+        if not fs.rename(at(whole), at(path)):
+            raise FileNotFoundError(path)
+    return path
 
 
 def export_named(spark: SparkSession, name: str, folder: str, layer: str, prefix: str = "dev") -> str:
@@ -77,4 +121,4 @@ def curation_csv(df: DataFrame, folder: str, day: dt.date) -> str:
 
 def partitioned_json(df: DataFrame, path: str, keys: list[str], sort: list[str]) -> None:
     """One folder per key value, rows in order within each."""
-    df.repartition(*keys).sortWithinPartitions(*keys, *sort).write.mode("overwrite").partitionBy(*keys).json(path)
+    by_key(df, path, keys, sort)
