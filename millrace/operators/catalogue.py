@@ -28,7 +28,9 @@ def versions(items: DataFrame, key: str, order: Sequence[str], first_day: str, l
 
 def conflicts(items: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """key, fields (names of those that have several values) for keys whose items disagree; null is a value."""
-    several = [F.when((F.countDistinct(c) + F.max(F.col(c).isNull().cast("int"))) > 1, F.lit(c)) for c in fields]
+    # least and greatest value tell as much as a count of distinct ones, which would take a copy of each row per field
+    differ = lambda c: (F.min(c) != F.max(c)) | (F.count(c).between(1, F.count(F.lit(1)) - 1))
+    several = [F.when(F.coalesce(differ(c), F.lit(False)), F.lit(c)) for c in fields]
     return items.groupBy(key).agg(F.array_compact(F.array(*several)).alias("fields")).where(F.size("fields") > 0)
 
 

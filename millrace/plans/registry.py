@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text
 from millrace.functions.similarity import similarity
 from millrace.held import shared_dir
-from millrace.operators import checks, curation, edits, gapfill, matching, quality, reports, scan, seed
+from millrace.operators import catalogue, checks, contracts, curation, edits, gapfill, matching, quality, reports, scan, seed
 from millrace.plans import questions, standin
 from millrace.plans.standin import AS_OF, table, with_base
 from millrace.sources import versioned
@@ -277,6 +277,61 @@ def table_counts(spark: SparkSession, d: str) -> DataFrame:
     return checks.table_counts({t: table(spark, d, t) for t in ("orders", "lineitem", "part", "supplier")})
 
 
+_CONTRACTS = {
+    "orders": lambda: contracts.Contract(not_null=["o_orderkey", "o_custkey"], unique=["o_orderkey"], accepted={"o_orderstatus": ["F", "O"]}, references={"o_custkey": ("customer", "c_custkey")}, rules={"price": F.col("o_totalprice") >= 1000}),
+    "lineitem": lambda: contracts.Contract(not_null=["l_partkey"], unique=["l_orderkey"], references={"l_orderkey": ("orders", "o_orderkey"), "l_partkey": ("part", "p_size")}, rules={"quantity": F.col("l_quantity") <= 40}),
+    "region": lambda: contracts.Contract(not_null=["r_name"], least_rows=7),
+}
+
+
+@query(
+    """SELECT 'orders' AS table_name, unnest(['not_null', 'not_null', 'accepted_values', 'rule', 'unique', 'relationships']) AS "check", unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'price', 'o_orderkey', 'o_custkey']) AS column_name,
+    unnest([(SELECT count(*) FROM orders WHERE o_orderkey IS NULL), (SELECT count(*) FROM orders WHERE o_custkey IS NULL), (SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O')), (SELECT count(*) FROM orders WHERE o_totalprice < 1000),
+    (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)), (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))]) AS failures
+    UNION ALL SELECT 'lineitem', unnest(['not_null', 'rule', 'unique', 'relationships', 'relationships']), unnest(['l_partkey', 'quantity', 'l_orderkey', 'l_orderkey', 'l_partkey']),
+    unnest([(SELECT count(*) FROM lineitem WHERE l_partkey IS NULL), (SELECT count(*) FROM lineitem WHERE l_quantity > 40), (SELECT count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1)),
+    (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)), (SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_size FROM part))])
+    UNION ALL SELECT 'region', unnest(['not_null', 'row_count']), unnest(['r_name', '']), unnest([(SELECT count(*) FROM region WHERE r_name IS NULL), (SELECT greatest(0, 7 - count(*)) FROM region)])""",
+    base=False,
+)
+def contract_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Contracts of three tables, kept and broken, in one scan of each table."""
+    return contracts.check({t: table(spark, d, t) for t in ("orders", "lineitem", "region", "customer", "part")}, {t: c() for t, c in _CONTRACTS.items()})
+
+
+@query("SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS sku_id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40)", base=False)
+def orphan_keys(spark: SparkSession, d: str) -> DataFrame:
+    return catalogue.orphans(*_named_lines(spark, d))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 9 <> 0 THEN CAST(l_partkey AS VARCHAR) END AS sku_id FROM lineitem WHERE l_partkey % 9 = 0 OR l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 40)", base=False)
+def lines_without_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that nine divides are left empty, so that they name no product."""
+    lines, known = _named_lines(spark, d)
+    return catalogue.without_orphans(lines.withColumn("sku_id", F.when(F.col("sku_id").cast("long") % 9 == 0, "").otherwise(F.col("sku_id"))), known)
+
+
+def _named_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("sku_id"))
+    return lines, table(spark, d, "part").where("p_size < 40").select(F.col("p_partkey").cast("string").alias("sku_id"))
+
+
+@query(
+    """SELECT p_brand, p_partkey, version, version = n AS is_active, CASE WHEN version = n THEN DATE '2025-01-01' + CAST(30 * (version - 1) AS INTEGER) ELSE DATE '2025-01-01' END AS created_date,
+    CASE WHEN version = n THEN DATE '2025-07-01' ELSE DATE '2025-01-01' + CAST(30 * version AS INTEGER) END AS updated_date
+    FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS version, count(*) OVER (PARTITION BY p_brand) AS n FROM part)""",
+    base=False,
+)
+def catalogue_versions(spark: SparkSession, d: str) -> DataFrame:
+    out = catalogue.versions(table(spark, d, "part").select("p_brand", "p_partkey", "p_size"), "p_brand", ["p_size", "p_partkey"], "2025-01-01", "2025-07-01")
+    return out.withColumn("version", F.col("version").cast("long")).drop("p_size")
+
+
+@query("SELECT p_type, CASE WHEN b > 1 AND s > 1 THEN 'p_brand,p_size' WHEN b > 1 THEN 'p_brand' ELSE 'p_size' END AS fields FROM (SELECT p_type, count(DISTINCT p_brand) AS b, count(DISTINCT p_size) AS s FROM part GROUP BY 1) WHERE b > 1 OR s > 1", base=False)
+def catalogue_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    return catalogue.conflicts(table(spark, d, "part"), "p_type", ["p_brand", "p_size"]).withColumn("fields", F.array_join("fields", ","))
+
+
 # ---- seeds and curation ---------------------------------------------------------------------------------------------
 
 
@@ -284,12 +339,12 @@ def _seeds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     part, k = table(spark, d, "part"), F.col("p_partkey")
     name = lambda other: F.when(k % 3 == other, "approved_seed").otherwise("auto_ref").alias("source")
     old = part.where(k % 2 == 0).select(k.cast("string").alias("sku_id"), F.col("p_name").alias("canonical_name"), name(0), F.lit("2025-01-01").alias("effective_from"), F.lit("v0.1").alias("version"))
-    new = part.where(k % 5 != 0).select(k.cast("string").alias("sku_id"), F.col("p_type").alias("canonical_name"), name(1), F.lit("2025-02-01").alias("effective_from"), F.lit("v0.2").alias("version"))
+    new = part.where((k % 5 != 0) | (k % 2 == 1)).select(k.cast("string").alias("sku_id"), F.col("p_type").alias("canonical_name"), name(1), F.lit("2025-02-01").alias("effective_from"), F.lit("v0.2").alias("version"))
     return old, new
 
 
 _SEEDS = """o AS (SELECT CAST(p_partkey AS VARCHAR) AS sku_id, p_name AS canonical_name, CASE WHEN p_partkey % 3 = 0 THEN 'approved_seed' ELSE 'auto_ref' END AS source, '2025-01-01' AS effective_from, 'v0.1' AS version FROM part WHERE p_partkey % 2 = 0),
-n AS (SELECT CAST(p_partkey AS VARCHAR) AS sku_id, p_type AS canonical_name, CASE WHEN p_partkey % 3 = 1 THEN 'approved_seed' ELSE 'auto_ref' END AS source, '2025-02-01' AS effective_from, 'v0.2' AS version FROM part WHERE p_partkey % 5 <> 0)"""
+n AS (SELECT CAST(p_partkey AS VARCHAR) AS sku_id, p_type AS canonical_name, CASE WHEN p_partkey % 3 = 1 THEN 'approved_seed' ELSE 'auto_ref' END AS source, '2025-02-01' AS effective_from, 'v0.2' AS version FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 2 = 1)"""
 
 
 @query(f"WITH {_SEEDS} SELECT * EXCLUDE (p, fresh) FROM (SELECT *, CASE source WHEN 'approved_seed' THEN 2 ELSE 1 END AS p, 0 AS fresh FROM o UNION ALL SELECT *, CASE source WHEN 'approved_seed' THEN 2 ELSE 1 END, 1 FROM n) QUALIFY row_number() OVER (PARTITION BY sku_id ORDER BY p DESC, fresh DESC) = 1", base=False)
@@ -307,6 +362,27 @@ def seed_merge_versioned(spark: SparkSession, d: str) -> DataFrame:
     return place.read()
 
 
+_APPROVED = "a AS (SELECT CAST(p_partkey AS VARCHAR) AS sku_id, p_type AS canonical_name, CASE p_partkey % 4 WHEN 0 THEN 'approved_seed' ELSE 'auto_ref' END AS source, '2025-03-01' AS effective_from, '{}' AS version FROM part WHERE p_partkey % 4 < 2)"
+
+
+def _decided(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions on all parts, in the spelling of a spreadsheet; half of them rejected."""
+    k = F.col("p_partkey")
+    decision = F.when(k % 4 == 0, " approved").when(k % 4 == 1, "AUTO ").otherwise("rejected")
+    return table(spark, d, "part").select(k.cast("string").alias("SKU ID"), F.concat(F.lit(" "), "p_type").alias("Final SKU Name"), decision.alias("Decision"))
+
+
+@query(f"WITH {_APPROVED.format('v0.9')} SELECT * FROM a", base=False)
+def seed_from_approvals(spark: SparkSession, d: str) -> DataFrame:
+    return seed.rows_from_approvals(_decided(spark, d), "2025-03-01", "v0.9")
+
+
+@query(f"WITH {_SEEDS}, {_APPROVED.format('v0.2')} SELECT * EXCLUDE (p, fresh) FROM (SELECT *, CASE source WHEN 'approved_seed' THEN 2 ELSE 1 END AS p, 0 AS fresh FROM o UNION ALL SELECT *, CASE source WHEN 'approved_seed' THEN 2 ELSE 1 END, 1 FROM a) QUALIFY row_number() OVER (PARTITION BY sku_id ORDER BY p DESC, fresh DESC) = 1", base=False)
+def seed_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The old seed with the decisions on all parts, under the next version."""
+    return seed.merged(_seeds(spark, d)[0], _decided(spark, d), "2025-03-01")
+
+
 @query("SELECT 'v0.' || (max(p_size) + 1) AS version FROM part", base=False)
 def version_bump(spark: SparkSession, d: str) -> DataFrame:
     return seed.next_version(table(spark, d, "part").select(F.concat(F.lit("v0."), F.col("p_size")).alias("version")))
@@ -341,6 +417,29 @@ def typo_collapse(spark: SparkSession, d: str) -> DataFrame:
     return curation.typo_map(table(spark, d, "part"), "p_brand", "p_name", max_distance=2, min_length=4)
 
 
+_FIXED = """t AS (SELECT p_partkey, p_brand, unnest(string_split(lower(p_name), ' ')) AS token, generate_subscripts(string_split(lower(p_name), ' '), 1) AS i FROM part), c AS (SELECT p_brand, token, count(*) AS n FROM t GROUP BY ALL),
+    m AS (SELECT x.p_brand, x.token, coalesce(arg_max(y.token, (y.n, length(y.token), y.token)) FILTER (y.token IS NOT NULL), x.token) AS representative FROM c x LEFT JOIN c y
+    ON x.p_brand = y.p_brand AND length(y.token) >= 4 AND levenshtein(x.token, y.token) <= 2 AND (y.n, length(y.token), y.token) >= (x.n, length(x.token), x.token) GROUP BY x.p_brand, x.token),
+    f AS (SELECT p_brand, p_partkey, i, representative FROM t JOIN m USING (p_brand, token))"""
+
+
+def _fixed(spark: SparkSession, d: str) -> DataFrame:
+    part, tokens = table(spark, d, "part"), F.split(F.lower("p_name"), " ")
+    return curation.apply_map(part, "p_brand", ["p_partkey"], tokens, curation.typo_map(part, "p_brand", "p_name", max_distance=2, min_length=4))
+
+
+@query(f"WITH {_FIXED} SELECT p_brand, p_partkey, string_agg(representative, ' ' ORDER BY i) AS canonical FROM f GROUP BY ALL", base=False)
+def corrected_names(spark: SparkSession, d: str) -> DataFrame:
+    """Every part's name with its tokens replaced by the ones that stand for them in its brand."""
+    return _fixed(spark, d).withColumn("canonical", F.array_join("canonical", " "))
+
+
+@query(f"WITH {_FIXED}, p AS (SELECT p_brand, representative AS r, count(DISTINCT p_partkey) AS n FROM f GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, length(r) DESC, r) AS rn FROM p) SELECT p_brand, string_agg(r, ' ' ORDER BY rn) AS canonical_tokens FROM k WHERE rn <= 5 GROUP BY 1", base=False)
+def brand_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The five tokens that most names of a brand hold, after correction."""
+    return curation.frequent_tokens(_fixed(spark, d), "p_brand", "canonical", 5).withColumn("canonical_tokens", F.array_join("canonical_tokens", " "))
+
+
 @query()
 def curation_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Names of each brand's parts, ranked and decided; per brand one group of distinct names."""
