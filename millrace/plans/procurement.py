@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace import schemas
 from millrace.functions.similarity import similarity
+from millrace.held import held
 from millrace.functions.text import charge_hint, clean_text, joined, normalize_text
 from millrace.operators.gapfill import daily_rates
 from millrace.operators.matching import best_match
@@ -58,11 +59,11 @@ def fuzzy_scores(lines: DataFrame, seed: DataFrame, vendors: DataFrame) -> DataF
 
 
 def build(spark: SparkSession, at: Inputs, first_day: str, last_day: str) -> dict[str, dict[str, DataFrame]]:
-    """Every table of every layer, lazily. Dates bound the calendar."""
+    """Every table of every layer, lazily but for the scores, which are computed once. Dates bound the calendar."""
     raw = bronze(spark, at)
     seed = readers.seed(spark, at.seed)
     orders = stage_orders(raw["raw_orders"])
-    scores = fuzzy_scores(orders, seed, raw["raw_vendor_master"])
+    scores = held(fuzzy_scores(orders, seed, raw["raw_vendor_master"]))  # every routed table reads them
     rates = daily_rates(raw["raw_exchange_rates"])
     flagged = flag_lines(orders, seed, scores.withColumnsRenamed({"order_description": "compared_order_desc", "seed_name": "compared_seed_name"}))
     routed = route(flagged)

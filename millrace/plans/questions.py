@@ -20,14 +20,16 @@ def _part(a: Column, b: Column, digits: int = 2) -> Column:
 
 
 def _joined(t: Tables, fact: str, *dims: str, when: Column | None = None) -> DataFrame:
-    """A fact with its dimensions by inner joins; rows without a key fall out. The filter on days prunes first."""
+    """A fact with its dimensions by inner joins; rows without a key fall out. The filter on days prunes first. Where fact and calendar both
+    carry the month that the facts are partitioned by (see `warehouse`), they meet on it, too, which prunes partitions."""
     keys = {"dim_date": "date_key", "dim_cost_centre": "cost_centre_key", "dim_vendor": "vendor_key", "dim_product": "product_key"}
     df = t[fact]
     for d in dims:
         dim = t[d]
         if d == "dim_date":
             dim = F.broadcast(dim.where(when) if when is not None else dim)  # a row a day
-        df = df.join(dim, keys[d])
+        month = d == "dim_date" and "month_key" in df.columns and "month_key" in dim.columns
+        df = df.join(dim, [keys[d], "month_key"] if month else keys[d])
     return df
 
 

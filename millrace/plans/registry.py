@@ -13,7 +13,7 @@ from millrace.functions import text
 from millrace.functions.similarity import similarity
 from millrace.held import shared_dir
 from millrace.operators import catalogue, checks, contracts, curation, edits, gapfill, matching, quality, reports, scan, seed
-from millrace.plans import questions, standin
+from millrace.plans import questions, standin, warehouse
 from millrace.plans.standin import AS_OF, table, with_base
 from millrace.sources import versioned
 
@@ -233,6 +233,16 @@ for (_key, _sql), _f in zip(_QUESTION_SQL.items(), questions.QUESTIONS.values(),
     QUERIES[_key] = _question
 
 
+def q5_from_warehouse(spark: SparkSession, d: str) -> DataFrame:
+    """The seasons over tables written for it: pruned by month, and joined without an exchange."""
+    stored = warehouse.write(spark, standin.tables(spark, d), f"star_{uuid.uuid4().hex}", ("dim_date", "dim_product", "fct_order_line"))
+    return questions.seasons(stored, AS_OF)
+
+
+query(name="q5_from_warehouse")(q5_from_warehouse)
+ORACLE_SQL["q5_from_warehouse"] = ORACLE_SQL["q5_seasons"]
+
+
 # ---- checks ---------------------------------------------------------------------------------------------------------
 
 
