@@ -15,7 +15,7 @@ from millrace.held import shared_dir
 from millrace.operators import catalogue, checks, contracts, curation, edits, gapfill, matching, quality, reports, scan, seed
 from millrace.plans import questions, standin, warehouse
 from millrace.plans.standin import AS_OF, table, with_base
-from millrace.sources import versioned
+from millrace.sources import sniff, versioned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -342,6 +342,36 @@ def catalogue_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return catalogue.conflicts(table(spark, d, "part"), "p_type", ["p_brand", "p_size"]).withColumn("fields", F.array_join("fields", ","))
 
 
+_FAULTY = """t AS (SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE o_orderkey % 50 WHEN 7 THEN 'n/a' WHEN 8 THEN '' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '.5' END AS price,
+    CASE o_orderkey % 70 WHEN 9 THEN '2024-02-30' WHEN 10 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day, o_orderstatus AS status FROM orders)"""
+
+
+def _faulty_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as text, with prices and days that cannot be read."""
+    k = F.col("o_orderkey")
+    price = F.when(k % 50 == 7, "n/a").when(k % 50 == 8, "").otherwise(F.concat(F.floor("o_totalprice").cast("string"), F.lit(".5")))
+    day = F.when(k % 70 == 9, "2024-02-30").when(k % 70 != 10, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return table(spark, d, "orders").select(k.cast("string").alias("key"), price.alias("price"), day.alias("day"), F.col("o_orderstatus").alias("status"))
+
+
+@query(
+    f"""WITH {_FAULTY}, n AS (SELECT count(*) AS n, count(*) FILTER (price = '') AS ep, count(*) FILTER (price = 'n/a') AS bp, count(*) FILTER (day IS NULL) AS ed, count(*) FILTER (day = '2024-02-30') AS bd FROM t)
+    SELECT unnest(['key', 'price', 'day', 'status']) AS column_name, unnest(['long', CASE WHEN bp > 0 THEN 'string' ELSE 'double' END, CASE WHEN bd > 0 THEN 'string' ELSE 'date' END, 'string']) AS type, unnest([n, n - ep, n - ed, n]) AS n, unnest([0, ep, ed, 0]) AS empty,
+    unnest([n, 0, 0, 0]) AS as_long, unnest([n, n - ep - bp, 0, 0]) AS as_double, unnest([0, 0, n - ed - bd, 0]) AS as_date FROM n""",
+    base=False,
+)
+def sniffed_types(spark: SparkSession, d: str) -> DataFrame:
+    return sniff.profile(_faulty_orders(spark, d)).select("column_name", "type", "n", "empty", "as_long", "as_double", "as_date")
+
+
+@query(f"WITH {_FAULTY} SELECT CAST(key AS BIGINT) AS key, TRY_CAST(nullif(price, '') AS DOUBLE) AS price, TRY_CAST(day AS DATE) AS day, status, concat_ws(',', CASE WHEN price = 'n/a' THEN 'price=n/a' END, CASE WHEN day = '2024-02-30' THEN 'day=2024-02-30' END) AS rescued FROM t", base=False)
+def rescued_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The same orders parsed; what cannot be read is kept as text."""
+    out = sniff.rescued(_faulty_orders(spark, d), {"key": "long", "price": "double", "day": "date"})
+    lost = F.transform(F.map_entries("_rescued"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return out.withColumn("rescued", F.array_join(lost, ",")).drop("_rescued")
+
+
 # ---- seeds and curation ---------------------------------------------------------------------------------------------
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,31 +15,48 @@ VENDOR_WORDS = ("Tech Solutions", "Office Supply", "Computer Electronics", "Conn
 PRODUCT_WORDS = ("keyboard", "monitor 4k", "webcam", "headset wireless", "cable usb-c", "adapter", "drive 1tb", "mouse", "speaker", "connector", "ring", "hdmi mini")
 
 
-@functools.lru_cache(maxsize=64)
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Known by session and name, so that a plan with several uses of a table looks up its files and schema once. The
-    tables stand still."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+class Frames(dict):
+    """The tables below a folder, each looked up when it is first asked for: a plan with several uses of a table reads its files' list and
+    schema once. Made anew for each plan, so that a table that has changed since is seen."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self[name]
+
+
+Place = str | Frames
+
+
+def frames(spark: SparkSession, d: Place) -> Frames:
+    return d if isinstance(d, Frames) else Frames(spark, d)
+
+
+def table(spark: SparkSession, d: Place, name: str) -> DataFrame:
+    return frames(spark, d)[name]
 
 
 def _pick(words: tuple[str, ...], key: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]), (key % len(words) + 1).cast("int"))
 
 
-def vendors(spark: SparkSession, d: str) -> DataFrame:
+def vendors(spark: SparkSession, d: Place) -> DataFrame:
     s, k = table(spark, d, "supplier"), F.col("s_suppkey")
     name = F.concat("s_name", F.lit(" "), _pick(VENDOR_WORDS, k))
     code = F.when(F.col("s_nationkey") % 3 == 0, "AU").when(F.col("s_nationkey") % 3 == 1, "US").otherwise("XX")
     return s.select(k.cast("string").alias("vendor_id"), name.alias("vendor_name"), code.alias("country_code"), F.col("s_acctbal").alias("credit_limit"))
 
 
-def cost_centres(spark: SparkSession, d: str) -> DataFrame:
+def cost_centres(spark: SparkSession, d: Place) -> DataFrame:
     n = F.col("n_nationkey")
     code = F.when(n % 3 == 0, "AU").when(n % 3 == 1, "US").otherwise("XX")
     return table(spark, d, "nation").select(F.concat(F.lit("CC_"), n).alias("cost_centre_id"), F.col("n_name").alias("cost_centre_name"), code.alias("country_code"))
 
 
-def products(spark: SparkSession, d: str) -> DataFrame:
+def products(spark: SparkSession, d: Place) -> DataFrame:
     """Products with their texts cleaned and scored: once per product, not once per line."""
     k = F.col("p_partkey")
     df = table(spark, d, "part").select(k, F.concat("p_name", F.lit(" "), _pick(PRODUCT_WORDS, k)).alias("product_name"), "p_type")
@@ -51,7 +66,7 @@ def products(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumn("similarity", F.round(1 - F.levenshtein(clean, known) / F.greatest(F.length(clean), F.length(known)), 6))
 
 
-def seed(spark: SparkSession, d: str) -> DataFrame:
+def seed(spark: SparkSession, d: Place) -> DataFrame:
     """Nine in ten products; some with a name that does not match."""
     k = F.col("p_partkey")
     return products(spark, d).where(k % 10 != 0).select(
@@ -59,7 +74,7 @@ def seed(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 3 == 0, "auto_ref").otherwise("approved_seed").alias("source"), F.lit("2025-01-01").alias("effective_from"), F.lit("v0.1").alias("version"))
 
 
-def raw_rates(spark: SparkSession, d: str) -> DataFrame:
+def raw_rates(spark: SparkSession, d: Place) -> DataFrame:
     days = table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("date")).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
     step = F.col("n") % 50
     direct = days.where(F.dayofyear("date") % 3 == 0).select("date", F.lit("USD").alias("from_currency"), F.lit("AUD").alias("to_currency"), (1.25 + step / 64.0).alias("exchange_rate"))
@@ -67,8 +82,9 @@ def raw_rates(spark: SparkSession, d: str) -> DataFrame:
     return direct.unionByName(inverse)
 
 
-def order_lines(spark: SparkSession, d: str) -> DataFrame:
+def order_lines(spark: SparkSession, d: Place) -> DataFrame:
     """Cleaned lines with scores. Fact tables meet on their keys; a line's day, product and vendor come along."""
+    d = frames(spark, d)
     line, part, s = table(spark, d, "lineitem"), F.col("l_partkey"), F.col("l_suppkey")
     df = line.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     df = df.join(products(spark, d), part == F.col("p_partkey")).join(table(spark, d, "supplier"), s == F.col("s_suppkey"))
@@ -86,11 +102,12 @@ def order_lines(spark: SparkSession, d: str) -> DataFrame:
         F.when(matched, s.cast("string")).alias("matched_vendor_id"), F.when(matched, F.col("s_name")).alias("matched_vendor_name"), F.when(seeded, F.when(matched, 1.0).otherwise(0.0)).alias("vendor_fuzz_score"))
 
 
-def flagged(spark: SparkSession, d: str) -> DataFrame:
+def flagged(spark: SparkSession, d: Place) -> DataFrame:
+    d = frames(spark, d)
     return flag_lines(order_lines(spark, d), seed(spark, d))
 
 
-def rates(spark: SparkSession, d: str) -> DataFrame:
+def rates(spark: SparkSession, d: Place) -> DataFrame:
     return daily_rates(raw_rates(spark, d))
 
 
@@ -104,9 +121,9 @@ def variance_lines(valid: DataFrame) -> DataFrame:
 class Tables(dict):
     """Dimensions, routed lines and facts by name, each built when it is first asked for."""
 
-    def __init__(self, spark: SparkSession, d: str):
+    def __init__(self, spark: SparkSession, d: Place):
         super().__init__()
-        self.spark, self.d = spark, d
+        self.spark, self.d = spark, frames(spark, d)
 
     def __missing__(self, name: str) -> DataFrame:
         spark, d = self.spark, self.d
@@ -127,7 +144,7 @@ class Tables(dict):
         return self[name]
 
 
-def tables(spark: SparkSession, d: str) -> Tables:
+def tables(spark: SparkSession, d: Place) -> Tables:
     return Tables(spark, d)
 
 
