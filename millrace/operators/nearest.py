@@ -27,6 +27,8 @@ from millrace.operators.ranks import numbered
 
 #: Score from which trigrams find every pair; pairs scored for a lower bound; candidates of a block and texts of a share.
 SURE, TRIED, BLOCK, SHARE = 90.0, 3, 2048, 512
+#: Blocks whose letters are sent to the tasks that deal out texts; of more, texts meet every block.
+MOST_BLOCKS = 10_000
 #: Classes of letters, and of pairs of letters, whose counts bound a score.
 LETTERS, PAIRS = 64, 1024
 
@@ -176,30 +178,12 @@ def _scores(batches):
 def in_blocks(left: DataFrame, known: DataFrame, block: int = BLOCK) -> DataFrame:
     """s, c, rank, score, scored (pairs looked at): the best of all candidates. left: s with c, rank and score of the best so far, or
     nulls; known: c and rank, held."""
-    spark = left.sparkSession
     blocks = max(1, -(-known.count() // block))
     # like lengths and letters come together
     shape = [F.length("c"), F.array_join(F.array_sort(F.array_distinct(F.split("c", ""))), ""), F.col("c")]
     placed = held(numbered(known, {"place": shape}).select("c", "rank", F.floor((F.col("place") - 1) / block).cast("long").alias("b")))
-    envelopes = placed.groupBy("b").agg(F.collect_list("c").alias("c")).mapInPandas(_envelope, "b long, shortest int, most array<int>")
-    # a row per block of candidates reaches every task that deals out texts
-    frames = spark.sparkContext.broadcast([(r.b, r.shortest, r.most) for r in envelopes.collect()])
     met = left.select("s", "c", "rank", "score")
-
-    def deal(batches):
-        b = np.array([x[0] for x in frames.value])
-        m, most = np.array([x[1] for x in frames.value]), np.array([x[2] for x in frames.value], np.int16).reshape(-1, LETTERS).T
-        for pdf in batches:
-            texts = pdf["s"].tolist()
-            if not texts or not len(b):
-                continue
-            n = np.array([len(t) for t in texts])
-            i, j = np.nonzero(bounds(letter_counts(texts), n, most, m) >= pdf["score"].fillna(-1.0).to_numpy()[:, None])
-            out = pdf.iloc[i].copy()
-            out["b"] = b[j]
-            yield out
-
-    dealt = held(met.mapInPandas(deal, "s string, c string, rank long, score double, b long"))
+    dealt = held(_dealt(met, placed) if blocks <= MOST_BLOCKS else met.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))))
     shares = dealt.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / min(SHARE, block)).alias("shares"))
     dealt = dealt.join(shares, "b").withColumn("share", F.pmod(F.xxhash64("s"), F.col("shares"))).select("b", "share", "s", "c", "rank", "score")
     sent = placed.join(shares, "b").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).select("b", "share", "c", "rank")
@@ -222,6 +206,27 @@ def in_blocks(left: DataFrame, known: DataFrame, block: int = BLOCK) -> DataFram
     return held(found.groupBy("s").agg(best, F.sum("scored").alias("scored")).select("s", "b.*", "scored"))
 
 
+def _dealt(met: DataFrame, placed: DataFrame) -> DataFrame:
+    """met with b: a row for each block whose letters taken together can reach the text's score."""
+    envelopes = placed.groupBy("b").agg(F.collect_list("c").alias("c")).mapInPandas(_envelope, "b long, shortest int, most array<int>")
+    frames = met.sparkSession.sparkContext.broadcast([(r.b, r.shortest, r.most) for r in envelopes.collect()])  # at most MOST_BLOCKS rows
+
+    def deal(batches):
+        b = np.array([x[0] for x in frames.value])
+        m, most = np.array([x[1] for x in frames.value]), np.array([x[2] for x in frames.value], np.int16).reshape(-1, LETTERS).T
+        for pdf in batches:
+            texts = pdf["s"].tolist()
+            if not texts or not len(b):
+                continue
+            n = np.array([len(t) for t in texts])
+            i, j = np.nonzero(bounds(letter_counts(texts), n, most, m) >= pdf["score"].fillna(-1.0).to_numpy()[:, None])
+            out = pdf.iloc[i].copy()
+            out["b"] = b[j]
+            yield out
+
+    return met.mapInPandas(deal, "s string, c string, rank long, score double, b long")
+
+
 def _envelope(batches):
     for pdf in batches:
         rows = [(b, min(map(len, c)), letter_counts(list(c)).max(1).tolist()) for b, c in zip(pdf["b"], pdf["c"], strict=True)]

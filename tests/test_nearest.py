@@ -100,6 +100,7 @@ def test_best_match_against_all_pairs(spark, seed, monkeypatch):
     spelling, without letters, and of few."""
     monkeypatch.setattr(nearest, "SHARE", 8)
     monkeypatch.setattr(matching, "BLOCK", 16)
+    monkeypatch.setattr(nearest, "MOST_BLOCKS", 10_000 if seed == 6 else 1)
     rng = random.Random(seed)
     vendors = [(str(k), v) for k, v in enumerate(names(rng, 90) + ["", "a", "zz top", "Zz  Top", "é"])]
     asked = [spoiled(rng, rng.choice(vendors)[1]) for _ in range(120)] + [text(rng, "qwxyz ", 9) for _ in range(30)] + [None, " ", "VM", "ab"]
