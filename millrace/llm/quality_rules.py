@@ -4,7 +4,7 @@ DataFrame functions only. Each text gives a few statistics; documents that pass
 language and source by the minimum covariance determinant (MCD): from two deterministic starts, concentration steps
 keep the three quarters of a group that lie nearest to the current estimate and estimate anew from them; of the
 two results the one with the smaller determinant counts. A document is rejected if its Mahalanobis distance from that
-estimate is extreme.
+estimate is extreme among the distances of the same group.
 
 The statistics enter as integers (thousandths), so that sums are exact and the verdicts do not depend on the order
 in which tasks finish; quantiles are taken over rounded values, so that their state has a fixed bound.
@@ -24,11 +24,13 @@ MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
-#: Thousandths of: log words, mean word length, log symbol rate, log duplicate-line rate, log repetition rate.
+#: Thousandths of: log words, log word length, and roots of the rates of symbols per character, of equal lines per word and of
+#: repetitions (six words each, the fewest that two equal windows cover apart) per word. Roots make counts about equally uncertain.
 STATISTICS = ("v_words", "v_length", "v_symbols", "v_lines", "v_repeats")
-#: Spread, in thousandths, whose square is added to the variance of every group, wide ones too; keeps covariances regular. Chosen,
-#: like EXTREME, by the labels of check_s.
-FLOORS = (700, 350, 250, 400, 400)
+#: Resolution of each statistic, whose square is added to every group's variance, so that statistics that hardly vary in a group leave
+#: its covariance regular: one percent of the first two; and of a root of a rate what chance makes of a single event (half a unit of a
+#: root of a count) in the shortest text that the base rules let pass: 500 / sqrt(50 words), or sqrt(250 characters).
+FLOORS = (10, 10, 32, 71, 71)
 #: Share of a group that a concentration step keeps, and what makes its covariance consistent at the normal
 #: distribution for five statistics: share / P(chi2 with 7 degrees < share's quantile of chi2 with 5).
 CORE_SHARE, CONSISTENCY = 0.75, 1.41
@@ -36,8 +38,9 @@ STEPS = 3
 #: Groups with fewer rows join the other small groups of their language; where these are fewer together, the whole language
 #: is the measure, and where that has fewer, all rows are.
 MIN_GROUP = 60
-#: Squared distance that counts as extreme; far beyond chi-squared with 5 degrees, whose tail statistics of text exceed.
-EXTREME = 32.0
+#: The cube root of a squared distance is about normal. Its median and upper quartile in a group give that group's mean and spread,
+#: which are at least those of chi-squared with 5 degrees; more than so many spreads above the mean is extreme.
+CUBE_MEAN, CUBE_SPREAD, QUARTILE, EXTREME = 1.634, 0.36, 0.6745, 4.0
 #: Positions share a long with their window's hash up to this many words; beyond, they are sorted as pairs.
 PACKED_BITS = 21
 
@@ -87,10 +90,10 @@ def _vector(d: DataFrame) -> DataFrame:
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     return d.withColumns({
         "v_words": _thousandths(F.log(n.cast("double"))),
-        "v_length": _thousandths(F.least(F.col("word_chars") / n, F.lit(60.0))),
-        "v_symbols": _thousandths(F.log1p(50 * F.col("n_symbols") / chars)),
-        "v_lines": _thousandths(F.log1p(100 * F.col("n_dup_lines") / n)),
-        "v_repeats": _thousandths(F.log1p(10 * F.col("n_repeat_words") / n)),
+        "v_length": _thousandths(F.log(chars / n)),
+        "v_symbols": _thousandths(F.sqrt(F.col("n_symbols") / chars)),
+        "v_lines": _thousandths(F.sqrt(F.col("n_dup_lines") / n)),
+        "v_repeats": _thousandths(F.sqrt(F.col("n_repeat_words") / (6 * n))),
     })
 
 
@@ -103,6 +106,11 @@ def _distance(d: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, [(1 if i == j else 2) * F.col(f"p_{i}_{j}") * x[i] * x[j] for i in range(len(x)) for j in range(i + 1)])
 
 
+def _cube_root(d2: Column) -> Column:
+    """Of a squared distance, to thousandths: few different values, whatever the rows, and in the order of the distances."""
+    return F.round(F.cbrt(F.greatest(d2, F.lit(0.0))), 3)
+
+
 def _estimate(sums: DataFrame, keys: list[str], consistency: float) -> DataFrame:
     """Means, precision matrix and log determinant from counts n, sums s_i and cross sums s_i_j, by Cholesky's method."""
     k = len(STATISTICS)
@@ -128,44 +136,51 @@ def _sums(d: DataFrame, keys: list[str]) -> DataFrame:
     return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{i}") for i, c in enumerate(v)], *[F.sum(F.col(v[i]) * F.col(v[j])).alias(f"s_{i}_{j}") for i in range(len(v)) for j in range(i + 1)])
 
 
-def _quantiles(d: DataFrame, keys: list[str], columns: list[tuple[str, str]], q: float) -> DataFrame:
+def _quantiles(d: DataFrame, keys: list[str], columns: list[tuple[str, str]], *q: float) -> DataFrame:
     """Exact quantiles of rounded columns. Equal values are counted in the tasks first, so that a group of any size
-    reaches the task of its quantile as a bounded list of values and counts."""
+    reaches the task of its quantile as a bounded list of values and counts. Several q give arrays."""
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("v")) for k, (c, _) in enumerate(columns)]))
     counts = d.select(*keys, pairs.alias("x")).groupBy(*keys, "x.k", "x.v").agg(F.count(F.lit(1)).alias("n"))
-    by = [F.expr(f"percentile(v, {q}, n) filter (where k = {k})").alias(name) for k, (_, name) in enumerate(columns)]
+    at = q[0] if len(q) == 1 else f"array({', '.join(map(str, q))})"
+    by = [F.expr(f"percentile(v, {at}, n) filter (where k = {k})").alias(name) for k, (_, name) in enumerate(columns)]
     return counts.groupBy(*keys).agg(*by)
 
 
 def mcd(rows: DataFrame) -> DataFrame:
-    """rows: GROUP and STATISTICS. One estimate per group: means, precision matrix, log determinant.
+    """rows: GROUP and STATISTICS. One estimate per group: means, precision matrix, log determinant, and cutoff, the squared
+    distance beyond which a row is extreme.
 
     Tables of a row or two per group go to the rows by broadcast while they are small, so that no group's rows come together."""
     k = len(STATISTICS)
     keys = [*GROUP, "start"]
     classical = _estimate(_sums(rows, list(GROUP)), list(GROUP), 1.0).withColumn("start", F.lit(0))
-    # the other start: medians and median absolute deviations, of values rounded to fiftieths
-    coarse = [(F.round(F.col(v) / 20) * 20).alias(v) for v in STATISTICS]
+    # the other start: medians and median absolute deviations, of values rounded to two hundredths
+    coarse = [(F.round(F.col(v) / 5) * 5).alias(v) for v in STATISTICS]
     mid = _quantiles(rows.select(*GROUP, *coarse), list(GROUP), [(v, f"m_{i}") for i, v in enumerate(STATISTICS)], 0.5)
     mid = cut(mid)
-    off = rows.join(small(mid), list(GROUP)).select(*GROUP, *[f"m_{i}" for i in range(k)], *[(F.round(F.abs(F.col(v) - F.col(f"m_{i}")) / 20) * 20).alias(v) for i, v in enumerate(STATISTICS)])
+    off = rows.join(small(mid), list(GROUP)).select(*GROUP, *[f"m_{i}" for i in range(k)], *[(F.round(F.abs(F.col(v) - F.col(f"m_{i}")) / 5) * 5).alias(v) for i, v in enumerate(STATISTICS)])
     mad = _quantiles(off, list(GROUP), [(v, f"a_{i}") for i, v in enumerate(STATISTICS)], 0.5).join(mid, list(GROUP))
     robust = mad.select(*GROUP, *[f"m_{i}" for i in range(k)],
                         *[(1 / (F.pow(1.4826 * F.col(f"a_{i}"), 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"p_{i}_{j}") for i in range(k) for j in range(i + 1)],
                         F.lit(0.0).alias("log_det"), F.lit(1).alias("start"))
     now = cut(classical.unionByName(robust))
     for _ in range(STEPS):
-        near = rows.join(small(now), list(GROUP)).withColumn("d2", F.least(F.round(_distance(now), 2), F.lit(1000.0)))
-        bound = cut(_quantiles(near, keys, [("d2", "core")], CORE_SHARE))
-        core = near.join(small(bound), keys).where(F.col("d2") <= F.col("core"))
+        near = rows.join(small(now), list(GROUP)).withColumn("d", _cube_root(_distance(now)))
+        bound = cut(_quantiles(near, keys, [("d", "core")], CORE_SHARE))
+        core = near.join(small(bound), keys).where(F.col("d") <= F.col("core"))
         now = cut(_estimate(_sums(core, keys), keys, CONSISTENCY))
     names = [c for c in now.columns if c not in keys]
-    return now.groupBy(*GROUP).agg(F.min(F.struct("log_det", "start", *[n for n in names if n != "log_det"])).alias("e")).select(*GROUP, "e.*").drop("start")
+    best = cut(now.groupBy(*GROUP).agg(F.min(F.struct("log_det", "start", *[n for n in names if n != "log_det"])).alias("e")).select(*GROUP, "e.*").drop("start"))
+    far = _quantiles(rows.join(small(best), list(GROUP)).select(*GROUP, _cube_root(_distance(best)).alias("d")), list(GROUP), [("d", "q")], 0.5, 0.75)
+    spread = F.greatest((F.col("q")[1] - F.col("q")[0]) / QUARTILE, F.lit(CUBE_SPREAD))
+    far = far.select(*GROUP, F.pow(F.greatest(F.col("q")[0], F.lit(CUBE_MEAN)) + EXTREME * spread, F.lit(3.0)).alias("cutoff"))
+    return best.join(far, list(GROUP))
 
 
 def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row per input row: `id_col`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and
-    distance (squared, from the estimate that holds for the row's language and source; null only if the base rules reject it).
+    """One row per input row: `id_col`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
+    distance (squared, from the estimate that holds for the row's language and source; null only if the base rules reject it) and
+    cutoff (the distance beyond which that estimate's rows are rejected).
 
     Words are maximal runs of anything but ASCII blanks; a null text has none, so it fails. Very long texts are taken
     whole, by array functions. Null languages and sources are groups like any other, a null id is a row like any other, equal rows get equal verdicts. Documents that
@@ -175,7 +190,7 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     no rows.
     """
     out = _judged(df, id_col, text_col, lang_col, source_col, {})
-    return out.select(F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+    return out.select(F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", "cutoff")
 
 
 def _judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, carry: dict[str, Column]) -> DataFrame:
@@ -200,7 +215,7 @@ def _judged(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col
     rules = cut(groups.select("g_lang", "g0", "measure").join(estimates, "measure").drop("measure"))
     out = d.join(small(rules), ["g_lang", "g0"], "left")
     out = out.withColumn("distance", F.when(~F.col("base_failed"), _distance(out)))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= EXTREME))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("cutoff"), F.lit(True)))
 
 
 def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

@@ -187,13 +187,13 @@ def mcd_reference(x, steps, floors):
     def distance(mean, cov):
         return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
 
-    coarse = np.floor(x / 20 + 0.5) * 20
+    coarse = np.floor(x / 5 + 0.5) * 5
     mid = np.percentile(coarse, 50, axis=0)
-    mad = np.percentile(np.floor(np.abs(x - mid) / 20 + 0.5) * 20, 50, axis=0)
+    mad = np.percentile(np.floor(np.abs(x - mid) / 5 + 0.5) * 5, 50, axis=0)
     best = None
     for mean, cov in (estimate(x, 1.0), (mid, np.diag((1.4826 * mad) ** 2 + np.array(floors, float) ** 2))):
         for _ in range(steps):
-            d = np.minimum(np.round(distance(mean, cov), 2), 1000)
+            d = np.round(np.cbrt(distance(mean, cov)), 3)
             mean, cov = estimate(x[d <= np.percentile(d, 75)], quality_rules.CONSISTENCY)
         det = np.linalg.slogdet(cov)[1]
         if best is None or det < best[0]:

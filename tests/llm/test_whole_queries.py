@@ -67,7 +67,7 @@ def test_rules(spark):
     vector = {}
     for d, (n, chars, symbols, lines, repeats, failed) in base.items():
         if not failed:
-            vector[d] = [thousandths(v) for v in (math.log(n), min(chars / n, 60), math.log1p(50 * symbols / max(chars, 1)), math.log1p(100 * lines / n), math.log1p(10 * repeats / n))]
+            vector[d] = [thousandths(v) for v in (math.log(n), math.log(chars / n), math.sqrt(symbols / chars), math.sqrt(lines / n), math.sqrt(repeats / (6 * n)))]
     place = {r.doc_id: (r.lang, r.source) for r in rows}
     size = collections.Counter(place[d] for d in vector)
     pooled = lambda d: place[d] if size[place[d]] >= q.MIN_GROUP else (place[d][0], "*")
@@ -77,6 +77,12 @@ def test_rules(spark):
         m: [d for d in vector if m == ("+", "+") or (m == (place[d][0], "+")) or m == pooled(d)] for m in set(measure.values())
     }
     estimate = {m: mcd_reference(np.array([vector[d] for d in ds], float), q.STEPS, q.FLOORS) for m, ds in holds.items()}
+    cutoff = {}
+    for m, ds in holds.items():
+        _, mean, cov = estimate[m]
+        off = np.array([vector[d] for d in ds], float) - mean
+        mid, upper = np.percentile(np.round(np.cbrt(np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off)), 3), [50, 75])
+        cutoff[m] = (max(mid, q.CUBE_MEAN) + q.EXTREME * max((upper - mid) / q.QUARTILE, q.CUBE_SPREAD)) ** 3
     got = {r.doc_id: r for r in queries.op8_quality_rules(spark, SF).collect()}
     assert list(next(iter(got.values())).asDict())[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     assert {d: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for d, r in got.items()} == base
@@ -88,5 +94,6 @@ def test_rules(spark):
         off = np.array(vector[d], float) - mean
         want = off @ np.linalg.inv(cov) @ off
         assert r.distance == pytest.approx(want, rel=1e-3, abs=1e-3)
-        assert r.kept == (r.distance <= q.EXTREME)
+        assert r.cutoff == pytest.approx(cutoff[measure[d]], rel=1e-2)
+        assert r.kept == (r.distance <= r.cutoff)
     assert {r.kept for r in got.values() if not r.base_failed} == {True, False}
