@@ -5,13 +5,16 @@ hashed to a row of an embedding table, the rows are averaged over the whole text
 probability per language. Both tables are trained together by stochastic gradient descent. As everything before the
 softmax is linear, the trained tables fold into one table of per-subword scores for prediction.
 
-The temperature and the rejection level are calibrated on a part of the sample that training leaves out.
+Temperature and rejection are calibrated on a part of the sample that training leaves out. A softmax is sure of texts that are
+like none it has learned, so a text must also be typical of the language it is given: the mean log frequency of its subwords among
+those of that language's sample. Both levels are the highest that lose few right answers; how many texts of shuffled letters and of
+held-back languages they reject is measured on the same part, and kept in `Model.rejects`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,8 @@ MOST_ROWS = 20_000
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 ORDERS = (2, 3, 4)
-#: Share of right answers that may be rejected for low confidence.
-REJECTED_SHARE = 0.01
+#: Share of right answers that may be rejected: half for a low probability, half for subwords that are not typical.
+REJECTED_SHARE = 0.005
 
 LETTER = regex.compile(r"\p{L}")
 _FOLD = np.full(256, 32, np.uint8)
@@ -81,32 +84,52 @@ class Model:
     bias: np.ndarray
     temperature: float
     reject_below: float
+    frequency: np.ndarray  # as scores: log frequency of a subword in a language's sample
+    typical_from: float = -np.inf
+    rejects: dict[str, float] = field(default_factory=dict)  # shares of made-up wrong texts that the levels reject
 
-    def logits(self, texts: list[bytes]) -> np.ndarray:
+    def means(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Logits, and how typical a text's subwords are, by text and language."""
         if len(texts) == 1 and len(texts[0]) > PASS_BYTES:
-            return self._long(texts[0])
+            return self._long_means(texts[0])
         hashes, counted, starts = subwords(texts)
-        total = np.zeros((len(texts), len(self.languages)))
+        tables = (self.scores, self.frequency)
+        total = [np.zeros((len(texts), len(self.languages))) for _ in tables]
         n = np.zeros(len(texts), np.int64)
         for h, c in zip(hashes, counted, strict=True):
             at = np.where(c, h, BUCKETS)
-            total += np.add.reduceat(np.take(self.scores, at, axis=0), starts, axis=0, dtype=np.float64)
+            for t, values in zip(total, tables, strict=True):
+                t += np.add.reduceat(np.take(values, at, axis=0), starts, axis=0, dtype=np.float64)
             n += np.add.reduceat(c, starts, dtype=np.int64)
-        return total / np.maximum(n, 1)[:, None] + self.bias
+        n = np.maximum(n, 1)[:, None]
+        return total[0] / n + self.bias, total[1] / n
 
-    def _long(self, text: bytes) -> np.ndarray:
-        """Sums over pieces: the mean over the text is the same as in one go."""
-        total, n = np.zeros(len(self.languages)), 0
+    def _long_means(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over pieces: the means over the text are the same as in one go."""
+        count = np.zeros(BUCKETS, np.int64)
         for flat in _pieces(text):
             for h, c in zip(*_grams(flat), strict=True):
-                count = np.bincount(h[c], minlength=BUCKETS)
-                total += count @ self.scores[:BUCKETS].astype(np.float64)
-                n += int(count.sum())
-        return (total / max(n, 1) + self.bias)[None]
+                count += np.bincount(h[c], minlength=BUCKETS)
+        n = max(int(count.sum()), 1)
+        logits, typical = (count @ values[:BUCKETS].astype(np.float64) / n for values in (self.scores, self.frequency))
+        return (logits + self.bias)[None], typical[None]
+
+    def _long(self, text: bytes) -> np.ndarray:
+        return self._long_means(text)[0]
+
+    def logits(self, texts: list[bytes]) -> np.ndarray:
+        return self.means(texts)[0]
 
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
         return _softmax(self.logits(texts) / self.temperature)
 
+    def answers(self, logits: np.ndarray, typical: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the best language, its probability and whether it is rejected, from what `means` gives."""
+        p = _softmax(logits / self.temperature)
+        best = p.argmax(1)
+        at = np.arange(len(p))
+        return best, p[at, best], (p[at, best] < self.reject_below) | (typical[at, best] < self.typical_from)
+
 
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))
@@ -153,22 +176,47 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 4.0, seed:
             push = np.stack([np.bincount(inv, step[:, d], len(uniq)) for d in range(DIMENSIONS)], 1)
             table[uniq] += push.astype(np.float32)
     scores = np.vstack([table @ weights, np.zeros((1, len(languages)), np.float32)]).astype(np.float32)
-    model = Model(languages, scores, bias.astype(np.float64), 1.0, 0.0)
+    seen = np.zeros((BUCKETS + 1, len(languages)))
+    for k in fit:
+        np.add.at(seen[:, y[k]], bags[k][0], bags[k][1])
+    frequency = np.log((seen + 0.5 / BUCKETS) / (seen.sum(0) + 0.5)).astype(np.float32)
+    frequency[BUCKETS] = 0
+    model = Model(languages, scores, bias.astype(np.float64), 1.0, 0.0, frequency)
     if len(kept_out):
-        logits = model.logits([texts[k] for k in kept_out])
-        right = y[kept_out]
-        at = np.arange(len(kept_out))
-        # never sharper than the sample can tell: a rule of succession keeps the best temperature finite
-        grid = np.geomspace(0.02, 20, 60)
-        loss = [-np.mean(np.log(0.999 * _softmax(logits / t)[at, right] + 0.001 / len(languages))) for t in grid]
-        model.temperature = float(grid[int(np.argmin(loss))])
-        p = _softmax(logits / model.temperature)
-        sure = p.max(1)[p.argmax(1) == right]
-        if len(sure):
-            model.reject_below = float(min(np.quantile(sure, REJECTED_SHARE), 0.9))
+        _calibrate(model, [texts[k] for k in kept_out], y[kept_out], rng)
     return model
 
 
+def _calibrate(model: Model, texts: list[bytes], right: np.ndarray, rng: np.random.Generator) -> None:
+    """Sets temperature, levels and measured rejections from texts that training has left out and their languages."""
+    logits, typical = model.means(texts)
+    at = np.arange(len(texts))
+    grid = np.geomspace(1e-4, 100, 121)
+    loss = np.array([-np.mean(np.log(0.999 * _softmax(logits / t)[at, right] + 0.001 / len(model.languages))) for t in grid])
+    # so many right answers do not rule out an error in the next one (rule of succession): no sharper than that
+    model.temperature = float(grid[np.flatnonzero(loss <= loss.min() + 1 / (len(texts) + 2))[-1]])
+    best, p, _ = model.answers(logits, typical)
+    ok = best == right
+    if not ok.any():
+        return
+    model.reject_below = float(np.quantile(p[ok], REJECTED_SHARE / 2))
+    model.typical_from = float(np.quantile(typical[at, best][ok], REJECTED_SHARE / 2))
+    share = lambda x: float(model.answers(*x)[2].mean())
+    model.rejects["shuffled"] = share(model.means([_shuffled(t, rng) for t in texts]))
+    if len(model.languages) > 2:
+        others = logits.copy()
+        others[at, right] = -np.inf
+        model.rejects["held_back"] = share((others, typical))
+
+
+def _shuffled(text: bytes, rng: np.random.Generator) -> bytes:
+    """The text with its letters dealt anew to the places between blanks."""
+    flat = np.frombuffer(text, np.uint8).copy()
+    inner = np.flatnonzero(flat > 32)
+    flat[inner] = rng.permutation(flat[inner])
+    return flat.tobytes()
+
+
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """Learns from about `rows_per_language` labelled rows of each language, whole texts, chosen by a hash of the id, of
     together at most `sample_bytes`: a longer text than fits its language's share is not learned from.
@@ -180,7 +228,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
 
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id_col`, lang_pred, score (calibrated probability of lang_pred) and rejected (score under the calibrated level).
+    """`id_col`, lang_pred, score (calibrated probability of lang_pred) and rejected (score, or how typical the
+    text's subwords are of lang_pred, under its calibrated level; lang_pred and score stand all the same).
 
     A text that is null or has no letter is `und` with score 0, as is every text if there is no model. Rows, repeated
     ones too, come out one for one; equal probabilities go to the first language in order. A very long text is summed up
@@ -197,10 +246,9 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 own = [k for k in range(lo, hi) if texts[k] is not None and LETTER.search(texts[k])]
                 if not own:
                     continue
-                p = m.probabilities([texts[k].encode() for k in own])
-                best = p.argmax(1)
-                for k, c, s in zip(own, best.tolist(), p[np.arange(len(own)), best].tolist(), strict=True):
-                    langs[k], scores[k], low[k] = m.languages[c], s, s < m.reject_below
+                best, p, no = m.answers(*m.means([texts[k].encode() for k in own]))
+                for k, c, s, r in zip(own, best.tolist(), p.tolist(), no.tolist(), strict=True):
+                    langs[k], scores[k], low[k] = m.languages[c], s, r
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs), pa.array(scores, pa.float64()), pa.array(low)], names=["id", "lang_pred", "score", "rejected"])
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -13,9 +13,38 @@ SF = "/root/testdata/sf0.1"
 def test_language_accuracy(spark):
     out = queries.op1_language_id(spark, SF)
     truth = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
-    got = out.join(truth, "doc_id").where("held_out").select((F.col("lang") == F.col("lang_pred")).cast("int").alias("ok"), "score").agg(F.avg("ok"), F.avg("score"), F.count("*")).first()
+    got = out.join(truth, "doc_id").where("held_out").select((F.col("lang") == F.col("lang_pred")).cast("int").alias("ok"), "score", "rejected").agg(F.avg("ok"), F.avg("score"), F.count("*"), F.avg(F.when(F.col("ok") == 1, F.col("rejected").cast("int")))).first()
     assert got[2] > 2000 and got[0] > 0.97
     assert abs(got[0] - got[1]) < 0.05  # calibrated
+    assert got[3] <= 0.01  # right answers that are rejected
+
+
+def test_junk_and_other_languages_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where(~held_out())
+    model = langid.fit(docs)
+    assert 2e-4 < model.temperature < 50 and model.rejects["shuffled"] > 0.99 and model.rejects["held_back"] > 0.9
+    rng = np.random.default_rng(3)
+    junk = [" ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), rng.integers(3, 9))) for _ in range(100)) for _ in range(100)]
+    unseen = [
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita",
+        "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему",
+        "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。",
+        "Det var så dejligt ude på landet; det var sommer, kornet stod gult, havren grøn",
+    ]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(junk + unseen)], "doc_id long, text string")
+    got = langid.predict(frame, model).collect()
+    assert all(r.rejected and r.lang_pred in model.languages for r in got)
+    left_out = langid.fit(docs.where("lang != 'fr'"))
+    french = langid.predict(docs.where("lang = 'fr'"), left_out).agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+    assert french > 0.95
+
+
+def test_long_texts_are_judged_as_whole_ones(monkeypatch):
+    model = langid.train([("the and of with that was", "en"), ("der die das und nicht mit", "de")] * 20)
+    text = ("the quick brown fox " * 500).encode()
+    whole = model.means([text])
+    monkeypatch.setattr(langid, "PASS_BYTES", 1000)
+    assert all(np.allclose(a, b) for a, b in zip(whole, model.means([text]), strict=True))
 
 
 def test_quality_accuracy(spark):
