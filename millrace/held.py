@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,3 +26,10 @@ def held(df: DataFrame) -> DataFrame:
     """The same rows, checkpointed."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Has Python and the driver's JVM collect what nothing refers to any more: with it Spark drops the shuffle files of finished
+    writes, which otherwise stay on the disks until the driver happens to collect."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -28,6 +28,20 @@ class Frames(dict):
         return self[name]
 
 
+class Share(Frames):
+    """The tables below a folder, with the orders of one share of `shares` and their lines: an order is in one share by its key."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, share: int, shares: int):
+        super().__init__(spark, sf_dir)
+        self.share, self.shares = share, shares
+
+    def __missing__(self, name: str) -> DataFrame:
+        df, key = super().__missing__(name), {"orders": "o_orderkey", "lineitem": "l_orderkey"}.get(name)
+        if key:
+            df = self[name] = df.where(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(self.shares)) == self.share)
+        return df
+
+
 Place = str | Frames
 
 
@@ -83,11 +97,12 @@ def raw_rates(spark: SparkSession, d: Place) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, d: Place) -> DataFrame:
-    """Cleaned lines with scores. Fact tables meet on their keys; a line's day, product and vendor come along."""
+    """Cleaned lines with scores. Fact tables meet on their keys; a line's day, product and vendor come along. Customers meet orders,
+    which are fewer than lines, and products come last, so that lines do not carry their texts through other exchanges."""
     d = frames(spark, d)
     line, part, s = table(spark, d, "lineitem"), F.col("l_partkey"), F.col("l_suppkey")
-    df = line.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    df = df.join(products(spark, d), part == F.col("p_partkey")).join(table(spark, d, "supplier"), s == F.col("s_suppkey"))
+    orders = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    df = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "supplier"), s == F.col("s_suppkey")).join(products(spark, d), part == F.col("p_partkey"))
     sku = F.when(part % 40 != 0, part.cast("string"))
     brand = F.when(s % 33 != 0, F.col("s_name"))
     seeded = (part % 10 != 0) & sku.isNotNull()

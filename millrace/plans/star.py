@@ -80,11 +80,12 @@ def _dated(df: DataFrame, dates_: DataFrame, column: str, **names: str) -> DataF
 
 
 def with_keys(df: DataFrame, dates_: DataFrame, centres: DataFrame, vendors: DataFrame, products: DataFrame, vendor: str = "matched_vendor_id") -> DataFrame:
-    """Surrogate keys by left joins. Whether a dimension is broadcast is left to its measured size."""
+    """Surrogate keys by left joins. Whether a dimension is broadcast is left to its measured size. Products come before vendors, since
+    flagged lines lie by product."""
     df = _dated(df, dates_, "order_date", date_key="date_key", usd_to_aud="usd_to_aud")
     df = df.join(centres.select("cost_centre_id", "cost_centre_key"), "cost_centre_id", "left")
-    df = df.join(vendors.select(F.col("vendor_id").cast("string").alias("_v"), "vendor_key"), F.col(vendor).cast("string") == F.col("_v"), "left").drop("_v")
-    return df.join(products.select("sku_id", "product_key"), "sku_id", "left")
+    df = df.join(products.select("sku_id", "product_key"), "sku_id", "left")
+    return df.join(vendors.select(F.col("vendor_id").cast("string").alias("_v"), "vendor_key"), F.col(vendor).cast("string") == F.col("_v"), "left").drop("_v")
 
 
 def fct_order_line(valid: DataFrame, dates_: DataFrame, centres: DataFrame, vendors: DataFrame, products: DataFrame) -> DataFrame:

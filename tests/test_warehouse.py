@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from millrace.plans import questions, standin, warehouse
+from millrace.plans import questions, registry, standin, warehouse
 from millrace.plans.standin import AS_OF
 from tests.test_queries import rows
 
@@ -38,3 +38,27 @@ def test_plan(spark, stored):
     assert re.search(r"PartitionFilters: \[[^\]]*dynamicpruning", facts) and "SelectedBucketsCount: 4 out of 4" in facts
     months = {r.month_key for r in stored["dim_date"].where(questions._since(AS_OF, 3)).collect()}
     assert stored["fct_order_line"].select("month_key").distinct().count() > len(months)
+
+
+def test_shares(spark):
+    """Facts written in shares of the orders are all facts, each once, and no share has them all."""
+    whole = standin.tables(spark, SF)
+    dims = {n: whole[n] for n in ("dim_date", "dim_cost_centre", "dim_vendor", "dim_product")}
+    shares = []
+    for k in range(3):
+        own = standin.Tables(spark, standin.Share(spark, SF, k, 3))
+        own.update(dims)
+        shares.append(own["fct_order_line"])
+    got = warehouse.write(spark, {"fct_order_line": iter(shares)}, "star_in_shares", ["fct_order_line"], 2)["fct_order_line"]
+    columns = whole["fct_order_line"].columns
+    assert rows(columns, got.select(columns).collect()) == rows(columns, whole["fct_order_line"].collect())
+    assert all(0 < f.count() < got.count() for f in shares)
+
+
+def test_nothing_is_left(spark):
+    def stars():
+        return {r[0] for r in spark.sql("SHOW DATABASES").collect()}
+
+    was = stars()
+    out = registry.QUERIES["q5_from_warehouse"](spark, SF)
+    assert stars() == was and out.count() > 0
