@@ -3,7 +3,7 @@
 Bytes are embedded and met by learned filters at every second byte of the whole document. Each filter is
 max-pooled over overlapping chunks (a chunk is two neighbouring segments, each segment is in two chunks), a hidden
 layer looks at each chunk, and the chunks' mean and maximum are combined into one probability. Only the positions that
-win a maximum carry gradients to the filters.
+win a maximum carry gradients to the filters, and only these are kept of a forward pass.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 6, 8, 2, 24, 12
 SEGMENT = 128
 #: Labelled rows of each class that training collects, and bytes of all their texts; with these the driver's memory is bounded.
 ROWS_PER_CLASS, SAMPLE_BYTES = 700, 32 << 20
-#: Segments of a long text that are scored at a time.
-PASS_SEGMENTS = 2048
+#: Segments that are met by the filters at a time, and winning positions whose gradients are taken at a time; bound the temporaries.
+PASS_SEGMENTS, PASS_WINS = 2048, 1 << 17
 GOOD_FROM = 0.7
 
 
@@ -54,13 +54,17 @@ def _lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _forward(net: Net, texts: list[bytes]):
+    """The texts laid out, and of each segment and filter the largest value and its position."""
     flat, n, own = _lay_out(texts)
-    x = net.embed[flat]
-    s = x.strides
-    whole = np.lib.stride_tricks.as_strided(x, ((n + 1).sum(), SEGMENT // STRIDE, WIDTH * EMBED), (SEGMENT * s[0], STRIDE * s[0], s[1]))
-    patches = whole[own].reshape(-1, WIDTH * EMBED)
-    seen = (patches @ net.filters).reshape(n.sum(), SEGMENT // STRIDE, FILTERS)
-    return flat, n, own, patches, seen
+    most, win = np.empty((len(own), FILTERS), np.float32), np.empty((len(own), FILTERS), np.int64)
+    for lo in range(0, len(own), PASS_SEGMENTS):
+        x = net.embed[flat[own[lo : lo + PASS_SEGMENTS, None] * SEGMENT + np.arange(SEGMENT + WIDTH)]]
+        k, s = len(x), x.strides
+        patches = np.lib.stride_tricks.as_strided(x, (k, SEGMENT // STRIDE, WIDTH * EMBED), (s[0], STRIDE * s[1], s[2])).reshape(-1, WIDTH * EMBED)
+        seen = (patches @ net.filters).reshape(k, SEGMENT // STRIDE, FILTERS)
+        win[lo : lo + k] = at = seen.argmax(1)
+        most[lo : lo + k] = np.take_along_axis(seen, at[:, None, :], 1)[:, 0]
+    return flat, n, own, win, most
 
 
 def _combine(net: Net, pooled: np.ndarray, n: np.ndarray):
@@ -110,7 +114,7 @@ def score(net: Net, texts: list[bytes]) -> np.ndarray:
     if len(texts) == 1 and len(texts[0]) > PASS_SEGMENTS * SEGMENT:
         return _score_long(net, texts[0])
     _, n, _, _, seen = _forward(net, texts)
-    pooled = np.maximum(seen.max(1) + net.offset, 0)
+    pooled = np.maximum(seen + net.offset, 0)
     logit = _combine(net, pooled, n)[-1]
     return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -30, 30)))
 
@@ -130,9 +134,8 @@ def train(rows: list[tuple[str, int]], prior: float, epochs: int = 8, batch: int
         order = rng.permutation(len(rows))
         for lo in range(0, len(rows), batch):
             own = order[lo : lo + batch]
-            flat, n, place, patches, seen = _forward(net, [texts[k] for k in own])
-            win = seen.argmax(1)
-            raw = np.take_along_axis(seen, win[:, None, :], 1)[:, 0] + net.offset
+            flat, n, place, win, seen = _forward(net, [texts[k] for k in own])
+            raw = seen + net.offset
             pooled = np.maximum(raw, 0)
             first, nxt, chunk, h, most, both, logit = _combine(net, pooled, n)
             d_logit = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[own]) / len(own)).astype(f4)
@@ -147,19 +150,20 @@ def train(rows: list[tuple[str, int]], prior: float, epochs: int = 8, batch: int
             d_pool = d_chunk * left
             np.add.at(d_pool, nxt, d_chunk * ~left)
             d_seen = (d_pool * (raw > 0)).astype(f4)
-            seg, fil = np.nonzero(d_seen)
-            g = d_seen[seg, fil]
-            won = win[seg, fil]
-            patch = patches[seg * (SEGMENT // STRIDE) + won]
             d_filters = np.zeros_like(net.filters)
             d_embed = np.zeros_like(net.embed)
-            spread = net.filters.T[fil] * g[:, None]
-            for k in range(FILTERS):
-                on = fil == k
-                d_filters[:, k] = g[on] @ patch[on]
-            at = flat[(place[seg] * SEGMENT + won * STRIDE)[:, None] + np.arange(WIDTH)]
-            for e in range(EMBED):
-                d_embed[:, e] = np.bincount(at.ravel(), spread.reshape(-1, WIDTH, EMBED)[:, :, e].ravel(), 257)
+            wins = np.flatnonzero(d_seen)
+            for some in (wins[i : i + PASS_WINS] for i in range(0, len(wins), PASS_WINS)):
+                seg, fil = np.divmod(some, FILTERS)
+                g = d_seen[seg, fil]
+                at = flat[(place[seg] * SEGMENT + win[seg, fil] * STRIDE)[:, None] + np.arange(WIDTH)]
+                patch = net.embed[at].reshape(-1, WIDTH * EMBED)
+                spread = net.filters.T[fil] * g[:, None]
+                for k in range(FILTERS):
+                    on = fil == k
+                    d_filters[:, k] += g[on] @ patch[on]
+                for e in range(EMBED):
+                    d_embed[:, e] += np.bincount(at.ravel(), spread.reshape(-1, WIDTH, EMBED)[:, :, e].ravel(), 257)
             grads = [d_embed, d_filters, d_seen.sum(0), chunk.T @ d_raw, d_raw.sum(0), both.T @ d_logit, np.array([d_logit.sum()])]
             step += 1
             now = rate * (1 - step / (total + 1)) + 1e-5

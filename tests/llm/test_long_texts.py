@@ -2,6 +2,7 @@
 
 import subprocess
 import sys
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
@@ -55,3 +56,16 @@ def test_passes_give_the_same(monkeypatch, n, size):
     assert np.allclose(model._long(text), whole[0])
     assert np.allclose(quality_cnn._score_long(net, text), whole[1], atol=1e-5)
     assert all(np.array_equal(a, b) for a, b in zip(near_dedup.shingle_hashes([text, b" b c"]), whole[2], strict=True))
+
+
+def test_training_on_a_long_text_is_bounded():
+    """The driver trains; a long text in the sample must not cost it a multiple of a hundred bytes per byte."""
+    rows = [("good words " * 50, 1), ("bad " * 20, 0), ("words of a long text " * 400_000, 1)]
+    tracemalloc.start()
+    try:
+        net = quality_cnn.train(rows, 0.5, epochs=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60 * len(rows[2][0])
+    assert all(np.isfinite(w).all() for w in net.weights())
