@@ -53,17 +53,22 @@ def _lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, n, np.arange(n.sum()) + np.repeat(np.arange(len(n)), n)
 
 
+def _met(net: Net, flat: np.ndarray, segments: np.ndarray) -> np.ndarray:
+    """What the filters give at each position of these segments."""
+    x = net.embed[flat[segments[:, None] * SEGMENT + np.arange(SEGMENT + WIDTH)]]
+    s = x.strides
+    patches = np.lib.stride_tricks.as_strided(x, (len(x), SEGMENT // STRIDE, WIDTH * EMBED), (s[0], STRIDE * s[1], s[2])).reshape(-1, WIDTH * EMBED)
+    return (patches @ net.filters).reshape(len(x), SEGMENT // STRIDE, FILTERS)
+
+
 def _forward(net: Net, texts: list[bytes]):
     """The texts laid out, and of each segment and filter the largest value and its position."""
     flat, n, own = _lay_out(texts)
     most, win = np.empty((len(own), FILTERS), np.float32), np.empty((len(own), FILTERS), np.int64)
     for lo in range(0, len(own), PASS_SEGMENTS):
-        x = net.embed[flat[own[lo : lo + PASS_SEGMENTS, None] * SEGMENT + np.arange(SEGMENT + WIDTH)]]
-        k, s = len(x), x.strides
-        patches = np.lib.stride_tricks.as_strided(x, (k, SEGMENT // STRIDE, WIDTH * EMBED), (s[0], STRIDE * s[1], s[2])).reshape(-1, WIDTH * EMBED)
-        seen = (patches @ net.filters).reshape(k, SEGMENT // STRIDE, FILTERS)
-        win[lo : lo + k] = at = seen.argmax(1)
-        most[lo : lo + k] = np.take_along_axis(seen, at[:, None, :], 1)[:, 0]
+        seen = _met(net, flat, own[lo : lo + PASS_SEGMENTS])
+        win[lo : lo + len(seen)] = at = seen.argmax(1)
+        most[lo : lo + len(seen)] = np.take_along_axis(seen, at[:, None, :], 1)[:, 0]
     return flat, n, own, win, most
 
 
@@ -113,8 +118,8 @@ def _score_long(net: Net, text: bytes) -> np.ndarray:
 def score(net: Net, texts: list[bytes]) -> np.ndarray:
     if len(texts) == 1 and len(texts[0]) > PASS_SEGMENTS * SEGMENT:
         return _score_long(net, texts[0])
-    _, n, _, _, seen = _forward(net, texts)
-    pooled = np.maximum(seen + net.offset, 0)
+    flat, n, own = _lay_out(texts)
+    pooled = np.maximum(_met(net, flat, own).max(1) + net.offset, 0)
     logit = _combine(net, pooled, n)[-1]
     return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -30, 30)))
 
